@@ -71,7 +71,14 @@ class LineRuns:
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, runs).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        """Runs are merged in pairs by a merge join of their sorted buckets."""
+
+        def pair(one: DataFrame, other: DataFrame) -> DataFrame:
+            right = other.select("a", "b", F.col("n").alias("n_"), F.col("last").alias("last_"))
+            total = F.coalesce("n", F.lit(0)) + F.coalesce("n_", F.lit(0))
+            return one.join(right, ["a", "b"], "full_outer").select("a", "b", total.alias("n"), F.greatest("last", "last_").alias("last"))
+
+        return reduce(pair, runs)
 
     def _write(self, run: DataFrame) -> DataFrame:
         name = f"docquarry_run_{uuid.uuid4().hex}"

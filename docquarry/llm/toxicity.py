@@ -114,11 +114,13 @@ class Kernel:
 
 
 def pieces(unit: str) -> list[str]:
-    """A unit without punctuation and blanks; a long one as overlapping windows."""
+    """A unit without punctuation and blanks, between marks for its ends; a long one as
+    overlapping windows."""
     if not unit.isalnum():
         unit = _GLUE.sub("", unit)
     if len(unit) <= WINDOW:
-        return [unit] if len(unit) > 2 else []
+        return [f"<{unit}>"] if len(unit) > 2 else []
+    unit = f"<{unit}>"
     return [unit[i : i + WINDOW] for i in range(0, len(unit) - WINDOW // 2, WINDOW // 2)]
 
 
@@ -226,9 +228,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
     bad, good = Counter(), Counter()
     for bag, y in zip(bags, toxic, strict=True):
         (bad if y else good).update(bag)
-    odds = {w: math.log((n + 0.05) / n_bad) - math.log((good[w] + 0.5) / n_good) for w, n in bad.items()}
-    worth = {w: odds[w] * math.sqrt(bad[w]) for w in odds if bad[w] >= 2 and odds[w] > 1.5}
-    alphabet = "".join(ch for ch, _ in Counter("".join(worth) or "".join(odds)).most_common(CODES - 2) if ord(ch) < 0x3000)
+    worth = {w: g for w, n in bad.items() if (g := _evidence(n, n_bad, good[w], n_good)) > 20}
+    alphabet = "<>" + "".join(ch for ch, _ in Counter("".join(worth)).most_common(CODES - 2) if ord(ch) < 0x3000 and ch not in "<>")
     kernel = Kernel(alphabet)
     toxic_marks = sorted(worth, key=lambda w: (-worth[w], w))[: landmarks * 3 // 4]
     clean_marks = sorted((w for w in good if not worth.get(w)), key=lambda w: (-good[w], w))[: landmarks // 4]
@@ -254,12 +255,22 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         scorer = Scorer(model)
         scorer.learn({p for bag in bags for p in bag})
         value = scorer.known
-        near = sorted(set(near) | set(sorted(clean_words, key=lambda p: -value[p])[:3000]))
+        near = sorted(set(near) | set(sorted(clean_words, key=lambda p: -value[p])[:6000]))
     decision = np.array([max(map(scorer.known.__getitem__, bag), default=0.0) for bag in bags]) + bias
     model.slope, model.shift = _curve(decision, toxic)
     return model
 
 
+def _evidence(a: int, of_a: int, b: int, of_b: int) -> float:
+    """Log-likelihood ratio of a word's document counts in toxic and clean text; 0 unless
+    it is commoner in toxic text."""
+    if a * of_b <= b * of_a:
+        return 0.0
+    share = (a + b) / (of_a + of_b)
+    cells = ((a, of_a * share), (b, of_b * share), (of_a - a, of_a * (1 - share)), (of_b - b, of_b * (1 - share)))
+    return 2 * sum(n * math.log(n / expected) for n, expected in cells if n)
+
+
 class _Nystroem:
     def __init__(self, kernel: Kernel, marks: list[str]):
         self.kernel, self.marks = kernel, marks
@@ -296,7 +307,7 @@ class _Nystroem:
         return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 2.0, steps: int = 30) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 8.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps on the rows inside the margin."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
