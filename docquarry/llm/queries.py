@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import fingerprints, gif_store, html_extract, language_id, line_dedup, mixing, sentencepiece_codec, toxicity
+from docquarry.llm import fingerprints, gif_store, html_extract, language_id, line_dedup, mixing, ngram_join, sentencepiece_codec, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.realise(mixing.plan_mix(table(spark, sf_dir, "documents")))
 
@@ -53,6 +62,8 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_gif_columns": op3_gif_columns,
     "op4_fingerprints": op4_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_mixing": op7_mixing,
     "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
@@ -73,4 +84,33 @@ marked AS (SELECT k.doc_id, k.pos, k.line, h.key IS NOT NULL AND k.doc_id < h.la
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, pos, ws[pos] AS word, CASE WHEN pos + 12 <= len(ws) THEN array_to_string(ws[pos:pos + 12], ' ') END AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM d)),
+f AS (SELECT win, min(doc_id) AS first FROM s WHERE win IS NOT NULL GROUP BY win),
+c AS (
+  SELECT s.doc_id, s.pos, s.word,
+         max(CASE WHEN f.first < s.doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY s.doc_id ORDER BY s.pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM s LEFT JOIN f ON s.win = f.win),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[pos:pos + 4], ' ') AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS pos FROM d WHERE len(ws) > 0)),
+sets AS (SELECT doc_id, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS node, count(*) AS n FROM g GROUP BY doc_id),
+nodes AS (SELECT node, min(doc_id) AS rep, count(*) AS copies, any_value(n) AS n FROM sets GROUP BY node),
+r AS (SELECT nodes.rep, nodes.n, g.shingle FROM nodes JOIN g ON g.doc_id = nodes.rep),
+shared AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS common FROM r a JOIN r b ON a.shingle = b.shingle AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n),
+links AS (SELECT a, b FROM shared WHERE common * 5 >= 4 * (na + nb - common)),
+reach AS (SELECT rep AS a, rep AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+class AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(class.class_id, d.doc_id) AS class_id, coalesce(degree.n_links, 0)::BIGINT AS n_links, coalesce(nodes.copies, 1)::BIGINT AS n_copies
+FROM d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN nodes ON nodes.node = sets.node
+LEFT JOIN class ON class.a = nodes.rep LEFT JOIN degree ON degree.a = nodes.rep""",
 }
