@@ -24,6 +24,7 @@ cost memory in proportion to the window, not to their length. Extra columns are
 from __future__ import annotations
 
 import hashlib
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +36,7 @@ MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CACHE_WORDS = 300_000
 _NEVER = float("-inf")
+_ONE = (1,)
 
 
 @dataclass
@@ -88,6 +90,12 @@ class Codec:
         self.plain = _Cache(self._bytes)
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.ids) and "\n" not in "".join(self.ids)
         self.raw = self._raw()
+        tails: dict[str, set[int]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                tails.setdefault(piece[-2:], set()).add(len(piece))
+        #: lengths of the pieces that end in two characters, the longest first
+        self.tails = {pair: (*sorted(sizes, reverse=True), 1) for pair, sizes in tails.items()}
 
     def _raw(self) -> list[bytes]:
         raw = [p.encode() if use else b"" for p, use in zip(self.model.pieces, self.model.usable, strict=True)]
@@ -190,13 +198,76 @@ class Codec:
     def _bytes(self, word: str) -> bytes:
         return np.array([i for run in self.viterbi(word) for i in run], "<i4").tobytes()
 
+    def learn(self, texts) -> None:
+        """Encode the words of texts that the cache lacks, in sorted order: a word goes on
+        from the lattice of the prefix that it shares with the word before."""
+        if len(self.first) + len(self.plain) > _CACHE_WORDS:
+            self.first.clear()
+            self.plain.clear()
+        if not self.splits or self.model.kind != "bpe":
+            return
+        marked: set[str] = set()
+        plain: set[str] = set()
+        for text in texts:
+            head, *lines = (text or "").split("\n")
+            marked.update(head.split(" "))
+            for line in lines:
+                word, *words = line.split(" ")
+                plain.add(word)
+                marked.update(words)
+        marked.difference_update(self.first)
+        plain.difference_update(self.plain)
+        for word, data in self._sorted_words(sorted(MARK + w for w in marked if MARK not in w)):
+            self.first[word[1:]] = data
+        for word, data in self._sorted_words(sorted(w for w in plain if w and MARK not in w)):
+            self.plain[word] = data
+
+    def _sorted_words(self, words: list[str]):
+        """(word, ids as bytes). `sizes` and `arcs` hold the surviving arc into each
+        boundary of the current word; -1 marks a character outside the vocabulary."""
+        ids, fits, tails, longest = self.ids, self.fits, self.tails, self.longest
+        sizes, arcs, last = [0], [None], ""
+        for word in words:
+            n = len(word)
+            if n > 4 * longest:
+                yield word, self._bytes(word)
+                continue
+            same, most = 0, min(n, len(last))
+            while same < most and word[same] == last[same]:
+                same += 1
+            del sizes[same + 1 :], arcs[same + 1 :]
+            last = word
+            for end in range(same + 1, n + 1):
+                for size in tails.get(word[end - 2 : end], _ONE) if end > 1 else _ONE:
+                    if size > end:
+                        continue
+                    piece = ids.get(word[end - size : end])
+                    if piece is None:
+                        continue
+                    before = arcs[end - size]
+                    if before is None and size != end:
+                        continue
+                    if size == end or before < 0 or fits[before, piece]:
+                        sizes.append(size)
+                        arcs.append(piece)
+                        break
+                else:
+                    known = word[end - 1] in ids
+                    sizes.append(0 if known else 1)
+                    arcs.append(None if known else -1)
+            out: list[int] = []
+            at = n
+            while at > 0:
+                piece = arcs[at]
+                out += (piece,) if piece >= 0 else reversed(self._unknown(word[at - 1]))
+                at -= sizes[at]
+            out.reverse()
+            yield word, struct.pack(f"<{len(out)}i", *out)
+
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        if len(self.first) + len(self.plain) > _CACHE_WORDS:
-            self.first.clear()
-            self.plain.clear()
         if not self.splits:
             return self._bytes(MARK + text.replace(" ", MARK))
         out, first, plain = [], self.first.__getitem__, self.plain.__getitem__
@@ -248,6 +319,7 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
+            codec.learn(batch["text"])
             packed = [np.frombuffer(codec.encode_bytes(t), "<i4") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "token_ids": packed, "decoded": [codec.decode(p.tolist()) for p in packed]})
 
@@ -264,6 +336,7 @@ def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
         codec = Codec(shared.value)
         for batch in batches:
             rows = []
+            codec.learn(batch["text"])
             for text in batch["text"]:
                 data = codec.encode_bytes(text)
                 decoded = codec.decode(np.frombuffer(data, "<i4").tolist())
