@@ -62,7 +62,7 @@ def _labels(names: np.ndarray, first: np.ndarray) -> np.ndarray:
     for size, table in _ROUNDS:
         pair = label.astype(np.uint16) * size
         pair[1:] += label[:-1]
-        pair[first] += (label[first] ^ 1) % size
+        pair[first] = label[first].astype(np.uint16) * size + (label[first] ^ 1)
         label = table[pair]
     return label
 
@@ -82,6 +82,7 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     label = _labels(names, first)
     starts = np.zeros(len(names), bool)
     starts[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    starts[first[1:] - 1] = False  # a text's last symbol has no right neighbour
     starts[first] = True
     at = np.flatnonzero(starts)
     up, down = _LANES[0].get(len(names) + 1)
