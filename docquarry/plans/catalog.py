@@ -1,4 +1,589 @@
-"""Registered queries of the retrieval engine and their reference SQL."""
+"""Registered queries of the retrieval engine and their reference SQL (DuckDB)."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docquarry.functions import grids as G
+from docquarry.functions import registers as R
+from docquarry.functions import text as T
+from docquarry.functions import vectors as V
+from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, semantic, sections as S
+from docquarry.plans import inputs as I
+from docquarry.sources import embedder
+from docquarry.sources.files import chunks_of_documents, page_range, table, vectors_of_embeddings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its reference SQL if any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c) -> Column:
+    return F.round(T.col(c), 6)
+
+
+def parts(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey", "p_name", "p_brand", "p_type", "p_size", f"{I.TITLE} AS title", f"{I.CONTENT} AS content", f"{I.CAPTION} AS caption", f"{I.HEADER} AS header", f"{I.LEADERS} AS leaders")
+
+
+PARTS = f"p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, {I.TITLE} AS title, {I.CONTENT} AS content, {I.CAPTION} AS caption, {I.HEADER} AS header, {I.LEADERS} AS leaders FROM part)"
+
+
+def chunks(spark, d):
+    return chunks_of_documents(table(spark, d, "documents"))
+
+
+def vectors(spark, d):
+    return vectors_of_embeddings(table(spark, d, "embeddings"))
+
+
+def first_vector(spark, d):
+    return vectors(spark, d).filter("chunk_id = 0").first()["embedding"]
+
+
+# -- scans, filters, statistics --------------------------------------------------------
+
+
+@query("SELECT doc_id AS chunk_id, text FROM documents")
+def scan_chunks(spark, d):
+    return chunks(spark, d).select("chunk_id", "text")
+
+
+@query("SELECT doc_id AS chunk_id, n_chars FROM documents WHERE source = 'src3'")
+def filter_doc(spark, d):
+    return chunks(spark, d).filter(F.col("doc_id") == "src3").select("chunk_id", "n_chars")
+
+
+@query("SELECT doc_id AS chunk_id, source AS doc_id, lang, n_chars FROM documents WHERE lang = 'en' AND n_chars > 500")
+def project_result(spark, d):
+    return chunks(spark, d).filter("lang = 'en' AND n_chars > 500").select("chunk_id", "doc_id", "lang", "n_chars")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id BETWEEN 5 AND 20")
+def page_range_scan(spark, d):
+    return page_range(table(spark, d, "pages").withColumnRenamed("page_id", "page_num"), 5, 20).select(F.col("page_num").alias("page_id"), "url")
+
+
+@query(f"WITH {I.TOKENS} SELECT t AS term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM tok) GROUP BY t")
+def tokenize_df(spark, d):
+    return keyword.term_table(chunks(spark, d))
+
+
+@query(f"WITH {I.TOKENS} SELECT count(*)::BIGINT AS n_chunks, round(avg(len(ws)), 6) AS avgdl, sum(len(ws))::BIGINT AS n_tokens FROM tok")
+def corpus_stats(spark, d):
+    return keyword.lengths(chunks(spark, d)).agg(F.count("*").alias("n_chunks"), r6(F.avg("dl")).alias("avgdl"), F.sum("dl").cast("long").alias("n_tokens"))
+
+
+# -- keyword search ----------------------------------------------------------------------
+
+
+def _top(hits):
+    return hits.select("chunk_id", r6("score").alias("score"))
+
+
+@query(f"WITH {I.bm25_sql([I.term('with')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
+def keyword_bm25_single(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
+
+
+@query(f"WITH {I.bm25_sql([I.term('onthe'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
+def keyword_bm25_and(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "onthe that", 20))
+
+
+@query(f"WITH {I.bm25_sql([I.term('was')], "source = 'src3'")} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 10")
+def keyword_bm25_doc_filter(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "was", 10, "src3"))
+
+
+PHRASE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'with' AND ws[i + 1] = 'the'))"
+
+
+@query(f"WITH {I.bm25_sql([PHRASE])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
+def keyword_phrase(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "with-the", 20))
+
+
+@query(f"""WITH {I.bm25_sql(["len(list_filter(ws, lambda t: starts_with(t, 'anth')))", "CASE WHEN ws[1] = 'the' THEN 1 ELSE 0 END"])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20""")
+def keyword_prefix(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "anth* ^the", 20))
+
+
+@query(f"WITH {I.bm25_sql([I.term('with'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm")
+def keyword_stored_index(spark, d):
+    rows = chunks(spark, d)
+    found = keyword.search_index(keyword.postings(rows), keyword.lengths(rows), keyword.parse_query("with that"))
+    return found.select("chunk_id", r6("score").alias("score"))
+
+
+@query("""SELECT doc_id AS chunk_id, (CASE WHEN contains(lower(text), 'the.') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'w_th') THEN 1 ELSE 0 END)::DOUBLE AS score
+FROM documents WHERE text ILIKE '%the.%' AND text ILIKE '%w_th%' ORDER BY score DESC, chunk_id LIMIT 25""")
+def keyword_literal_fallback(spark, d):
+    return keyword.literal_fallback(chunks(spark, d), ["the.", "W_th"], 25)
+
+
+@query(f"WITH {I.bm25_sql([I.term('with')])}, top AS (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20) SELECT chunk_id, round(score / (SELECT max(score) FROM top), 6) AS score FROM top")
+def score_normalize(spark, d):
+    return _top(keyword.normalise_scores(keyword.keyword_search(chunks(spark, d), "with", 20)))
+
+
+# -- semantic and hybrid search -----------------------------------------------------------
+
+VEC = """q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+dist AS (SELECT vec_id AS chunk_id, list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - v[i]) * (embedding[i]::DOUBLE - v[i]))) AS distance FROM embeddings, q)"""
+SCORE = "greatest(0.0, 1 - distance / 2)"
+
+
+@query(f"WITH {VEC} SELECT chunk_id, round(distance, 6) AS distance FROM dist ORDER BY dist.distance, chunk_id LIMIT 20")
+def vector_nearest(spark, d):
+    return semantic.nearest(vectors(spark, d), first_vector(spark, d), 20).select("chunk_id", r6("distance").alias("distance"))
+
+
+@query(f"WITH {VEC} SELECT chunk_id, round({SCORE}, 6) AS score FROM dist ORDER BY distance, chunk_id LIMIT 20")
+def semantic_topk(spark, d):
+    return _top(semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 20))
+
+
+@query(f"WITH {VEC} SELECT chunk_id, round({SCORE}, 6) AS score FROM dist")
+def semantic_clamp(spark, d):
+    return vectors(spark, d).select("chunk_id", r6(V.similarity(V.squared_distance("embedding", V.literal(first_vector(spark, d))))).alias("score"))
+
+
+@query(f"WITH {VEC} SELECT chunk_id, round({SCORE}, 6) AS score FROM dist JOIN documents ON doc_id = chunk_id WHERE source = 'src3' ORDER BY distance, chunk_id LIMIT 10")
+def semantic_prefilter(spark, d):
+    return _top(semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 10, chunks(spark, d), "src3"))
+
+
+@query(f"WITH {VEC}, near AS (SELECT * FROM dist ORDER BY distance, chunk_id LIMIT 120) SELECT chunk_id, round({SCORE}, 6) AS score FROM near JOIN documents ON doc_id = chunk_id WHERE source = 'src3'")
+def semantic_overfetch_postfilter(spark, d):
+    return _top(semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 10, chunks(spark, d), "src3", overfetch=True))
+
+
+@query("SELECT vec_id AS chunk_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS length FROM embeddings")
+def vector_norms(spark, d):
+    return vectors(spark, d).select("chunk_id", r6(V.norm(V.normalise("embedding"))).alias("length"))
+
+
+HYBRID = f"""{I.bm25_sql([I.term('with')])}, {VEC},
+k0 AS (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20), k AS (SELECT chunk_id, score / (SELECT max(score) FROM k0) AS score FROM k0),
+s AS (SELECT chunk_id, {SCORE} AS score FROM dist ORDER BY distance, chunk_id LIMIT 20),
+f AS (SELECT coalesce(k.chunk_id, s.chunk_id) AS chunk_id, (0.4 * coalesce(k.score, 0) + 0.6 * coalesce(s.score, 0)) * CASE WHEN k.chunk_id IS NOT NULL AND s.chunk_id IS NOT NULL THEN 1.2 ELSE 1.0 END AS score FROM k FULL OUTER JOIN s ON k.chunk_id = s.chunk_id)"""
+
+
+@query(f"WITH {HYBRID} SELECT chunk_id, round(score, 6) AS score FROM f")
+def hybrid_fusion(spark, d):
+    k = keyword.normalise_scores(keyword.keyword_search(chunks(spark, d), "with", 20))
+    return _top(hybrid.fuse(k, semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 20)))
+
+
+@query(f"WITH {HYBRID} SELECT chunk_id, round(score, 6) AS score, lang, source AS doc_id, n_chars FROM f JOIN documents ON documents.doc_id = chunk_id ORDER BY f.score DESC, chunk_id LIMIT 10")
+def hybrid_search_top10(spark, d):
+    found = hybrid.hybrid_search(chunks(spark, d), vectors(spark, d), "with", first_vector(spark, d), 10)
+    return found.select("chunk_id", r6("score").alias("score"), "lang", "doc_id", "n_chars")
+
+
+@query()
+def embed_documents(spark, d):
+    """The hashing model; tests check it against its definition."""
+    return embedder.embed(chunks(spark, d)).select("chunk_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).cast("string").alias("embedding"))
+
+
+# -- register prose -----------------------------------------------------------------------
+
+ABBREV = rf"nullif(regexp_extract(title, '{R.TITLE}', 2), '')"
+COLLAPSE = r"regexp_replace(trim({}), '\s+', ' ', 'g')"
+
+
+@query(f"WITH {PARTS} SELECT p_partkey, title, {ABBREV} AS abbrev FROM p")
+def register_title_abbrev(spark, d):
+    return parts(spark, d).select("p_partkey", "title", R.abbreviation("title").alias("abbrev"))
+
+
+@query(f"WITH {PARTS} SELECT p_partkey, {COLLAPSE.format(f'regexp_extract(content, {chr(39)}{R.OFFSET}{chr(39)}, 1)')} AS offset_text, {COLLAPSE.format(f'regexp_extract(content, {chr(39)}{R.RESET}{chr(39)}, 1)')} AS reset_text FROM p")
+def register_offset_reset(spark, d):
+    return parts(spark, d).select("p_partkey", R.offset("content").alias("offset_text"), R.reset_value("content").alias("reset_text"))
+
+
+FIELDS = rf"""l AS (SELECT p_partkey, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS pos FROM p),
+m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^{R.BITS_LINE}') THEN 1 ELSE 0 END) OVER (PARTITION BY p_partkey ORDER BY pos) AS block FROM l),
+b AS (SELECT p_partkey, block, min_by(line, pos) AS head, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT regexp_matches(line, '^{R.BITS_LINE}')), '')) AS rest FROM m WHERE block > 0 GROUP BY p_partkey, block),
+x AS (SELECT p_partkey, block, regexp_extract(head, 'Bits?[ \t]+(\d+(?::\d+)?)', 1) AS bits, trim(regexp_extract(head, '^{R.BITS_LINE}([^\n]*)', 1)) AS line, rest FROM b),
+fields AS (SELECT p_partkey, block, bits, regexp_extract(line, '{R.NAME_COLON}', 1) AS name, concat_ws(chr(10), nullif(trim(regexp_extract(line, '{R.NAME_COLON}', 2)), ''), nullif(rest, '')) AS description FROM x WHERE regexp_extract(line, '{R.NAME_COLON}', 1) <> '')"""
+
+
+@query(f"WITH {PARTS}, {FIELDS} SELECT p_partkey, name, bits, split_part(bits, ':', 1)::INT AS msb, split_part(bits, ':', -1)::INT AS lsb, description FROM fields")
+def register_bitfields(spark, d):
+    return parts(spark, d).select("p_partkey", F.explode(R.bit_fields("content")).alias("f")).select("p_partkey", "f.name", "f.bits", "f.msb", "f.lsb", "f.description")
+
+
+@query(f"WITH {PARTS}, {FIELDS} SELECT p.p_partkey, any_value({ABBREV}) AS name, any_value(split_part({ABBREV}, '_', 1)) AS peripheral, count(*)::BIGINT AS n_fields FROM p JOIN fields USING (p_partkey) GROUP BY p.p_partkey")
+def register_section_parse(spark, d):
+    t = R.register_section("title", "content")
+    return parts(spark, d).select("p_partkey", t.alias("t")).filter("t is not null").select("p_partkey", F.col("t.registers")[0]["name"].alias("name"), "t.peripheral", F.size(F.col("t.registers")[0]["fields"]).cast("long").alias("n_fields"))
+
+
+CELL = "CASE p_partkey % 4 WHEN 0 THEN concat('[', p_size, ':', p_partkey % 9, ']') WHEN 1 THEN concat(' ', p_size, ' ') WHEN 2 THEN concat('x', p_size) ELSE concat(p_size, ':', p_partkey % 7, ' rw') END"
+
+
+@query(rf"""SELECT p_partkey, cell, try_cast(coalesce(nullif(regexp_extract(c, '^(\d+):(\d+)', 1), ''), nullif(regexp_extract(c, '^(\d+)$', 1), '')) AS INT) AS msb, try_cast(coalesce(nullif(regexp_extract(c, '^(\d+):(\d+)', 2), ''), nullif(regexp_extract(c, '^(\d+)$', 1), '')) AS INT) AS lsb,
+coalesce(try_cast(nullif(regexp_extract(cell, '(\d+)', 1), '') AS INT), 32) AS width FROM (SELECT p_partkey, {CELL} AS cell, regexp_replace({CELL}, '[\[\]\s]', '', 'g') AS c FROM part)""")
+def bit_range_parse(spark, d):
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{CELL} AS cell").withColumn("b", R.bit_notation("cell"))
+    return rows.select("p_partkey", "cell", "b.msb", "b.lsb", R.width("cell").alias("width"))
+
+
+FIRST_WORD = "coalesce(list_filter(regexp_split_to_array(caption, '\\s+'), lambda w: regexp_full_match(w, '{}'))[1], 'Unknown')"
+
+
+@query(rf"""WITH {PARTS} SELECT p_partkey, coalesce(upper(nullif(regexp_extract(caption, '{R.ARM_CAPTION}', 1), '')), nullif(regexp_extract(caption, '{R.NUMBERED_HEADING}', 1), ''), {FIRST_WORD.format('[A-Z_]{2,10}')}) AS name, {FIRST_WORD.format('[A-Z][A-Za-z0-9_]*')} AS peripheral FROM p""")
+def register_name_caption(spark, d):
+    return parts(spark, d).select("p_partkey", R.caption_name("caption").alias("name"), R.context_peripheral("caption").alias("peripheral"))
+
+
+@query(f"WITH {PARTS} SELECT p_partkey, split_part({ABBREV}, '_', 1) AS peripheral FROM p")
+def peripheral_infer(spark, d):
+    return parts(spark, d).select("p_partkey", R.infer_peripheral(R.abbreviation("title")).alias("peripheral"))
+
+
+# -- grids -------------------------------------------------------------------------------
+
+KEYWORDS = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(header), '[^\w\s]', '', 'g'), '\s+'), lambda w: length(w) > 2))"
+
+
+def _list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+OVERLAPS = f"k AS (SELECT p_partkey, {KEYWORDS} AS kw FROM p), o AS (SELECT *, len(list_intersect(kw, {_list(G.REGISTER_WORDS)})) AS r, len(list_intersect(kw, {_list(G.FIELD_WORDS)})) AS f, len(list_intersect(kw, {_list(G.MEMORY_WORDS)})) AS m FROM k)"
+
+
+@query(f"WITH {PARTS}, {OVERLAPS} SELECT p_partkey, list_aggregate(list_sort(kw), 'string_agg', ',') AS keywords, CASE WHEN greatest(r, f, m) = 0 THEN 'other' WHEN r = greatest(r, f, m) THEN 'register_map' WHEN f = greatest(r, f, m) THEN 'bitfield_definition' ELSE 'memory_map' END AS table_type FROM o")
+def header_classify(spark, d):
+    return parts(spark, d).select("p_partkey", G.header_keywords("header").alias("kw")).select("p_partkey", F.array_join("kw", ",").alias("keywords"), G.table_type("kw").alias("table_type"))
+
+
+@query(f"WITH {PARTS}, {OVERLAPS} SELECT p_partkey FROM o WHERE r >= 3 OR f >= 3 OR m >= 2")
+def header_gate(spark, d):
+    return parts(spark, d).filter(G.is_header(G.header_keywords("header"))).select("p_partkey")
+
+
+@query(r"""SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE NULL END AS at FROM supplier""")
+def column_finder(spark, d):
+    rows = table(spark, d, "supplier").withColumn("h", F.expr("CASE s_suppkey % 3 WHEN 0 THEN array('bits', 'address offset', 'name') WHEN 1 THEN array('offset addr', 'x') ELSE array('a', '') END"))
+    return rows.select("s_suppkey", G.find_column(F.col("h"), ["offset"]).alias("at"))
+
+
+def grids(spark, d):
+    """Register maps with a title row above the header for every other supplier, blank rows
+    and short rows."""
+    return table(spark, d, "supplier").selectExpr("s_suppkey", """concat(
+      CASE WHEN s_suppkey % 2 = 0 THEN array(array('Memory of the device')) ELSE cast(array() AS array<array<string>>) END,
+      array(array('Offset', 'Register  Name', 'Width', 'Reset', 'Access'),
+            array(concat('0x', s_nationkey), concat('REG_', s_suppkey), '16 bit', concat(' 0x', s_nationkey, '  00 '), 'RO'),
+            array('', '', ''), array('0xFF', ' '),
+            array('0x99', concat('SHORT', s_nationkey))))""" + " AS grid")
+
+
+@query("""SELECT s_suppkey, concat('REG_', s_suppkey) AS name, concat('0x', s_nationkey) AS off, 16 AS width, concat('0x', s_nationkey, ' 00') AS reset_value, 'RO' AS access FROM supplier
+UNION ALL SELECT s_suppkey, concat('SHORT', s_nationkey), '0x99', 32, NULL, 'RW' FROM supplier""")
+def register_map_parse(spark, d):
+    t = G.extract_table(F.lit("register_map"), "grid", F.lit("UART0 map"))
+    return grids(spark, d).select("s_suppkey", F.explode(t["registers"]).alias("r")).select("s_suppkey", "r.name", F.col("r.offset").alias("off"), "r.width", "r.reset_value", "r.access")
+
+
+@query("""SELECT s_suppkey, 'CTL' AS register, name, bits, msb, lsb, access FROM (
+SELECT s_suppkey, concat('F', s_suppkey) AS name, concat('[7:', s_nationkey % 7, ']') AS bits, 7 AS msb, s_nationkey % 7 AS lsb, 'RW' AS access FROM supplier
+UNION ALL SELECT s_suppkey, 'EN', '0', 0, 0, 'R' FROM supplier)""")
+def bitfield_table_parse(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "array(array('Bits', 'Field', 'Type', 'Description'), array(concat('[7:', s_nationkey % 7, ']'), concat('F', s_suppkey)), array('none', 'BAD', 'R', ''), array('0', 'EN', 'R', 'on')) AS grid")
+    t = G.extract_table(F.lit("bitfield_definition"), "grid", F.lit("Table 3. Ctl bit assignments"))
+    flat = rows.select("s_suppkey", t["registers"][0].alias("r")).select("s_suppkey", F.col("r.name").alias("register"), F.explode("r.fields").alias("f"))
+    return flat.select("s_suppkey", "register", "f.name", "f.bits", "f.msb", "f.lsb", "f.access")
+
+
+@query("SELECT s_suppkey, 'GPIO' AS peripheral, concat('P', s_nationkey) AS name, concat('0x', s_suppkey % 64) AS off FROM supplier WHERE s_suppkey % 3 <> 0")
+def summary_grid_parse(spark, d):
+    bits = "'31', '30', '29', '28', '27'"
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", f"CASE WHEN s_suppkey % 3 = 0 THEN array(array('Mode', 'Description'), array('a', 'b')) ELSE array(array('Offset', 'Register name', {bits}), array(concat('0x', s_suppkey % 64), concat('P', s_nationkey), 'x'), array('', 'NONE')) END AS grid")
+    t = G.summary_grid("grid", F.lit("GPIO"))
+    return rows.select("s_suppkey", t.alias("t")).filter("t is not null").select("s_suppkey", "t.peripheral", F.explode("t.registers").alias("r")).select("s_suppkey", "peripheral", "r.name", F.col("r.offset").alias("off"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN concat('Columns: A | B', s_nationkey, ' | C') ELSE NULL END AS header FROM supplier")
+def table_header_probe(spark, d):
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", "CASE WHEN s_suppkey % 2 = 0 THEN array(array(array('x', 'y')), array(array('A', concat('B', s_nationkey), '', ' C '), array('1'))) ELSE array(array(array('only'))) END AS grids")
+    return rows.select("s_suppkey", G.widest_header("grids").alias("header"))
+
+
+@query("SELECT s_nationkey, round(min(s_acctbal), 6) AS x0, round(min(s_suppkey), 6)::DOUBLE AS y0, round(max(s_acctbal) + 1, 6) AS x1, round(max(s_suppkey) + 2, 6)::DOUBLE AS y1 FROM supplier GROUP BY s_nationkey")
+def table_bbox(spark, d):
+    cells = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_acctbal").alias("x0"), F.col("s_suppkey").cast("double").alias("y0"), (F.col("s_acctbal") + 1).alias("x1"), (F.col("s_suppkey") + 2.0).alias("y1"))).alias("cells"))
+    b = G.bounding_box("cells")
+    return cells.select("s_nationkey", b.alias("b")).select("s_nationkey", *[r6(f"b.{n}").alias(n) for n in ("x0", "y0", "x1", "y1")])
+
+
+# -- sections ------------------------------------------------------------------------------
+
+BLOCKS = "SELECT user_id AS doc_id, event_id % 7 AS page_num, event_id, value AS y0, value + 5 AS y1, concat(event_type, event_id) AS text FROM events"
+
+
+@query(f"""WITH blocks AS ({BLOCKS}), tables AS (SELECT doc_id, page_num, event_id AS table_index, y0 AS top FROM blocks WHERE event_id % 11 = 0),
+near AS (SELECT t.doc_id, t.page_num, table_index, b.y0, b.text, row_number() OVER (PARTITION BY t.doc_id, t.page_num, table_index ORDER BY b.y0 DESC, b.text DESC) AS nth
+FROM tables t JOIN blocks b ON t.doc_id = b.doc_id AND t.page_num = b.page_num WHERE top - b.y1 > 0 AND top - b.y1 < 100)
+SELECT doc_id, page_num, table_index, string_agg(text, ' ' ORDER BY y0, text) AS context FROM near WHERE nth <= 5 GROUP BY doc_id, page_num, table_index""")
+def context_band_join(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("docquarry_events")
+    blocks = spark.sql(BLOCKS.replace("FROM events", "FROM docquarry_events"))
+    return S.table_context(blocks.filter("event_id % 11 = 0").withColumnRenamed("event_id", "table_index"), blocks)
+
+
+TOC = "SELECT conv_id AS doc_id, turn AS toc_idx, concat(role, turn) AS title, 1 + (turn * 7 + conv_id) % 4 AS level, turn * 2 - turn % 3 - 1 AS page_num, 30 AS last_page FROM conversations"
+
+
+def toc(spark, d):
+    table(spark, d, "conversations").createOrReplaceTempView("docquarry_conversations")
+    return spark.sql(TOC.replace("FROM conversations", "FROM docquarry_conversations"))
+
+
+BOUNDS = f"""toc AS (SELECT *, greatest(page_num, 0) AS start_page FROM ({TOC})),
+bounds AS (SELECT *, lead(title) OVER w AS next_title, greatest(start_page, coalesce(lead(start_page) OVER w, last_page)) AS span_end,
+greatest(start_page, coalesce(lead(start_page) OVER w - 1, last_page)) AS end_page FROM toc WINDOW w AS (PARTITION BY doc_id ORDER BY toc_idx))"""
+
+
+@query(f"WITH {BOUNDS} SELECT doc_id, toc_idx, start_page, end_page, span_end, next_title FROM bounds")
+def toc_lead_bounds(spark, d):
+    return S.outline_bounds(toc(spark, d)).select("doc_id", "toc_idx", "start_page", "end_page", "span_end", "next_title")
+
+
+@query(f"""WITH {BOUNDS}, pg AS (SELECT conv_id AS doc_id, turn AS page_num, text AS raw_text FROM conversations)
+SELECT b.doc_id, b.toc_idx, md5(coalesce(string_agg(pg.raw_text || chr(10), '' ORDER BY pg.page_num), '')) AS content_md5 FROM bounds b LEFT JOIN pg ON pg.doc_id = b.doc_id AND pg.page_num BETWEEN b.start_page AND b.span_end GROUP BY b.doc_id, b.toc_idx""")
+def section_page_range_join(spark, d):
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("raw_text"))
+    return S.section_text(S.outline_bounds(toc(spark, d)), pages).select("doc_id", "toc_idx", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH t AS ({TOC}) SELECT a.doc_id, a.toc_idx, max(b.toc_idx) AS parent_id FROM t a LEFT JOIN t b ON a.doc_id = b.doc_id AND b.toc_idx < a.toc_idx AND b.level < a.level GROUP BY a.doc_id, a.toc_idx")
+def section_hierarchy(spark, d):
+    return S.hierarchy(toc(spark, d), "toc_idx", 5).select("doc_id", "toc_idx", "parent_id")
+
+
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn AS page_num, text AS raw_text, (conv_id + turn) % 3 = 0 AS head FROM conversations),
+h AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page_num) AS section_id FROM c),
+g AS (SELECT doc_id, section_id, min(page_num) AS start_page, md5(string_agg(concat(raw_text, chr(10)), '' ORDER BY page_num)) AS content_md5 FROM h WHERE section_id > 0 GROUP BY doc_id, section_id),
+n AS (SELECT conv_id AS doc_id, count(*) AS pages FROM conversations GROUP BY conv_id)
+SELECT g.doc_id, section_id::BIGINT AS section_id, start_page, coalesce(lead(start_page) OVER (PARTITION BY g.doc_id ORDER BY section_id) - 1, pages - 1)::BIGINT AS end_page, content_md5 FROM g JOIN n ON g.doc_id = n.doc_id""")
+def heading_running_sum(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("raw_text"), F.lit(0).alias("block_idx"), F.col("role").alias("text"), F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, 14.0).otherwise(10.0).alias("font_size"))
+    found = S.heading_sections(rows.select("doc_id", "page_num", "block_idx", "text", "font_size"), rows.select("doc_id", "page_num", "raw_text"))
+    return found.select("doc_id", F.col("section_id").cast("long").alias("section_id"), "start_page", F.col("end_page").cast("long").alias("end_page"), F.md5("content").alias("content_md5"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) - length(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '.', '')) + 1 AS level FROM pages WHERE contains(html, '<h1>')")
+def html_headings(spark, d):
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    return table(spark, d, "pages").filter(F.contains("html", F.lit("<h1>"))).select("page_id", title.alias("title")).select("page_id", "title", S.heading_level("title").cast("long").alias("level"))
+
+
+WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), t AS (SELECT doc_id, array_to_string(ws, ' ') AS body, array_to_string(ws[4:6], ' ') AS title, array_to_string(ws[20:22], ' ') AS nxt FROM w WHERE len(ws) >= 30),
+a AS (SELECT *, CASE WHEN strpos(body, title) > 1 THEN substr(body, strpos(body, title)) ELSE body END AS cut FROM t),
+b AS (SELECT *, strpos(substr(cut, length(title) + 1), nxt) AS spot FROM a)
+SELECT doc_id, md5(CASE WHEN spot > 0 AND spot + length(title) > 1 THEN substr(cut, 1, spot + length(title) - 1) ELSE cut END) AS content_md5 FROM b""")
+def title_trim(spark, d):
+    rows = table(spark, d, "documents").withColumn("ws", F.filter(F.split("text", r"[\s]+"), lambda t: t != "")).filter(F.size("ws") >= 30)
+    rows = rows.select("doc_id", F.array_join("ws", " ").alias("body"), F.array_join(F.slice("ws", 4, 3), "  ").alias("title"), F.array_join(F.slice("ws", 20, 3), "\n").alias("nxt"))
+    return rows.select("doc_id", F.md5(S.trim_to_title("body", F.replace(F.col("title"), F.lit("  "), F.lit(" ")), "nxt")).alias("content_md5"))
+
+
+# -- the region, nation, supplier tree -----------------------------------------------------
+
+NODES = """SELECT 'd' AS doc_id, r_regionkey AS section_id, CAST(NULL AS BIGINT) AS parent_id, r_name AS title, 1 AS level, concat('About ', r_name) AS content FROM region
+UNION ALL SELECT 'd', 100 + n_nationkey, CAST(n_regionkey AS BIGINT), CASE WHEN n_nationkey % 4 = 0 THEN concat('Table ', n_nationkey, '. ', n_name) ELSE n_name END, 2, CASE WHEN n_nationkey % 8 = 0 THEN '' ELSE concat('In ', n_name) END FROM nation
+UNION ALL SELECT 'd', 1000 + s_suppkey, CAST(100 + s_nationkey AS BIGINT), s_name, 3, s_name FROM supplier"""
+
+
+def tree(spark, d):
+    sql = NODES
+    for name in ("region", "nation", "supplier"):
+        table(spark, d, name).createOrReplaceTempView(f"docquarry_{name}")
+        sql = sql.replace(f"FROM {name}", f"FROM docquarry_{name}")
+    return S.ancestors(spark.sql(sql), depth=3)
+
+
+@query(f"""WITH t AS ({NODES}) SELECT a.section_id, concat('[Doc > ', CASE WHEN c.title IS NOT NULL THEN concat(c.title, ' > ') ELSE '' END, CASE WHEN b.title IS NOT NULL THEN concat(b.title, ' > ') ELSE '' END, a.title, ']', chr(10)) AS prefix
+FROM t a LEFT JOIN t b ON a.parent_id = b.section_id LEFT JOIN t c ON b.parent_id = c.section_id""")
+def context_prefix(spark, d):
+    return tree(spark, d).select("section_id", T.context_prefix(F.lit("Doc"), F.concat("ancestor_titles", F.array("title"))).alias("prefix"))
+
+
+@query(f"WITH t AS ({NODES}) SELECT section_id, title FROM t WHERE section_id NOT IN (SELECT parent_id FROM t WHERE parent_id IS NOT NULL)")
+def leaf_only(spark, d):
+    return tree(spark, d).filter("is_leaf").select("section_id", "title")
+
+
+@query(f"""WITH t AS ({NODES}), k AS (SELECT parent_id, string_agg(content, chr(10) ORDER BY section_id) AS kids FROM t WHERE starts_with(title, 'Table ') AND content <> '' GROUP BY parent_id)
+SELECT t.section_id, concat_ws(chr(10), nullif(t.content, ''), k.kids) AS merged FROM t LEFT JOIN k ON t.section_id = k.parent_id""")
+def merge_table_children(spark, d):
+    return S.merge_table_children(tree(spark, d)).select("section_id", "merged")
+
+
+@query(f"""WITH t AS ({NODES}) SELECT a.section_id FROM t a LEFT JOIN t b ON a.parent_id = b.section_id LEFT JOIN t c ON b.parent_id = c.section_id
+WHERE NOT coalesce(b.section_id % 3 = 1, false) AND NOT coalesce(c.section_id % 3 = 1, false)""")
+def subtree_skip(spark, d):
+    return S.skip_subtrees(tree(spark, d), F.col("section_id") % 3 == 1).select("section_id")
+
+
+@query(r"SELECT n_nationkey, trim(regexp_replace(concat(n_nationkey, '.', n_regionkey, ' ', n_name, ' 4.2 x '), '^\s*\d+(?:\.\d+)*\.?\s+', '')) AS label FROM nation")
+def section_number_strip(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", T.strip_section_number(F.expr("concat(n_nationkey, '.', n_regionkey, ' ', n_name, ' 4.2 x ')")).alias("label"))
+
+
+# -- chunks ----------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[.!?]\s+|\n\n+'))::BIGINT AS n_boundaries FROM documents")
+def sentence_boundaries(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?<=[.!?])\s+|\n\n+")).cast("long").alias("n_boundaries"))
+
+
+@query()
+def split_chunks(spark, d):
+    """The sequential splitter over whole documents; tests hold it against a plain one."""
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("section_id"), F.concat(F.lit("["), "source", F.lit("]\n")).alias("prefix"), F.col("text").alias("content"))
+    return C.split_sections(rows, 1000, 100).select("doc_id", "part", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
+
+
+@query(rf"""WITH {PARTS}, l AS (SELECT p_partkey, list_filter(string_split(substr(leaders, strpos(leaders, concat(']', chr(10))) + 2), chr(10)), lambda x: regexp_matches(x, '\S')) AS ls FROM p)
+SELECT p_partkey, len(ls) >= 4 AND len(list_filter(ls, lambda x: regexp_matches(x, '{T.TOC_LEADER}'))) >= 0.4 * len(ls) AS is_toc FROM l""")
+def toc_filter(spark, d):
+    return parts(spark, d).select("p_partkey", T.is_toc("leaders").alias("is_toc"))
+
+
+@query("SELECT doc_id, concat(source, '_', substr(md5(text), 1, 12)) AS chunk_id, substr(md5(concat(source, '.pdf')), 1, 16) AS document_id FROM documents")
+def chunk_ids(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.chunk_id("source", "text").alias("chunk_id"), T.document_id(F.concat(F.lit("docs/"), "source", F.lit(".pdf"))).alias("document_id"))
+
+
+TABLE_ROWS = f"""{PARTS}, {FIELDS}, f AS (SELECT p_partkey, string_agg(concat('  - ', name, ' [', bits, ']: ', description, ' ()'), chr(10) ORDER BY block) AS listed,
+concat('[', string_agg(concat('{{"name":"', name, '","bits":"', bits, '","bit_range":[', split_part(bits, ':', 1), ',', split_part(bits, ':', -1), '],"access":"","description":"', replace(description, chr(10), '\\n'), '","reset_value":null}}'), ',' ORDER BY block), ']') AS js FROM fields GROUP BY p_partkey),
+t AS (SELECT p.p_partkey, title, {ABBREV} AS name, split_part({ABBREV}, '_', 1) AS per, {COLLAPSE.format(f'regexp_extract(content, {chr(39)}{R.OFFSET}{chr(39)}, 1)')} AS off, {COLLAPSE.format(f'regexp_extract(content, {chr(39)}{R.RESET}{chr(39)}, 1)')} AS res, listed, js FROM p JOIN f ON p.p_partkey = f.p_partkey)"""
+
+
+def register_tables(spark, d):
+    return parts(spark, d).select("p_partkey", R.register_section("title", "content").alias("t")).filter("t is not null")
+
+
+@query(f"""WITH {TABLE_ROWS} SELECT p_partkey, concat('# ', per, ' - Bitfield Definition', chr(10), chr(10), 'Context: ', title, chr(10), chr(10), '## ', name, chr(10), 'Offset: ', off, ' | Width: 32-bit | Reset: ', res, ' | Access: ', chr(10), 'Description: ', title, chr(10), chr(10), 'Fields:', chr(10), listed, chr(10)) AS body FROM t""")
+def table_to_text(spark, d):
+    return register_tables(spark, d).select("p_partkey", R.table_text("t").alias("body"))
+
+
+@query(f"""WITH {TABLE_ROWS} SELECT p_partkey, concat('{{"peripheral":"', per, '","table_type":"bitfield_definition","context":"', title, '","registers":[{{"name":"', name, '","address":null,"offset":"', off, '","width":32,"reset_value":"', res, '","access":"","description":"', title, '","fields":', js, '}}]}}') AS body FROM t""")
+def table_to_json(spark, d):
+    return register_tables(spark, d).select("p_partkey", R.table_json("t").alias("body"))
+
+
+@query()
+def chunk_sections(spark, d):
+    """Whole chunker over a tree of register sections and prose; tests pin its cases."""
+    rows = parts(spark, d).select(F.col("p_type").alias("doc_id"), F.col("p_partkey").cast("int").alias("section_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("title")).otherwise(F.col("p_name")).alias("title"), (1 + F.col("p_partkey") % 3).cast("int").alias("level"), F.col("p_size").alias("start_page"), F.col("p_size").alias("end_page"), "content")
+    made = C.section_chunks(S.outline_tree(rows, max_level=4).withColumn("doc_title", F.lit("Doc")), target=300, overlap=60)
+    return made.select("chunk_id", "doc_id", "chunk_type", "text", "section_title", "page_start")
+
+
+# -- register lookup ----------------------------------------------------------------------------
+
+REGISTERS = "SELECT concat('c', p_partkey) AS chunk_id, p_type AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'register_map' ELSE 'bitfield_definition' END AS chunk_type, substr(p_type, 1, 4) AS peripheral, concat('REG', p_partkey % 50) AS name FROM part"
+
+
+def register_rows(spark, d):
+    table(spark, d, "part").createOrReplaceTempView("docquarry_part")
+    return spark.sql(REGISTERS.replace("FROM part", "FROM docquarry_part"))
+
+
+RANK = "CASE chunk_type WHEN 'bitfield_definition' THEN 0 WHEN 'register_map' THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {PARTS}, {FIELDS} SELECT DISTINCT concat('c', p.p_partkey) AS chunk_id, {ABBREV} AS name, split_part({ABBREV}, '_', 1) AS peripheral FROM p JOIN fields ON fields.p_partkey = p.p_partkey")
+def registers_explode(spark, d):
+    rows = register_tables(spark, d).select(F.concat(F.lit("c"), "p_partkey").alias("chunk_id"), F.lit("x").alias("doc_id"), F.lit("bitfield_definition").alias("chunk_type"), F.col("t").alias("structured_data"))
+    return hybrid.explode_registers(rows).select("chunk_id", "name", "peripheral")
+
+
+@query(f"SELECT chunk_id, name, chunk_type FROM ({REGISTERS}) WHERE name = 'REG7' ORDER BY {RANK}, chunk_id LIMIT 1")
+def find_register(spark, d):
+    return hybrid.find_register(register_rows(spark, d), "REG7").select("chunk_id", "name", "chunk_type")
+
+
+@query(f"SELECT chunk_id, name, peripheral FROM ({REGISTERS}) WHERE name = 'REG7' AND peripheral = 'PROM' ORDER BY {RANK}, chunk_id LIMIT 1")
+def find_register_peripheral(spark, d):
+    return hybrid.find_register(register_rows(spark, d), "REG7", "PROM").select("chunk_id", "name", "peripheral")
+
+
+@query(f"SELECT name, peripheral, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY name, peripheral ORDER BY {RANK}, chunk_id) AS nth FROM ({REGISTERS})) WHERE nth = 1")
+def best_registers(spark, d):
+    return hybrid.best_register(register_rows(spark, d)).select("name", "peripheral", "chunk_id")
+
+
+# -- lifecycle and rendering ------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 3 = 0""")
+def upsert_documents(spark, d):
+    new = table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", F.lit(9).alias("quality"))
+    return catalog_ops.upsert(table(spark, d, "labels").select("doc_id", "quality"), new, "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def delete_semi_anti(spark, d):
+    return catalog_ops.remove(table(spark, d, "documents").select("doc_id", "n_chars"), table(spark, d, "labels").filter("quality = 0"))
+
+
+@query(f"SELECT doc_id, count(*)::BIGINT AS n_chunks, count(*) FILTER (WHERE chunk_type <> 'text')::BIGINT AS n_tables FROM ({REGISTERS}) GROUP BY doc_id")
+def doc_stats(spark, d):
+    return catalog_ops.document_stats(register_rows(spark, d))
+
+
+@query("""WITH f AS (SELECT DISTINCT concat(source, '.pdf') AS filename FROM documents), i AS (SELECT concat('src', s_suppkey, '.pdf') AS filename, concat('id', s_suppkey) AS doc_id FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT f.filename, i.doc_id IS NOT NULL AS indexed, concat('- **', f.filename, '** (1.5 MB) — ', CASE WHEN i.doc_id IS NULL THEN 'not indexed' ELSE concat('indexed', chr(10), '  - ID: `', i.doc_id, '`') END) AS line FROM f LEFT JOIN i ON f.filename = i.filename""")
+def list_docs_status(spark, d):
+    files = table(spark, d, "documents").select(F.concat("source", F.lit(".pdf")).alias("filename")).distinct().withColumn("size_mb", F.lit(1.5))
+    known = table(spark, d, "supplier").filter("s_suppkey % 2 = 0").selectExpr("concat('src', s_suppkey, '.pdf') AS filename", "concat('id', s_suppkey) AS doc_id")
+    return render.listing(catalog_ops.status(files, known))
+
+
+@query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")
+def json_metadata(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+EXCERPT = """CASE WHEN length(text) <= 500 THEN text ELSE concat(CASE WHEN cut > 350 THEN substr(text, 1, cut + 1) ELSE substr(text, 1, 500) END, '...') END"""
+CUT = """500 - least(CASE WHEN strpos(reverse(substr(text, 1, 500)), '.') > 0 THEN strpos(reverse(substr(text, 1, 500)), '.') ELSE 501 END, CASE WHEN strpos(reverse(substr(text, 1, 500)), chr(10)) > 0 THEN strpos(reverse(substr(text, 1, 500)), chr(10)) ELSE 501 END) AS cut"""
+
+
+@query(f"SELECT doc_id, {EXCERPT} AS excerpt FROM (SELECT doc_id, text, {CUT} FROM documents)")
+def excerpts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.excerpt("text").alias("excerpt"))
+
+
+@query(f"""SELECT nth, concat('## Result ', nth, chr(10), chr(10), {EXCERPT}, chr(10), chr(10), '**Source:** Pages 1-2', chr(10), '**Section:** ', source, chr(10), chr(10), '---', chr(10)) AS markdown
+FROM (SELECT *, {CUT}, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS nth FROM documents) WHERE nth <= 5""")
+def format_results(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("score"), "text", F.lit(None).cast(R.TABLE).alias("structured_data"), F.col("source").alias("section_title"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"))
+    return render.result_lines(rows).select(F.col("nth").cast("long").alias("nth"), "markdown")
