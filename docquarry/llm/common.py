@@ -3,7 +3,9 @@ vectorised word hashing over UTF-8 buffers."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -44,6 +46,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more. It
+    does so whenever the driver happens to collect its garbage; between the phases of a
+    long operator it is better done at once."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(1)
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have yet."""
     taken = {c.lower() for c in df.columns}

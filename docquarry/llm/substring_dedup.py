@@ -7,7 +7,8 @@ until the wanted length is reached or no candidate survives.
 At the first level each document sends only its anchors: in every stretch of the wanted
 length, the window of the first length with the smallest hash. Equal stretches have equal
 anchors, so none is missed, and about a quarter of the windows are sent. Windows of the
-last level carry 128 bits.
+last level are named by 96 bits.
+`bytes.split()` takes just the six blanks that end words here.
 
 Exact copies are settled before: all but those with the smallest doc_id of a text lose
 every word, so their windows need no row. Everything else is keyed by window hash and
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import U64, Words, chunks, stored, window_hashes
+from docquarry.llm.common import CHUNK_BYTES, U64, Words, chunks, release, stored, window_hashes
 
 WINDOW = 13
 #: A first level shorter than this would repeat everywhere.
@@ -60,19 +61,12 @@ class Stretches:
     def __init__(self, texts: list[bytes], window: int, first: int):
         self.words, self.window = Words(texts), window
         hashes = self.words.hashes()
-        self.hashes = hashes
         short = window_hashes(hashes, first)
-        self.short = short
         self.anchor = sliding_min(short, window - first + 1)  # of each window
         ends = self.words.first[1:]
         start = np.arange(len(self.anchor))
         self.valid = start + window <= np.repeat(ends, self.words.counts)[: len(start)]
 
-    def names(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit names of the windows of a length at some positions."""
-        other = self.words.hashes(1)
-        return window_hashes(self.hashes, length)[at], window_hashes(other, length, 1)[at]
-
 
 def _texts(batch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in batch]
@@ -103,77 +97,92 @@ def _finish(words: list[bytes], covered: np.ndarray | None = None) -> tuple[int,
     return len(words), len(words) - len(kept), data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()
 
 
-
-
-def split_words(text: bytes) -> list[bytes]:
-    """Maximal stretches without the six blanks; bytes.split() takes just these."""
-    return text.split()
-
-
 def candidates(docs: DataFrame, hits: DataFrame, window: int, first: int, with_text: bool) -> DataFrame:
     """Joins documents with their repeated anchors. Rows without any, and exact copies
-    (`copy`), are finished here; the others keep their text and get the names of the
-    windows whose anchor repeats."""
+    (`copy`), are finished here; the others keep their text and a bit for each position
+    whose window has a repeated anchor."""
 
     def run(batches):
         for batch in batches:
             texts, found = _texts(batch["text"]), batch["hits"]
             rows = []
             for i, (text, hit, copy) in enumerate(zip(texts, found, batch["copy"], strict=True)):
-                n = len(words := split_words(text))
+                n = len(words := text.split())
                 base = [batch["doc_id"].iloc[i], batch["row_key"].iloc[i]]
                 if copy and n >= window:
-                    rows.append([*base, n, n, "" if with_text else None, hashlib.sha256(b"").hexdigest(), None, None, None, None])
+                    rows.append([*base, n, n, "" if with_text else None, hashlib.sha256(b"").hexdigest(), None, None])
                     continue
                 if hit is not None and n >= window:
                     part = Stretches([text], window, first)
-                    ok = np.flatnonzero(part.valid & np.isin(part.anchor, np.asarray(hit, np.int64).astype(U64)))
-                    if len(ok):
-                        a, b = part.names(ok, window)
-                        rows.append([*base, n, None, None, None, batch["text"].iloc[i], ok.astype(np.int32), a.astype(np.int64), b.astype(np.int64)])
+                    ok = part.valid & np.isin(part.anchor, np.asarray(hit, np.int64).astype(U64))
+                    if ok.any():
+                        rows.append([*base, n, None, None, None, batch["text"].iloc[i], np.packbits(ok).tobytes()])
                         continue
                 _, _, kept, sha = _finish(words)
-                rows.append([*base, n, 0, kept if with_text else None, sha, None, None, None, None])
-            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n_words", "n_removed", "kept", "sha", "text", "at", "a", "b"])
+                rows.append([*base, n, 0, kept if with_text else None, sha, None, None])
+            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n_words", "n_removed", "kept", "sha", "text", "places"])
             for c in ("doc_id", "n_removed"):
                 out[c] = out[c].astype("Int64")
             yield out
 
     joined = docs.join(hits, "doc_id", "left").select("doc_id", "row_key", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return joined.mapInPandas(run, "doc_id long, row_key long, n_words long, n_removed long, kept string, sha string, text string, at array<int>, a array<long>, b array<long>")
+    return joined.mapInPandas(run, "doc_id long, row_key long, n_words long, n_removed long, kept string, sha string, text string, places binary")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (null unless with_text) and kept_sha256 per row."""
-    spark = docs.sparkSession
-    steps = levels(window, shortest)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    known = rows.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+def open_windows(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, row_key, at, a, b): the candidate windows of open rows with 96-bit names."""
 
-    twin = F.xxhash64(F.lit(7), "text")
-    texts = known.select("doc_id", "row_key", twin.alias("twin"))
+    def run(batches):
+        for batch in batches:
+            texts = _texts(batch["text"])
+            for start, stop in chunks(list(map(len, texts)), CHUNK_BYTES // 2):
+                words = Words(texts[start:stop])
+                a, b = (window_hashes(words.hashes(lane), window, lane) for lane in (0, 1))
+                at, row = [], []
+                for i, (begin, bits) in enumerate(zip(words.first, batch["places"].iloc[start:stop], strict=False)):
+                    places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+                    at.append(places + begin)
+                    row.append(np.full(len(places), i))
+                where, row = np.concatenate(at), np.concatenate(row)
+                ids, keys = batch["doc_id"].to_numpy()[start:stop], batch["row_key"].to_numpy()[start:stop]
+                yield pd.DataFrame({"doc_id": ids[row], "row_key": keys[row], "at": (where - words.first[row]).astype(np.int32), "a": a[where].astype(np.int64), "b": (b[where] >> U64(32)).astype(np.uint32).astype(np.int32)})
+
+    return rows.select("doc_id", "row_key", "text", "places").mapInPandas(run, "doc_id long, row_key long, at int, a long, b int")
+
+
+def _settle(docs: DataFrame, window: int, first: int, with_text: bool) -> DataFrame:
+    """The table of candidates(): finished rows, and open ones with their text."""
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = known.select("doc_id", "row_key", F.xxhash64(F.lit(7), "text").alias("twin"))
     first_of = texts.groupBy("row_key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     copies = stored(texts.join(first_of, ["row_key", "twin"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
 
-    sent = anchors(known, window, steps[0])
+    sent = anchors(known, window, first)
     repeated = sent.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
     hits = sent.join(stored(repeated, "repeated-anchors"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     # a doc_id that is a copy may also stand on another text: only a sole text is settled
-    texts_of = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    sole = copies.join(texts_of, "doc_id", "left_anti").withColumn("copy", F.lit(True))
-    marks = hits.join(sole, "doc_id", "full_outer")
-    state = stored(candidates(rows, marks, window, steps[0], with_text), "candidates")
+    several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    sole = copies.join(several, "doc_id", "left_anti").withColumn("copy", F.lit(True))
+    return stored(candidates(docs, hits.join(sole, "doc_id", "full_outer"), window, first, with_text), "candidates")
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (null unless with_text) and kept_sha256 per row."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
+    state = _settle(rows, window, levels(window, shortest)[0], with_text)
+    release(spark)
 
     open_rows = state.filter(F.col("text").isNotNull())
-    windows = open_rows.select("doc_id", "row_key", F.explode(F.arrays_zip("at", "a", "b")).alias("w")).select("doc_id", "row_key", "w.at", "w.a", "w.b")
+    windows = open_windows(open_rows, window)
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    late = windows.join(least, ["a", "b"]).filter("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("gone"))
+    late = windows.join(stored(least, "repeated-windows"), ["a", "b"]).filter("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("gone"))
 
     def cut(batches):
         for batch in batches:
             out = []
             for text, gone in zip(_texts(batch["text"]), batch["gone"], strict=True):
-                words = split_words(text)
+                words = text.split()
                 change = np.zeros(len(words) + 1, np.int64)
                 if gone is not None:
                     np.add.at(change, np.asarray(gone), 1)
@@ -186,6 +195,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
             yield frame
 
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    pending = open_rows.select("doc_id", "row_key", "text").join(late, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
+    pending = open_rows.select("doc_id", "row_key", "text").join(stored(late, "windows-gone"), ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
     closed = state.filter(F.col("text").isNull()).select("doc_id", "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
     return closed.unionByName(pending.mapInPandas(cut, schema))
