@@ -55,6 +55,13 @@ def release(spark: SparkSession) -> None:
     time.sleep(1)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows per Arrow batch in this session: whole texts in a batch then
+    need little memory in a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that `df` does not have yet."""
     taken = {c.lower() for c in df.columns}

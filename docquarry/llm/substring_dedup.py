@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import CHUNK_BYTES, U64, Words, chunks, release, stored, window_hashes
+from docquarry.llm.common import CHUNK_BYTES, U64, Words, bounded_batches, chunks, release, stored, window_hashes
 
 WINDOW = 13
 #: A first level shorter than this would repeat everywhere.
@@ -78,7 +78,7 @@ def anchors(docs: DataFrame, window: int, first: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, ids = _texts(batch["text"]), batch["doc_id"].to_numpy()
-            for a, b in chunks(list(map(len, texts))):
+            for a, b in chunks(list(map(len, texts)), CHUNK_BYTES // 2):
                 part = Stretches(texts[a:b], window, first)
                 row = part.words.row[: len(part.anchor)][part.valid].astype(np.int64)
                 h = part.anchor[part.valid]
@@ -169,6 +169,7 @@ def _settle(docs: DataFrame, window: int, first: int, with_text: bool) -> DataFr
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (null unless with_text) and kept_sha256 per row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
     state = _settle(rows, window, levels(window, shortest)[0], with_text)
     release(spark)
