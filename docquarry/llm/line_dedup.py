@@ -92,10 +92,9 @@ class LineRuns:
         return self._merge(runs).filter(F.col("n") >= self.min_docs).select("a", "b", "last") if runs else None
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """`docs` with all its columns and three more, whose names come first in the result
-    under the names n_lines, n_dropped and kept (the text left) inside the struct column
-    `line_dedup`."""
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = 3, fanout: int = 2, into: str = "line_dedup") -> DataFrame:
+    """`docs` with all its columns and, first, a struct column named by `into` with n_lines,
+    n_dropped and kept (the text left)."""
     spark = docs.sparkSession
     row_key, lines, drop = fresh(docs, "row_key"), fresh(docs, "lines"), fresh(docs, "drop")
     keyed = F.transform(text_lines(F.col("text")), lambda line, i: F.struct((i + 1).alias("pos"), line_key(line).alias("key")))
@@ -120,7 +119,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     found = joined.withColumn(lines, text_lines(F.col("text")))
     kept = F.when(F.col(drop).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(F.col(lines), F.col(drop)), "\n"))
     result = F.struct(F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
-    return found.select(result.alias("line_dedup"), *[F.col(f"`{c}`") for c in docs.columns])
+    return found.select(result.alias(into), *[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _ranges(keys: DataFrame, batches: int) -> list[tuple[int, int]]:
@@ -148,7 +147,8 @@ def _without(lines: Column, drop: Column) -> Column:
 def rewrite(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the same columns, each text without its dropped lines and n_chars,
     where there is one, brought up to date."""
-    out = dedup_lines(docs, **options)
-    kept = F.col("line_dedup.kept")
+    into = fresh(docs, "line_dedup")
+    out = dedup_lines(docs, into=into, **options)
+    kept = F.col(f"{into}.kept")
     new = {"text": kept, "n_chars": F.length(kept).cast("long")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])

@@ -10,8 +10,9 @@ task of its own, so the work is spread and no pair of rows is ever emitted: a ta
 one row per node with its number of links and the smallest node it hangs together with.
 
 Defined cases: null or empty text has no shingles: a class of its own without links. A
-text of one to four words is one shingle. Repeated rows are copies of each other. Extra
-columns are ignored.
+text of one to four words is one shingle. Repeated rows are copies of each other. A row
+with a null doc_id belongs to the class of the rows with its shingles; if none of them has
+an id, it has a null class and no links. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def join_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), target: f
     depth = forest_depth(threshold[0] / threshold[1], target)
     signed = stored(sign(docs, depth), "signatures")
     some = signed.filter(F.col("node").isNotNull())
-    nodes = stored(some.groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("rep"), F.count("*").alias("n_copies"), F.first("prefixes").alias("prefixes")).select("node", "rep.doc_id", "rep.row_key", "n_copies", "prefixes"), "nodes")
+    nodes = stored(some.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key"))).alias("rep"), F.count("*").alias("n_copies"), F.first("prefixes").alias("prefixes")).select("node", "rep.doc_id", "rep.row_key", "n_copies", "prefixes"), "nodes")
     groups = stored(components(candidate_edges(nodes), "candidate-groups"), "groups")
     wanted = nodes.join(groups, "node").select("node", F.col("doc_id").alias("rep"), F.col("row_key").alias("rep_key"))
     found = stored(verify(stored(sets_of(docs, wanted), "shingle-sets"), groups, threshold), "links")

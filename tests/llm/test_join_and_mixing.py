@@ -74,6 +74,12 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(classes) and kept.filter("doc_id is null").count() == 1
 
 
+def test_null_ids_follow_their_shingles(spark):
+    rows = [(7, "a b c d e f", "s", "x", 0), (None, "a b c d e f", "s", "x", 0), (None, "other words are in this one", "s", "x", 0)]
+    found = ngram_join.join_classes(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found), key=str) == [(7, 7, 0, 2), (None, 7, 0, 2), (None, None, 0, 1)]
+
+
 def test_join_of_no_rows(spark):
     assert ngram_join.join_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
