@@ -158,8 +158,9 @@ def _settle(docs: DataFrame, window: int, first: int, with_text: bool) -> DataFr
     copies = stored(texts.join(first_of, ["row_key", "twin"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
 
     sent = anchors(known, window, first)
-    repeated = sent.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h")
-    hits = sent.join(stored(repeated, "repeated-anchors"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    repeated = stored(sent.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), "repeated-anchors")
+    release(docs.sparkSession)
+    hits = sent.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     # a doc_id that is a copy may also stand on another text: only a sole text is settled
     several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
     sole = copies.join(several, "doc_id", "left_anti").withColumn("copy", F.lit(True))
@@ -176,8 +177,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
 
     open_rows = state.filter(F.col("text").isNotNull())
     windows = open_windows(open_rows, window)
-    least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first")
-    late = windows.join(stored(least, "repeated-windows"), ["a", "b"]).filter("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("gone"))
+    least = stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first"), "repeated-windows")
+    release(spark)
+    late = stored(windows.join(least, ["a", "b"]).filter("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("gone")), "windows-gone")
+    release(spark)
 
     def cut(batches):
         for batch in batches:
@@ -196,6 +199,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
             yield frame
 
     schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    pending = open_rows.select("doc_id", "row_key", "text").join(stored(late, "windows-gone"), ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
+    pending = open_rows.select("doc_id", "row_key", "text").join(late, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
     closed = state.filter(F.col("text").isNull()).select("doc_id", "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
     return closed.unionByName(pending.mapInPandas(cut, schema))
