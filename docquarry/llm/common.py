@@ -36,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` into the shared folder and read it back: later jobs start from
     these files, whichever executors are lost meanwhile."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
