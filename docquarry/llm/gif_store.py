@@ -50,24 +50,22 @@ def lzw_encode(data: bytes, size: int = 8) -> bytes:
     cuts = [0]  # where each table begins
     out = codes.append
     table: dict[int, int] = {}
-    find = table.get
-    room = _FULL - clear - 2
-    current = -1
-    for sample in data:
-        if current < 0:
-            current = sample
-            continue
-        known = find(current << 8 | sample)
-        if known is not None:
-            current = known
+    new, samples = clear + 2, iter(data)  # new: the entry to come
+    current = next(samples, -1)
+    for sample in samples:
+        pair = current << 8 | sample
+        if pair in table:
+            current = table[pair]
             continue
         out(current)
-        if len(table) == room:
+        current = sample
+        if new < _FULL:
+            table[pair] = new
+            new += 1
+        else:
             table.clear()
             cuts.append(len(codes))
-        else:
-            table[current << 8 | sample] = clear + 2 + len(table)
-        current = sample
+            new = clear + 2
     if current >= 0:
         out(current)
     cuts.append(len(codes))
@@ -107,17 +105,25 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(stops[0]) if len(stops) else -1
         taken = codes[:stop].tolist() if stop >= 0 else codes.tolist()
-        for code in taken:
-            if code < len(table):
+        rest = iter(taken)
+        if taken and not before:  # the first code behind a clear code adds no entry
+            code = next(rest)
+            if code > clear:
+                raise ValueError("code beyond the table")
+            before = first[code]
+            out.append(before)
+        n, add, put = len(table), table.append, out.append
+        for code in rest:
+            if code < n:
                 piece = table[code]
-                if before and len(table) < _FULL:
-                    table.append(before + piece[:1])
-            elif code == len(table) and before and len(table) < _FULL:
+            elif code == n < _FULL:
                 piece = before + before[:1]
-                table.append(piece)
             else:
                 raise ValueError("code beyond the table")
-            out.append(piece)
+            if n < _FULL:
+                add(before + piece[:1])
+                n += 1
+            put(piece)
             before = piece
         met += len(taken)
         at += len(taken) * width
