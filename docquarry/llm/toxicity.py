@@ -15,8 +15,13 @@ of clean ones, in rounds. A text's decision is that of its strongest unit, and a
 curve fitted on the training documents turns it into a score.
 
 Defined cases: null and empty texts have no unit and get the score of a decision without
-any evidence. No labelled row of both classes -> every score is 0. Labels of held-out rows
-are never read. Repeated rows are scored alike. Extra columns are ignored.
+any evidence. No labelled row of both classes, or no word that is commoner in toxic than in
+clean training text -> every score is 0. Small tables are trained like large ones: the cut
+is relative, so the words of most evidence may be witnesses however small it is, and so may
+every word above `SURE`; below that, words that clean texts have too are left out if there
+are others. A word under the cut is no witness and counts only by its likeness to others.
+Labels of held-out rows are never read. Repeated rows are scored alike. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +47,8 @@ _OTHER = CODES - 1
 _SPACED = re.compile(r"\b\w(?:[^\w\n]{1,3}\w\b){2,}")
 _GLUE = re.compile(r"[\W_]+")
 _CACHE_WORDS = 400_000
+#: Log-likelihood ratio from which a word counts as toxic evidence whatever its rank.
+SURE = 20.0
 _GAPS = [(a, b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
 
@@ -228,15 +235,18 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
     bad, good = Counter(), Counter()
     for bag, y in zip(bags, toxic, strict=True):
         (bad if y else good).update(bag)
-    worth = {w: g for w, n in bad.items() if (g := _evidence(n, n_bad, good[w], n_good)) > 20}
+    worth = {w: g for w, n in bad.items() if (g := _evidence(n, n_bad, good[w], n_good)) > 0}
+    if not worth:
+        return ToxicModel("", None)
+    ranked = sorted(worth, key=lambda w: (-worth[w], w))
+    level = min(SURE, worth[ranked[: landmarks * 3 // 4][-1]])
+    worth = {w: worth[w] for w in ranked if worth[w] >= level}
+    worth = {w: g for w, g in worth.items() if g > SURE or not good[w]} or worth
+    toxic_marks = list(worth)[: landmarks * 3 // 4]
     alphabet = "<>" + "".join(ch for ch, _ in Counter("".join(worth)).most_common(CODES - 2) if ord(ch) < 0x3000 and ch not in "<>")
     kernel = Kernel(alphabet)
-    toxic_marks = sorted(worth, key=lambda w: (-worth[w], w))[: landmarks * 3 // 4]
     clean_marks = sorted((w for w in good if not worth.get(w)), key=lambda w: (-good[w], w))[: landmarks // 4]
-    marks = toxic_marks + clean_marks
-    if not toxic_marks:
-        return ToxicModel("", None)
-    space = _Nystroem(kernel, marks)
+    space = _Nystroem(kernel, toxic_marks + clean_marks)
 
     clean_words = sorted(w for w in good if w not in worth)
     near = sorted(clean_words, key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:6000]

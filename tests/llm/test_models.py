@@ -10,6 +10,7 @@ import pytest
 
 from docquarry.llm import html_extract, language_id, toxicity
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, score double"
 SYLLABLES = {"aa": ["ka", "to", "mi", "ra", "ne"], "bb": ["sch", "ung", "ber", "ich", "tz"], "cc": ["eau", "oux", "ent", "que", "ai"]}
 
@@ -149,6 +150,35 @@ def test_one_class_or_no_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def small_rows(seed, n_bad=6, n_good=46, insult="blorfik"):
+    """Every other toxic text has the insult, no clean one has."""
+    rng = random.Random(seed)
+    texts = [words(rng, "aa", 30) + (f" {insult}" if i < n_bad and i % 2 == 0 else "") for i in range(n_bad + n_good)]
+    return texts, np.array([int(i < n_bad) for i in range(n_bad + n_good)])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_tables_are_trained(seed):
+    model = toxicity.train(*small_rows(seed))
+    rng = random.Random(100 + seed)
+    fresh = [words(rng, "aa", 8) for _ in range(40)]
+    found = model.score(toxicity.Scorer(model).decisions([f"{t} blorfik" for t in fresh]))
+    other = model.score(toxicity.Scorer(model).decisions(fresh))
+    assert (found >= 0.7).all() and np.mean(other >= 0.7) < 0.2 and found.min() > np.median(other)
+
+
+def test_given_small_table_finds_its_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("NOT held_out").groupBy("toxic").agg({"predicted": "avg"})
+    rates = {r[0]: r[1] for r in found.collect()}
+    assert rates[1] > 0.5 and rates[0] < 0.1
+
+
+def test_no_word_commoner_in_toxic_text():
+    same = ["kato mira", "kato mira", "nera toka"]
+    assert toxicity.train([*same, *same], np.array([1, 1, 1, 0, 0, 0])).weights is None
+
+
 # -- main text ---------------------------------------------------------------------------------
 
 
