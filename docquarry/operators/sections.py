@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.functions.text import col
+from docquarry.functions.grids import widest_header
+from docquarry.functions.text import col, is_table_title
 
 #: What a numbered heading looks like; larger type also makes a heading.
 HEADING = r"^(\d+\.)+\d*\s+[A-Z]"
@@ -147,6 +148,17 @@ def table_context(tables: DataFrame, blocks: DataFrame, reach: float = 100.0, li
     return last.groupBy("doc_id", "page_num", "table_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda b: b["text"]), " ").alias("context"))
 
 
+def table_headers(sections: DataFrame, tables: DataFrame) -> DataFrame:
+    """Adds table_header to sections: for leaves titled 'Table N.' the header of the first of
+    the pages start_page and start_page + 1 that has one, else null. tables: (doc_id,
+    page_num, table_index, grid), of any kind. Joined on the page."""
+    by_page = tables.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("table_index", "grid"))).alias("parts"))
+    headers = by_page.select("doc_id", "page_num", widest_header(F.transform("parts", lambda p: p["grid"])).alias("header")).filter("header is not null")
+    leaves = sections.filter(is_table_title("title") & F.col("is_leaf")).select("doc_id", "section_id", F.explode(F.sequence("start_page", F.col("start_page") + 1)).alias("page_num"))
+    found = leaves.join(headers, ["doc_id", "page_num"]).groupBy("doc_id", "section_id").agg(F.min_by("header", "page_num").alias("table_header"))
+    return sections.join(found, ["doc_id", "section_id"], "left")
+
+
 def cluster_rows(blocks: Column | str, tolerance: float = 5.0) -> Column:
     """Rows of blocks (struct with y0, x0): a row takes blocks whose y0 is within the
     tolerance of its first block's; rows from top to bottom, each from left to right."""

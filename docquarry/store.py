@@ -72,7 +72,8 @@ class DocStore:
 
     def ingest_files(self, paths: list[str], parser: files.Parser, pattern: str = "*.pdf") -> None:
         """Parse files and ingest them: outline sections where there is an outline, heading
-        sections elsewhere, register tables of all pages."""
+        sections elsewhere, register tables of all pages. 'Table N.' sections carry the
+        header of a table on their first two pages."""
         raw = files.binary_documents(self.spark, paths, pattern)
         pages = self._staged(files.parse_documents(raw, parser, "pages"), "pages")
         texts = pages.select("doc_id", "page_num", "raw_text")
@@ -85,7 +86,9 @@ class DocStore:
         names = ["doc_id", "section_id", "title", "level", "start_page", "end_page", "content"]
         tree = self._staged(S.outline_tree(outline.select(*names).unionByName(headed.select(*names))), "sections")
         documents = raw.select("doc_id", "filename", F.col("filename").alias("title"), F.lit(None).cast("string").alias("version"))
-        found = files.classify_tables(self._staged(files.parse_documents(raw, parser, "tables"), "tables"))
+        parsed = self._staged(files.parse_documents(raw, parser, "tables"), "tables")
+        tree = S.table_headers(tree, parsed)
+        found = files.classify_tables(parsed)
         near = S.table_context(found.select("doc_id", "page_num", "table_index", F.col("bbox.y0").alias("y0")), blocks)
         tables = found.join(near, ["doc_id", "page_num", "table_index"], "left").select("doc_id", extract_table("table_type", "grid", F.coalesce("context", F.lit(""))).alias("table"), F.col("page_num").alias("page")).join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
         self.ingest_sections(documents, tree.join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id"), tables)

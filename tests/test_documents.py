@@ -154,6 +154,28 @@ def test_store_lifecycle(store):
     assert db.table("chunks").count() == db.table("vectors").count() == db.list_documents().count() == 0
 
 
+def test_ingested_table_sections_carry_their_header(spark, tmp_path):
+    def parser(content):
+        pages = [{"page_num": n, "width": 612.0, "height": 792.0, "blocks": [], "raw_text": t} for n, t in enumerate(["Table 3. Codes\n" + "Row of codes. " * 40, "more", "Table 4. Late\nlate rows", "still", "Table 5. None\nplain", "Prose\nprose text", "end"])]
+        toc = [{"level": 1, "title": t, "page_num": n} for t, n in [("Table 3. Codes", 0), ("Table 4. Late", 2), ("Table 5. None", 4), ("Prose", 5)]]
+        grids = [(0, 0, [["x", "y"]]), (0, 1, [["A", "B  b", "", None, " C "], ["1", "2", "3", "4", "5"]]), (1, 0, [["p", "q", "r", "s", "t", "u"]]), (2, 0, [["only"]]), (3, 0, [["D", "E"]]), (4, 0, []), (6, 0, [["F", "G"]])]
+        tables = [{"page_num": n, "table_index": i, "bbox": None, "grid": g} for n, i, g in grids]
+        return {"pages": pages, "toc": toc, "tables": tables}
+
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.pdf").write_bytes(b"x")
+    db = DocStore(spark, f"file://{tmp_path}/index", Config.load({"chunking": {"target_size": 300}}))
+    db.ingest_files([str(tmp_path / "docs")], parser)
+    texts = {}
+    for c in db.table("chunks").collect():
+        texts.setdefault(c.section_title, []).append(c.text)
+    head = lambda title, columns: f"[a.pdf > {title}]\n{columns}"
+    assert len(texts["Table 3. Codes"]) > 2
+    assert all(t.startswith(head("Table 3. Codes", "Columns: A | B b | C\n")) for t in texts["Table 3. Codes"])
+    assert [t.startswith(head("Table 4. Late", "Columns: D | E\n")) for t in texts["Table 4. Late"]] == [True]
+    assert not any("Columns:" in t for title in ("Table 5. None", "Prose") for t in texts[title])
+
+
 def test_streaming_ingest(store, tmp_path):
     db, docs = store
     ingest_stream(db, str(docs), text_parser, str(tmp_path / "state"), "*.txt", once=True).awaitTermination()
