@@ -85,29 +85,43 @@ def heading_sections(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return sections.join(texts.select("doc_id", "section_id", content.alias("content")), ["doc_id", "section_id"], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def hierarchy(sections: DataFrame, id_col: str = "section_id", max_level: int = 12) -> DataFrame:
+def _ranked(sections: DataFrame, max_level: int | None) -> tuple[DataFrame, int]:
+    """Sections with `rank`, that of their level among the document's levels, and the number
+    of ranks; with max_level the levels themselves, those from max_level on being no
+    parents'."""
+    if max_level is not None:
+        return sections.withColumn("rank", F.col("level")), max_level
+    most = sections.groupBy("doc_id").agg(F.countDistinct("level").alias("n")).agg(F.max("n")).first()[0] or 0
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("level")))
+    return sections.withColumn("rank", F.when(F.col("level").isNotNull(), rank)), max(most, 3)
+
+
+def hierarchy(sections: DataFrame, id_col: str = "section_id", max_level: int | None = None) -> DataFrame:
     """Adds parent_id: the nearest earlier section of a smaller level. For each level the
-    latest section so far is known; the parent is the latest of those of smaller levels."""
+    latest section so far is known; the parent is the latest of those of smaller levels.
+    All levels count, unless max_level is given."""
     before = Window.partitionBy("doc_id").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    latest = [F.when(F.col("level") > k, F.last(F.when(F.col("level") == k, F.col(id_col)), ignorenulls=True).over(before)) for k in range(1, max_level)]
-    return sections.withColumn("parent_id", F.greatest(*latest))
+    rows, top = _ranked(sections, max_level)
+    latest = [F.when(F.col("rank") > k, F.last(F.when(F.col("rank") == k, F.col(id_col)), ignorenulls=True).over(before)) for k in range(1, top)]
+    return rows.withColumn("parent_id", F.greatest(*latest)).drop("rank")
 
 
-def outline_tree(sections: DataFrame, id_col: str = "section_id", max_level: int = 12) -> DataFrame:
+def outline_tree(sections: DataFrame, id_col: str = "section_id", max_level: int | None = None) -> DataFrame:
     """Adds parent_id, ancestor_ids and ancestor_titles (from the root down) and is_leaf to
     sections in document order, in one window pass. Of the latest earlier section of each
     smaller level, those are ancestors behind which no section of a smaller level came:
-    their ids rise with their levels."""
+    their ids rise with their levels. All levels count, unless max_level is given."""
     order = Window.partitionBy("doc_id").orderBy(id_col)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     own = F.struct(F.col(id_col).cast("bigint").alias("id"), "title", "level")
-    latest = F.array(*[F.last(F.when(F.col("level") == k, own), ignorenulls=True).over(before) for k in range(1, max_level)])
-    rows = sections.withColumn("latest", latest).withColumn("next_level", F.lead("level").over(order))
+    rows, top = _ranked(sections, max_level)
+    latest = F.array(*[F.last(F.when(F.col("rank") == k, own), ignorenulls=True).over(before) for k in range(1, top)])
+    rows = rows.withColumn("latest", latest).withColumn("next_level", F.lead("level").over(order))
     empty = F.array().cast("array<struct<id bigint, title string, level int>>")
     smaller = F.transform(F.filter("latest", lambda x: x.isNotNull() & (x["level"] < F.col("level"))), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), x["level"].cast("int").alias("level")))
     chain = F.aggregate(smaller, empty, lambda up, x: F.when((F.size(up) == 0) | (x["id"] > F.get(up, F.size(up) - 1)["id"]), F.concat(up, F.array(x))).otherwise(up))
     rows = rows.withColumn("chain", chain)
-    return rows.withColumn("ancestor_ids", F.transform("chain", lambda x: x["id"])).withColumn("ancestor_titles", F.transform("chain", lambda x: x["title"])).withColumn("parent_id", F.get("chain", F.size("chain") - 1)["id"].cast(sections.schema[id_col].dataType)).withColumn("is_leaf", F.coalesce(F.col("next_level") <= F.col("level"), F.lit(True))).drop("latest", "next_level", "chain")
+    return rows.withColumn("ancestor_ids", F.transform("chain", lambda x: x["id"])).withColumn("ancestor_titles", F.transform("chain", lambda x: x["title"])).withColumn("parent_id", F.get("chain", F.size("chain") - 1)["id"].cast(sections.schema[id_col].dataType)).withColumn("is_leaf", F.coalesce(F.col("next_level") <= F.col("level"), F.lit(True))).drop("rank", "latest", "next_level", "chain")
 
 
 def ancestors(sections: DataFrame, id_col: str = "section_id", depth: int = 4) -> DataFrame:

@@ -84,7 +84,8 @@ class DocStore:
         blocks = pages.select("doc_id", "page_num", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "page_num", "block_idx", "b.text", "b.font_size", F.col("b.bbox.y0").alias("y0"), F.col("b.bbox.y1").alias("y1"))
         headed = S.heading_sections(blocks.join(toc.select("doc_id").distinct(), "doc_id", "left_anti"), texts.join(toc.select("doc_id").distinct(), "doc_id", "left_anti"))
         names = ["doc_id", "section_id", "title", "level", "start_page", "end_page", "content"]
-        tree = self._staged(S.outline_tree(outline.select(*names).unionByName(headed.select(*names))), "sections")
+        flat = self._staged(outline.select(*names).unionByName(headed.select(*names)), "flat")
+        tree = self._staged(S.outline_tree(flat), "sections")
         documents = raw.select("doc_id", "filename", F.col("filename").alias("title"), F.lit(None).cast("string").alias("version"))
         parsed = self._staged(files.parse_documents(raw, parser, "tables"), "tables")
         tree = S.table_headers(tree, parsed)

@@ -82,6 +82,28 @@ def test_hierarchy_equals_the_stack(spark):
     assert all(r.is_leaf == (r.section_id not in want) for r in made)
 
 
+def test_deep_levels_have_their_parents(spark):
+    rng = random.Random(6)
+    levels = {"d": [*range(1, 31), 14, 15, 40, 13], "e": [rng.choice([0, 1, 2, 12, 13, 30, 57]) for _ in range(40)], "f": [3]}
+    rows = [(doc, i, f"s{i}", v, 0, 0, "") for doc, found in levels.items() for i, v in enumerate(found)]
+    df = spark.createDataFrame(rows, TREE)
+    want = {}
+    for doc, found in levels.items():
+        stack = []
+        for i, v in enumerate(found):
+            while stack and found[stack[-1]] >= v:
+                stack.pop()
+            want[doc, i] = list(stack)
+            stack.append(i)
+    parents = {k: v[-1] if v else None for k, v in want.items()}
+    assert {(r.doc_id, r.section_id): r.parent_id for r in S.hierarchy(df).collect()} == parents
+    made = S.outline_tree(df).collect()
+    assert {(r.doc_id, r.section_id): r.ancestor_ids for r in made} == want
+    assert {(r.doc_id, r.section_id): r.parent_id for r in made} == parents
+    assert S.outline_tree(df).columns == [*df.columns, "ancestor_ids", "ancestor_titles", "parent_id", "is_leaf"]
+    assert S.hierarchy(df.limit(0)).count() == S.outline_tree(df.limit(0)).count() == 0
+
+
 def test_splitter_covers_and_advances():
     rng = random.Random(7)
     for _ in range(200):
