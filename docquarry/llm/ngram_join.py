@@ -1,11 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
-
-A document is the set of its shingles of five words. Equal sets are one node. Each of
-`trees` prefix tries holds the nodes' MinHash paths in sorted order; nodes that share a
-prefix are candidates. The matched prefix starts at the full depth and is shortened until
-pairs at the threshold are found with the target recall. Candidates are gathered by
-connected components, and within each all pairs are verified exactly on their shingle
-sets. A component too large for one task is cut into blocks, and each pair of blocks is a
+"""N-gram Jaccard join by MinHash banding, in place of an LSH forest.
+
+A document is the set of its shingles of five words. Equal sets are one node. Each node
+has `trees` MinHash paths; nodes that share a path's prefix are candidates. There is no
+trie and no sorted order: the prefix length is worked out once from the threshold and the
+target recall (4 of 5 values at 0.8 and 0.9995), and each prefix is hashed to one key.
+Candidates are gathered by connected components, and within each all pairs are verified
+exactly on their shingle sets. A component too large for one task is cut into blocks, and each pair of blocks is a
 task of its own, so the work is spread and no pair of rows is ever emitted: a task returns
 one row per node with its number of links and the smallest node it hangs together with.
 
