@@ -15,6 +15,9 @@ No piece runs from a character into a following word mark, so the mark is always
 boundary on which all paths converge; the codec encodes word by word and remembers the
 ids of words in a bounded cache.
 
+Most words of BPE models do not take the streaming decoder: `_sorted_words` keeps their
+whole lattice, shared with the word before, and traces it back at the word's end.
+
 Defined cases: null text -> no ids, decoded ''. Empty text -> no ids. Characters outside
 the vocabulary -> byte pieces (models without them: the unknown id, which decodes to
 U+2047). A text's own U+2581 is the word mark and decodes to a space. Very long words
