@@ -198,7 +198,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of `docs`, with all their columns, less those predicted `und`."""
+    """The rows of `docs`, with all their columns, less those predicted `und`; all rows where
+    no language could be learned."""
+    if not model.langs:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

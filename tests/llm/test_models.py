@@ -72,6 +72,12 @@ def test_nothing_to_learn(spark):
     assert language_id.identify(docs.limit(0), language_id.fit(docs)).count() == 0
 
 
+@pytest.mark.parametrize("lang, repeat", [(None, 1), ("aa", 30_000)])
+def test_all_rows_stay_where_nothing_is_learned(spark, lang, repeat):
+    docs = spark.createDataFrame([(2, "some text " * repeat, lang, "s", 0.0), (3, "12", None, "s", 0.0)], SCHEMA)
+    assert sorted(language_id.keep_identified(docs, language_id.fit(docs)).collect()) == sorted(docs.collect())
+
+
 # -- toxicity --------------------------------------------------------------------------------
 
 
