@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ def local_session(cores: int | str = "*", name: str = "docquarry", **options: st
     if cores == "*":
         cores = os.cpu_count() or 1
     conf = {
+        "spark.checkpoint.dir": f"file://{os.path.join(tempfile.gettempdir(), f'docquarry-{os.getpid()}')}",
         "spark.sql.shuffle.partitions": str(cores),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
-from conftest import SF
+from conftest import ROOT, SF
 from docquarry.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -53,6 +57,17 @@ def test_entry_points(spark):
     assert entry.entry(spark).count() == 10
 
 
+def test_entry_points_without_the_training_data_operators(tmp_path):
+    """The other queries stay when that subpackage is gone and the pipeline's file is not."""
+    shutil.copytree(f"{ROOT}/docquarry", tmp_path / "docquarry", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.catalog.QUERIES), set(e.oracle_sql()) == set(e.catalog.ORACLES))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == ["True", "True"], said.stderr
+
+
 def test_scan_is_pruned_and_pushed(spark):
     plan = catalog.filter_doc(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(source,src3)" in plan and "text" not in plan.split("ReadSchema")[1]
