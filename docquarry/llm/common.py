@@ -1,65 +1,129 @@
-"""Helpers shared by the training-data operators: shared-folder tables and
-vectorised word hashing over UTF-8 buffers."""
+"""Helpers shared by the training-data operators: intermediate tables in the shared
+folder, ids that stay exact through Python, joins without hot keys, and vectorised word
+hashing over UTF-8 buffers."""
 
 from __future__ import annotations
 
-import gc
+import atexit
+import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bytes of text that a vectorised Python step handles at once; a longer single
 #: document is still handled whole.
 CHUNK_BYTES = 2_000_000
+#: Tasks over which a join deals the rows of one key.
+SALTS = 8
+
+
+# -- intermediate tables -------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-    Only where it is unset, as in local tests, a temporary folder is chosen."""
+    """The folder that the driver and all executors share (spark.checkpoint.dir). A local
+    session without one gets a temporary folder; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docquarry-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` into the shared folder and read it back: later jobs start from
-    these files, whichever executors are lost meanwhile."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(jvm_path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more. It
-    does so whenever the driver happens to collect its garbage; between the phases of a
-    long operator it is better done at once."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)
-
-
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows per Arrow batch in this session: whole texts in a batch then
-    need little memory in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+class Scratch:
+    """The intermediate tables of one operator call, below one folder of the shared one.
+    What the result does not read is dropped before the operator returns; the rest goes
+    with `clear`, or when the process ends."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/docquarry/{name}-{uuid.uuid4().hex}"
+        self._folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._tables: list[str] = []
+        Scratch._open.append(self)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` and read it back: later jobs start from these files, whichever
+        executors are lost meanwhile."""
+        path = f"{self.path}/{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+        """Like stored, as a table bucketed and sorted by keys."""
+        table = f"docquarry_{name}_{uuid.uuid4().hex}".replace("-", "_")
+        df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+            prefix = f"docquarry_{name}_".replace("-", "_")
+            for table in [t for t in self._tables if t.startswith(prefix)]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+                self._tables.remove(table)
+
+    def close(self) -> None:
+        if self in Scratch._open:
+            Scratch._open.remove(self)
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables = []
+        self._files.delete(self._folder, True)
+
+
+def opened() -> list[Scratch]:
+    """The operator calls whose intermediate tables are there."""
+    return list(Scratch._open)
+
+
+def clear(keep: list[Scratch] = ()) -> None:
+    """Delete the intermediate tables of operator calls, once their results are written;
+    those of the calls in `keep` stay."""
+    for scratch in [s for s in Scratch._open if s not in keep]:
+        scratch.close()
+
+
+@atexit.register
+def _leave_nothing() -> None:
+    for scratch in list(Scratch._open):
+        try:
+            scratch._files.delete(scratch._folder, True)
+        except (Py4JError, OSError, AttributeError):  # the JVM has gone already
+            return
+
+
+# -- rows through Python, joins ------------------------------------------------------
+
+
+def map_batches(rows: DataFrame, run, schema: str, ids: tuple = ("doc_id",)) -> DataFrame:
+    """mapInPandas with 64-bit ids that stay exact beside nulls: pandas would make doubles
+    of such a column, so ids travel as text."""
+    sent = rows.select(*[F.col(c).cast("string").alias(c) if c in ids else F.col(c) for c in rows.columns])
+    wanted = StructType.fromDDL(schema)
+    carried = StructType([StructField(f.name, StringType() if f.name in ids else f.dataType) for f in wanted])
+    return sent.mapInPandas(run, carried).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def salted_join(rows: DataFrame, one_each: DataFrame, on: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row per key; the rows of a hot key are dealt over
+    SALTS tasks by a hash of `spread`, for which the other side is repeated."""
+    salt = fresh(rows, "salt")
+    left = rows.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    right = one_each.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, salt], how).drop(salt)
 
 
 def fresh(df: DataFrame, base: str) -> str:
