@@ -8,8 +8,8 @@ are merged into one run of the next level. Lines are dropped by a last join with
 merged runs.
 
 Only DataFrame functions run here. Hot lines are pre-aggregated before each shuffle; the
-join that marks occurrences has plain exchanges on both sides, so adaptive execution
-can split a hot key's partition.
+join that marks occurrences deals a hot line over several tasks. Runs are dropped when they
+are merged.
 
 Defined cases: null or empty text is one empty line. Rows with a null doc_id neither
 count as holders nor lose lines. Repeated rows of one doc_id count as one document and
@@ -18,13 +18,12 @@ each loses the same lines. Lines whose key is shorter than `min_chars` always st
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import fresh, new_path, shuffle_partitions, stored
+from docquarry.llm.common import Scratch, fresh, salted_join, shuffle_partitions
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,10 +41,11 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """Levelled runs of (a, b): two independent 64-bit hashes of a line key."""
 
-    def __init__(self, spark: SparkSession, min_docs: int = 3, fanout: int = 2):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+    def __init__(self, spark: SparkSession, scratch: Scratch, min_docs: int = 3, fanout: int = 2):
+        self.spark, self.scratch, self.min_docs, self.fanout = spark, scratch, min_docs, fanout
         self.buckets = shuffle_partitions(spark)
-        self.levels: list[list[DataFrame]] = []
+        self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.made = 0
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, a, b); a document's lines must be in one batch.
@@ -59,7 +59,7 @@ class LineRuns:
         self._put(run, 0)
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [run for level in self.levels for _, run in level]
 
     def _put(self, run: DataFrame, level: int) -> None:
         if level == len(self.levels):
@@ -67,7 +67,8 @@ class LineRuns:
         self.levels[level].append(self._write(run))
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(self._merge(full), level + 1)
+            self._put(self._merge([run for _, run in full]), level + 1)
+            self.scratch.drop(*[name for name, _ in full])
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -80,11 +81,10 @@ class LineRuns:
 
         return reduce(pair, runs)
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        name = f"docquarry_run_{uuid.uuid4().hex}"
-        dealt = run.repartition(self.buckets, "a", "b")
-        dealt.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", new_path(self.spark, "run")).format("parquet").saveAsTable(name)
-        return self.spark.table(name)
+    def _write(self, run: DataFrame) -> tuple[str, DataFrame]:
+        self.made += 1
+        name = f"run{self.made}x"
+        return name, self.scratch.bucketed(run, name, self.buckets, ["a", "b"])
 
     def repeated(self) -> DataFrame | None:
         """Keys with at least `min_docs` documents, and the largest doc_id of each."""
@@ -96,13 +96,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
     """`docs` with all its columns and, first, a struct column named by `into` with n_lines,
     n_dropped and kept (the text left)."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "line-dedup")
     row_key, lines, drop = fresh(docs, "row_key"), fresh(docs, "lines"), fresh(docs, "drop")
     keyed = F.transform(text_lines(F.col("text")), lambda line, i: F.struct((i + 1).alias("pos"), line_key(line).alias("key")))
     long_enough = F.filter(keyed, lambda x: F.length(x["key"]) >= min_chars)
     hashed = F.transform(long_enough, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["key"]).alias("a"), F.xxhash64(F.lit(7), x["key"]).alias("b")))
-    keys = stored(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), hashed.alias("keys")), "line-keys")
+    keys = scratch.stored(docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), hashed.alias("keys")), "line-keys")
 
-    runs = LineRuns(spark, min_docs, fanout)
+    runs = LineRuns(spark, scratch, min_docs, fanout)
     for lower, upper in _ranges(keys, batches):  # the largest ids first, so that runs settle early
         batch = keys.filter((F.col("doc_id") > lower) & (F.col("doc_id") <= upper))
         runs.add(batch.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.a", "k.b"))
@@ -111,7 +112,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches
         drops = spark.createDataFrame([], "doc_id long, row_key long, drop array<int>")
     else:
         seen = keys.select("doc_id", "row_key", F.explode("keys").alias("k")).select("doc_id", "row_key", "k.pos", "k.a", "k.b")
-        hit = seen.join(stored(repeated, "repeated-lines"), ["a", "b"]).filter(F.col("doc_id") < F.col("last"))
+        settled = scratch.stored(repeated, "repeated-lines")
+        scratch.drop(*[name for level in runs.levels for name, _ in level])
+        hit = salted_join(seen, settled, ["a", "b"], ["doc_id", "pos"]).filter(F.col("doc_id") < F.col("last"))
         drops = hit.groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
     drops = drops.select(F.col("doc_id").alias(f"{drop}_id"), F.col("row_key").alias(row_key), F.col("drop").alias(drop))
