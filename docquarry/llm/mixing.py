@@ -9,8 +9,9 @@ at least once.
 The weights are realised as budgeted block permutations: in each epoch a source's
 documents are permuted by a hash of (seed, epoch, doc_id); whole epochs are followed by
 the longest prefix of one more permutation that fits the source's remaining budget. The
-prefix sums need no source in one task: a permutation is cut into hash ranges of about
-`block_tokens` tokens, sums run within a range and over the ranges' totals.
+prefix sums need no source in one task: a permutation is cut into hash ranges of at most
+about `block_tokens` tokens and `RANGE_ROWS` rows, sums run within a range and over the
+ranges' totals.
 
 Only DataFrame functions run here; the driver sees a fixed number of sums.
 
@@ -29,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docquarry.llm.common import fresh, stored
+from docquarry.llm.common import Scratch, fresh
 
 #: Up to so many sources their plan is broadcast (a row is under 100 bytes).
 BROADCAST_SOURCES = 50_000
 _SALTS = 64
+#: Rows of a hash range, on average, of the source with the most rows.
+RANGE_ROWS = 4_096
 
 
 def count_tokens(text: Column) -> Column:
@@ -89,36 +92,39 @@ def bisect_exponent(shares: DataFrame, target_entropy: float, max_epochs: float,
 
 def plan_mix(docs: DataFrame, entropy_share: float = 0.95, max_epochs: float = 2.0, block_tokens: int = 1_000_000, seed: int = 17) -> Mix:
     """entropy_share: the target entropy as a part of the entropy of uniform weights."""
-    items = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_tokens(F.col("text")).alias("n_tokens")), "mix-items")
-    totals = stored(items.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "mix-sources")
-    total, most, sources = totals.agg(F.sum("tokens"), F.max("tokens"), F.count(F.when(F.col("tokens") > 0, 1))).first()
+    scratch = Scratch(docs.sparkSession, "mixing")
+    items = scratch.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), count_tokens(F.col("text")).alias("n_tokens")), "mix-items")
+    totals = scratch.stored(items.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")), "mix-sources")
+    total, most, sources, rows = totals.agg(F.sum("tokens"), F.max("tokens"), F.count(F.when(F.col("tokens") > 0, 1)), F.max("rows")).first()
+    bits = max(0, min(30, math.ceil(math.log2(max((most or 0) / block_tokens, (rows or 0) / RANGE_ROWS, 1)))))
     if not total:
         plan = totals.select("source", F.lit(0.0).alias("weight"), F.lit(1).alias("epochs"), F.lit(0).cast("long").alias("rest"), F.lit(-1).cast("long").alias("cut"), "tokens")
-        return Mix(1.0, 0.0, plan, items, 0, seed)
+        return Mix(1.0, 0.0, plan, items, bits, seed)
     shares = totals.filter("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total)))
     exponent = bisect_exponent(shares, entropy_share * math.log(max(sources, 2)), max_epochs)
     norm = shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0]
     weight = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(exponent)) / F.lit(norm)
     # w_s / p_s is least for the largest source; there one epoch is the whole budget
     budget = most / ((most / total) ** exponent / norm)
-    bits = max(0, min(30, math.ceil(math.log2(max(most / block_tokens, 1)))))
     want = F.when(F.col("tokens") > 0, F.greatest(weight * budget, F.col("tokens").cast("double"))).otherwise(0.0)
     epochs = F.when(F.col("tokens") > 0, F.floor(want / F.col("tokens") + F.lit(1e-9))).otherwise(1).cast("int")
     planned = totals.select("source", "tokens", F.when(F.col("tokens") > 0, weight).otherwise(0.0).alias("weight"), epochs.alias("epochs"), F.greatest(F.floor(want - epochs * F.col("tokens")), F.lit(0)).cast("long").alias("rest"))
-    plan = stored(planned, "mix-weights")
+    plan = scratch.stored(planned, "mix-weights")
 
     # the last, partial epoch: sums by hash range, then only the range that holds the cut
     last = attach(items, plan.filter("rest > 0").select("source", "epochs", "rest"))
     last = last.withColumn("key", order_key(F.col("doc_id"), F.col("epochs"), seed)).withColumn("range", F.shiftright("key", 63 - bits))
     ranges = _with_base(last.groupBy("source", "range").agg(F.sum("n_tokens").alias("in_range"), F.first("rest").alias("rest")), ["source"])
-    edges = stored(ranges.filter((F.col("base") <= F.col("rest")) & (F.col("base") + F.col("in_range") > F.col("rest"))).select("source", F.col("range").alias("edge"), "base"), "mix-edges")
+    edges = scratch.stored(ranges.filter((F.col("base") <= F.col("rest")) & (F.col("base") + F.col("in_range") > F.col("rest"))).select("source", F.col("range").alias("edge"), "base"), "mix-edges")
     upto = F.sum("n_tokens").over(Window.partitionBy("source", "range").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     inside = attach(last, edges).filter(F.col("range") == F.col("edge")).withColumn("upto", F.col("base") + upto)
     fit = F.max(F.when(F.col("upto") <= F.col("rest"), F.col("key")))
     start = F.shiftleft(F.col("edge").cast("long"), 63 - bits)
     cuts = inside.groupBy("source", "edge").agg(fit.alias("fit")).select("source", F.coalesce("fit", start - 1).alias("cut"))
     planned = attach(plan, cuts, "left").withColumn("cut", F.coalesce("cut", F.lit(-1).cast("long")))
-    return Mix(exponent, budget, stored(planned, "mix-plan"), items, bits, seed)
+    planned = scratch.stored(planned, "mix-plan")
+    scratch.drop("mix-sources", "mix-weights", "mix-edges")
+    return Mix(exponent, budget, planned, items, bits, seed)
 
 
 def _with_base(ranges: DataFrame, group: list[str]) -> DataFrame:
@@ -135,7 +141,9 @@ def attach(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
     same = rows["source"].eqNullSafe(plan[key])
     if plan.count() <= BROADCAST_SOURCES:
         return rows.join(F.broadcast(plan), same, how).drop(key)
-    left = rows.withColumn(salt, F.floor(F.rand(1) * _SALTS).cast("int"))
+    # a hash of the row: the same again if a task is run twice
+    spread = F.xxhash64(F.lit(0), *[F.col(c) for c in ("doc_id", "n_tokens", "text") if c in rows.columns])
+    left = rows.withColumn(salt, F.pmod(spread, F.lit(_SALTS)).cast("int"))
     right = plan.withColumn(f"{salt}r", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     return left.join(right, left["source"].eqNullSafe(right[key]) & (F.col(salt) == F.col(f"{salt}r")), how).drop(key, salt, f"{salt}r")
 
