@@ -1,18 +1,21 @@
 """Substring deduplication by level-wise doubling.
 
-Word windows of a short length are looked up first; only where that length alone repeats
-are windows of twice the length (at most the wanted one) built and looked up, and so on
-until the wanted length is reached or no candidate survives.
-
-At the first level each document sends only its anchors: in every stretch of the wanted
-length, the window of the first length with the smallest hash. Equal stretches have equal
-anchors, so none is missed, and about a quarter of the windows are sent. Windows of the
-last level are named by 96 bits.
-`bytes.split()` takes just the six blanks that end words here.
+All windows of a short length are looked up first. Only windows that repeat there are
+extended: a window of twice the length (at most the wanted one) is a candidate where both
+its ends repeat. The candidates of each length are looked up in the same way, and so on
+until the wanted length is reached; where no candidate survives, nothing more is asked.
+
+Documents are dealt into chunks. A chunk asks about each of its distinct windows once: at
+the shorter lengths by 40 bits of a hash within one of many hash ranges, as false candidates
+do no harm, at the last by a 96-bit name and the chunk's smallest doc_id that has it. A range
+sees the questions of all chunks and answers with a bit for each: whether another chunk has
+the window too, or, at the last, has it in a smaller doc_id. A window of a third of all
+documents is so one entry per chunk. The texts are exchanged once, by chunk; all levels read
+that exchange. Memory is bounded by a chunk and by a range, whose number grows with the texts.
 
 Exact copies are settled before: all but those with the smallest doc_id of a text lose
-every word, so their windows need no row. Everything else is keyed by window hash and
-pre-aggregated; joins back to documents have plain exchanges on both sides.
+every word, so their windows are not asked about.
+`bytes.split()` takes just the six blanks that end words here.
 
 Defined cases: null text has no words. Words are kept as they are. A document shorter
 than the window loses nothing. Rows that share a doc_id are judged one by one; neither
@@ -29,11 +32,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import CHUNK_BYTES, U64, Words, bounded_batches, chunks, release, stored, window_hashes
+from docquarry.llm.common import U64, Scratch, Words, map_batches, salted_join, shuffle_partitions, window_hashes
 
 WINDOW = 13
 #: A first level shorter than this would repeat everywhere.
 SHORTEST = 5
+#: Windows that a range's task holds, and bytes of text in a chunk (more in proportion to
+#: the ranges, so that a chunk has many windows for each).
+RANGE_WINDOWS = 4_000_000
+CHUNK_TEXT, CHUNK_TEXT_MOST = 1 << 19, 1 << 23
+_LOW = U64((1 << 40) - 1)
+
+ROW = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
+QUESTION = "range long, chunk long, packed binary"
+NOTE = "chunk long, level int, a long, b long, bits binary"
 
 
 def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
@@ -44,50 +56,8 @@ def levels(window: int = WINDOW, shortest: int = SHORTEST) -> list[int]:
     return out
 
 
-def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
-    """Minimum of each n consecutive entries, by doubling."""
-    width = 1
-    while 2 * width <= n:
-        x = np.minimum(x[:-width], x[width:]) if len(x) > width else x[:0]
-        width *= 2
-    rest = n - width
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest and len(x) > rest else x if not rest else x[:0]
-
-
-class Stretches:
-    """Windows of a few texts: which start positions are whole windows of one text, and
-    each one's anchor."""
-
-    def __init__(self, texts: list[bytes], window: int, first: int):
-        self.words, self.window = Words(texts), window
-        hashes = self.words.hashes()
-        short = window_hashes(hashes, first)
-        self.anchor = sliding_min(short, window - first + 1)  # of each window
-        ends = self.words.first[1:]
-        start = np.arange(len(self.anchor))
-        self.valid = start + window <= np.repeat(ends, self.words.counts)[: len(start)]
-
-
-def _texts(batch) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in batch]
-
-
-def anchors(docs: DataFrame, window: int, first: int) -> DataFrame:
-    """(h, doc_id): each document's distinct anchors."""
-
-    def run(batches):
-        for batch in batches:
-            texts, ids = _texts(batch["text"]), batch["doc_id"].to_numpy()
-            for a, b in chunks(list(map(len, texts)), CHUNK_BYTES // 2):
-                part = Stretches(texts[a:b], window, first)
-                row = part.words.row[: len(part.anchor)][part.valid].astype(np.int64)
-                h = part.anchor[part.valid]
-                # neighbours mostly share their anchor
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                yield pd.DataFrame({"h": h[new].astype(np.int64), "doc_id": ids[a:b][row[new]]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "h long, doc_id long")
+def _utf8(texts) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
 
 
 def _finish(words: list[bytes], covered: np.ndarray | None = None) -> tuple[int, int, str, str]:
@@ -97,108 +67,197 @@ def _finish(words: list[bytes], covered: np.ndarray | None = None) -> tuple[int,
     return len(words), len(words) - len(kept), data.decode("utf-8", "surrogatepass"), hashlib.sha256(data).hexdigest()
 
 
-def candidates(docs: DataFrame, hits: DataFrame, window: int, first: int, with_text: bool) -> DataFrame:
-    """Joins documents with their repeated anchors. Rows without any, and exact copies
-    (`copy`), are finished here; the others keep their text and a bit for each position
-    whose window has a repeated anchor."""
+class Block:
+    """The documents of a chunk, and for each of their words whether a candidate window
+    starts there."""
+
+    def __init__(self, docs: pd.DataFrame, notes: pd.DataFrame, lengths: list[int], ranges: int):
+        docs = docs.sort_values(["doc_id", "row_key"], kind="stable")
+        self.ids, self.lengths, self.ranges = docs["doc_id"].to_numpy(), lengths, ranges
+        copies = set(notes.loc[notes["level"] == 0, ["a", "b"]].itertuples(index=False, name=None))
+        self.copy = [key in copies for key in zip(self.ids.tolist(), docs["row_key"].tolist(), strict=True)]
+        self.texts = _utf8(docs["text"])
+        self.words = Words([b"" if copy else t for t, copy in zip(self.texts, self.copy, strict=True)])
+        self.hashes = self.words.hashes()
+        self.end = np.repeat(self.words.first[1:], self.words.counts)  # of each word's document
+        long_enough = np.repeat(self.words.counts >= lengths[-1], self.words.counts)
+        self.alive = long_enough & (np.arange(len(self.end)) + lengths[0] <= self.end)
+        self.notes = notes
+
+    def entries(self, level: int):
+        """The distinct candidate windows of a level in the order in which they are asked:
+        (range, packed value), first and last document number of each, and each candidate's
+        place among them."""
+        n = self.lengths[level]
+        at = np.flatnonzero(self.alive)
+        own = self.ids[self.words.row[at]]
+        a = window_hashes(self.hashes, n)[at]
+        span = (a >> U64(40)) % U64(self.ranges)
+        if level < len(self.lengths) - 1:
+            names, first, place = np.unique(span << U64(40) | (a & _LOW), return_index=True, return_inverse=True)
+            packed = np.ascontiguousarray((names & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            span = (names >> U64(40)).astype(np.int64)
+        else:
+            b = (window_hashes(self.words.hashes(1), n, 1)[at] >> U64(32)).astype(np.uint32)
+            order = np.lexsort((b, a, span))
+            new = np.ones(len(at), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            place = np.empty(len(at), np.int64)
+            place[order] = np.cumsum(new) - 1
+            first = order[new]  # stable: the smallest place of each, so the smallest doc_id
+            packed = np.zeros(len(first), [("a", "<u8"), ("b", "<u4"), ("least", "<i8")])
+            packed["a"], packed["b"], packed["least"] = a[first], b[first], own[first]
+            packed = packed.view(np.uint8).reshape(len(first), packed.itemsize)
+            span = span[first].astype(np.int64)
+        last = np.empty(len(first), np.int64)
+        last[place] = own  # candidates are in ascending order of doc_id
+        return at, own, span, packed, own[first], last, place
+
+    def answers(self, level: int, span: np.ndarray) -> np.ndarray:
+        """The answered bit of each entry of a level; ranges without an answer say no."""
+        said = {a: bits for a, bits in self.notes.loc[self.notes["level"] == level + 1, ["a", "bits"]].itertuples(index=False, name=None)}
+        out = np.zeros(len(span), bool)
+        ranges, begin, size = np.unique(span, return_index=True, return_counts=True)
+        for r, i, n in zip(ranges.tolist(), begin.tolist(), size.tolist(), strict=True):
+            if r in said:
+                out[i : i + n] = np.unpackbits(np.frombuffer(said[r], np.uint8), count=n)
+        return out
+
+    def climb(self, levels: int) -> None:
+        """Take the answers to the first levels: what repeats at one length is extended."""
+        for level in range(levels):
+            at, _, span, _, first, last, place = self.entries(level)
+            again = np.zeros(len(self.alive), bool)
+            again[at] = (self.answers(level, span) | (last > first))[place]
+            step = self.lengths[level + 1] - self.lengths[level]
+            where = np.arange(max(len(again) - step, 0))
+            self.alive = np.zeros(len(again), bool)
+            self.alive[where] = again[where] & again[step:] & (where + self.lengths[level + 1] <= self.end[where])
+
+    def questions(self, level: int, chunk: int) -> pd.DataFrame:
+        self.climb(level)
+        _, _, span, packed, *_ = self.entries(level)
+        ranges, begin, size = np.unique(span, return_index=True, return_counts=True)
+        return pd.DataFrame({"range": ranges, "chunk": np.full(len(ranges), chunk), "packed": [packed[i : i + n].tobytes() for i, n in zip(begin.tolist(), size.tolist(), strict=True)]})
+
+    def results(self, with_text: bool) -> pd.DataFrame:
+        """The rows of all documents."""
+        top, window = len(self.lengths) - 1, self.lengths[-1]
+        self.climb(top)
+        at, own, span, _, first, _, place = self.entries(top)
+        gone = self.answers(top, span)[place] | (own > first[place])
+        change = np.zeros(len(self.alive) + 1, np.int64)
+        np.add.at(change, at[gone], 1)
+        np.add.at(change, at[gone] + window, -1)
+        covered = np.cumsum(change)[:-1] > 0
+        rows = []
+        for i, (text, copy) in enumerate(zip(self.texts, self.copy, strict=True)):
+            words = text.split()
+            if copy:
+                rows.append(_finish(words, np.full(len(words), len(words) >= window)))
+            else:
+                part = covered[self.words.first[i] : self.words.first[i + 1]]
+                rows.append(_finish(words, part if part.any() else None))
+        return _rows(self.ids, rows, with_text)
+
+
+def _rows(ids, rows: list[tuple], with_text: bool) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept", "kept_sha256"])
+    if not with_text:
+        out["kept"] = None
+    out.insert(0, "doc_id", ids)
+    return out
+
 
-    def run(batches):
-        for batch in batches:
-            texts, found = _texts(batch["text"]), batch["hits"]
-            rows = []
-            for i, (text, hit, copy) in enumerate(zip(texts, found, batch["copy"], strict=True)):
-                n = len(words := text.split())
-                base = [batch["doc_id"].iloc[i], batch["row_key"].iloc[i]]
-                if copy and n >= window:
-                    rows.append([*base, n, n, "" if with_text else None, hashlib.sha256(b"").hexdigest(), None, None])
-                    continue
-                if hit is not None and n >= window:
-                    part = Stretches([text], window, first)
-                    ok = part.valid & np.isin(part.anchor, np.asarray(hit, np.int64).astype(U64))
-                    if ok.any():
-                        rows.append([*base, n, None, None, None, batch["text"].iloc[i], np.packbits(ok).tobytes()])
-                        continue
-                _, _, kept, sha = _finish(words)
-                rows.append([*base, n, 0, kept if with_text else None, sha, None, None])
-            out = pd.DataFrame(rows, columns=["doc_id", "row_key", "n_words", "n_removed", "kept", "sha", "text", "places"])
-            for c in ("doc_id", "n_removed"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    joined = docs.join(hits, "doc_id", "left").select("doc_id", "row_key", "text", "hits", F.coalesce("copy", F.lit(False)).alias("copy"))
-    return joined.mapInPandas(run, "doc_id long, row_key long, n_words long, n_removed long, kept string, sha string, text string, places binary")
-
-
-def open_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, row_key, at, a, b): the candidate windows of open rows with 96-bit names."""
+def _answer(rows: list[tuple], level: int, last: bool) -> list[tuple]:
+    """rows: (chunk, packed) of one range. Notes for the chunks that get a yes."""
+    size = [len(packed) // (20 if last else 5) for _, packed in rows]
+    data = np.frombuffer(b"".join(packed for _, packed in rows), np.uint8)
+    if last:
+        entry = data.view([("a", "<u8"), ("b", "<u4"), ("least", "<i8")])
+        order = np.lexsort((entry["b"], entry["a"]))
+        a, b, least = entry["a"][order], entry["b"][order], entry["least"][order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        smallest = np.repeat(np.minimum.reduceat(least, new), np.diff(new, append=len(a)))
+        yes = least > smallest
+    else:
+        value = np.zeros((len(data) // 5, 8), np.uint8)
+        value[:, :5] = data.reshape(-1, 5)
+        value = value.view("<u8")[:, 0]
+        order = np.argsort(value, kind="stable")
+        same = value[order][1:] == value[order][:-1]
+        yes = np.zeros(len(value), bool)
+        yes[1:] |= same
+        yes[:-1] |= same
+    bit = np.empty(len(yes), bool)
+    bit[order] = yes
+    edge = np.cumsum([0, *size])
+    return [(chunk, bit[i:j]) for (chunk, _), i, j in zip(rows, edge[:-1].tolist(), edge[1:].tolist(), strict=True) if bit[i:j].any()]
+
+
+def answers(questions: DataFrame, level: int, last: bool) -> DataFrame:
+    """The ranges' answers to a level's questions, as notes."""
+    parts = shuffle_partitions(questions.sparkSession)
+    dealt = questions.repartition(parts, "range").sortWithinPartitions("range", "chunk")
 
     def run(batches):
+        now, rows = None, []
+
+        def settle():
+            said = _answer(rows, level, last) if rows else []
+            return pd.DataFrame([(chunk, level + 1, now, 0, np.packbits(bits).tobytes()) for chunk, bits in said], columns=["chunk", "level", "a", "b", "bits"])
+
         for batch in batches:
-            texts = _texts(batch["text"])
-            for start, stop in chunks(list(map(len, texts)), CHUNK_BYTES // 2):
-                words = Words(texts[start:stop])
-                a, b = (window_hashes(words.hashes(lane), window, lane) for lane in (0, 1))
-                at, row = [], []
-                for i, (begin, bits) in enumerate(zip(words.first, batch["places"].iloc[start:stop], strict=False)):
-                    places = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
-                    at.append(places + begin)
-                    row.append(np.full(len(places), i))
-                where, row = np.concatenate(at), np.concatenate(row)
-                ids, keys = batch["doc_id"].to_numpy()[start:stop], batch["row_key"].to_numpy()[start:stop]
-                yield pd.DataFrame({"doc_id": ids[row], "row_key": keys[row], "at": (where - words.first[row]).astype(np.int32), "a": a[where].astype(np.int64), "b": (b[where] >> U64(32)).astype(np.uint32).astype(np.int32)})
-
-    return rows.select("doc_id", "row_key", "text", "places").mapInPandas(run, "doc_id long, row_key long, at int, a long, b int")
-
-
-def _settle(docs: DataFrame, window: int, first: int, with_text: bool) -> DataFrame:
-    """The table of candidates(): finished rows, and open ones with their text."""
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    texts = known.select("doc_id", "row_key", F.xxhash64(F.lit(7), "text").alias("twin"))
-    first_of = texts.groupBy("row_key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    copies = stored(texts.join(first_of, ["row_key", "twin"]).filter("doc_id > first").select("doc_id").distinct(), "copies")
-
-    sent = anchors(known, window, first)
-    repeated = stored(sent.groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("h"), "repeated-anchors")
-    release(docs.sparkSession)
-    hits = sent.join(repeated, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-    # a doc_id that is a copy may also stand on another text: only a sole text is settled
-    several = known.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-    sole = copies.join(several, "doc_id", "left_anti").withColumn("copy", F.lit(True))
-    return stored(candidates(docs, hits.join(sole, "doc_id", "full_outer"), window, first, with_text), "candidates")
+            for span, chunk, packed in zip(batch["range"], batch["chunk"], batch["packed"], strict=True):
+                if span != now:
+                    yield settle()
+                    now, rows = span, []
+                rows.append((chunk, packed))
+        yield settle()
+
+    return dealt.mapInPandas(run, NOTE).repartition(parts, "chunk")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (null unless with_text) and kept_sha256 per row."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    spark, lengths = docs.sparkSession, levels(window, shortest)
+    scratch, parts = Scratch(spark, "substring-dedup"), shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    state = _settle(rows, window, levels(window, shortest)[0], with_text)
-    release(spark)
+    counted = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    known = rows.filter(counted)
+
+    # exact copies, from narrow rows
+    keys = known.select("doc_id", "row_key", F.xxhash64(F.lit(7), "text").alias("twin"), F.octet_length("text").alias("size"))
+    same = scratch.stored(keys.groupBy("row_key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("size").alias("size"), F.max("size").alias("each")), "texts")
+    total, distinct = same.agg(F.sum("size"), F.sum("each")).first()
+    ranges = max(parts, (distinct or 0) // 4 // RANGE_WINDOWS)
+    chunks = max(4 * parts, (total or 0) // min(max(CHUNK_TEXT, 400 * ranges), CHUNK_TEXT_MOST))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id", "row_key"), F.lit(chunks)))
 
-    open_rows = state.filter(F.col("text").isNotNull())
-    windows = open_windows(open_rows, window)
-    least = stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("a", "b", "first"), "repeated-windows")
-    release(spark)
-    late = stored(windows.join(least, ["a", "b"]).filter("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("gone")), "windows-gone")
-    release(spark)
+    copies = salted_join(keys, same.filter("first < last").select("row_key", "twin", "first"), ["row_key", "twin"], ["doc_id"]).filter("doc_id > first").select("doc_id", "row_key").distinct()
+    noted = scratch.stored(placed(copies).select("chunk", F.lit(0).alias("level"), F.col("doc_id").alias("a"), F.col("row_key").alias("b"), F.lit(b"").alias("bits")), "copies")
 
-    def cut(batches):
+    dealt = placed(known).repartition(parts, "chunk")
+
+    def asker(level: int):
+        def ask(left, right):
+            return Block(left, right, lengths, ranges).questions(level, left["chunk"].iloc[0]) if len(left) else pd.DataFrame(columns=["range", "chunk", "packed"])
+
+        return ask
+
+    for level in range(len(lengths)):
+        asked = dealt.groupBy("chunk").cogroup(noted.groupBy("chunk")).applyInPandas(asker(level), QUESTION)
+        noted = noted.unionByName(answers(asked, level, level == len(lengths) - 1))
+
+    def finish(left, right):
+        return Block(left, right, lengths, ranges).results(with_text) if len(left) else pd.DataFrame(columns=[c.split()[0] for c in ROW.split(", ")])
+
+    found = dealt.groupBy("chunk").cogroup(noted.groupBy("chunk")).applyInPandas(finish, ROW)
+
+    def plain(batches):
         for batch in batches:
-            out = []
-            for text, gone in zip(_texts(batch["text"]), batch["gone"], strict=True):
-                words = text.split()
-                change = np.zeros(len(words) + 1, np.int64)
-                if gone is not None:
-                    np.add.at(change, np.asarray(gone), 1)
-                    np.add.at(change, np.asarray(gone) + window, -1)
-                out.append(_finish(words, np.cumsum(change)[:-1] > 0))
-            frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "kept_sha256"])
-            if not with_text:
-                frame["kept"] = None
-            frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield frame
-
-    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
-    pending = open_rows.select("doc_id", "row_key", "text").join(late, ["doc_id", "row_key"], "left").select("doc_id", "text", "gone")
-    closed = state.filter(F.col("text").isNull()).select("doc_id", "n_words", "n_removed", "kept", F.col("sha").alias("kept_sha256"))
-    return closed.unionByName(pending.mapInPandas(cut, schema))
+            yield _rows(batch["doc_id"].to_numpy(), [_finish(t.split()) for t in _utf8(batch["text"])], with_text)
+
+    return found.unionByName(map_batches(rows.filter(~counted).select("doc_id", "text"), plain, ROW))
