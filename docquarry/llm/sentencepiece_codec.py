@@ -1,9 +1,9 @@
 """Encoding and decoding with a SentencePiece model by streaming Viterbi.
 
 A text is a chain of boundaries; every piece that ends at a boundary is an arc. The
-decoder keeps, for each boundary in a window no longer than the longest piece, the
-surviving backpointer, and commits ids as soon as all surviving paths run through one
-boundary. Two kinds of survivor rule are known:
+decoder keeps the surviving backpointers of a window no longer than the longest piece, and
+commits ids whenever all surviving paths converge on one boundary. Two kinds of survivor
+rule are known:
 
 * ``unigram``: the path with the largest sum of piece scores survives.
 * ``bpe``: a path survives if merging by rank would build it. The merge result of any
@@ -11,12 +11,20 @@ boundary. Two kinds of survivor rule are known:
   whose piece and predecessor merge into just that pair. This makes the ids equal those
   of the merge procedure for BPE models.
 
+Paths converge on a boundary if the least of the last common boundaries of neighbouring
+survivors is that boundary; a boundary from which a piece may still start is a survivor
+itself. So within a word no longer than the longest piece nothing can be committed before
+its end, and words that share a beginning share its lattice: the decoder takes the distinct
+words of a batch in sorted order and goes on from the boundary up to which a word equals
+the one before, unless it has committed ids since.
+
 No piece runs from a character into a following word mark, so the mark is always a
-boundary on which all paths converge; the codec encodes word by word and remembers the
-ids of words in a bounded cache.
+boundary on which all paths converge: every word is a stream of its own. The ids that the
+decoder found for words are remembered in a bounded cache.
 
-Most words of BPE models do not take the streaming decoder: `_sorted_words` keeps their
-whole lattice, shared with the word before, and traces it back at the word's end.
+Models are read from their file. Supported are BPE and unigram models with the identity
+normaliser, a dummy prefix, escaped white space, no removal of extra white space and no
+user-defined pieces; others raise ValueError.
 
 Defined cases: null text -> no ids, decoded ''. Empty text -> no ids. Characters outside
 the vocabulary -> byte pieces (models without them: the unknown id, which decodes to
@@ -35,6 +43,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import map_batches
+
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CACHE_WORDS = 300_000
@@ -58,18 +68,72 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.usable[i]}
 
 
-def load_model(path: str = DEFAULT_MODEL, kind: str = "bpe") -> PieceModel:
-    """Read the vocabulary of a model file on the driver. The library serves only to
-    parse the file; it encodes nothing."""
-    import sentencepiece
+# Fixed values of the public model format: field numbers of the file, of a piece, of the
+# trainer's and the normaliser's settings; kinds of pieces and of models.
+_PIECES, _TRAINER, _NORMALISER = 1, 2, 3
+_PIECE, _SCORE, _TYPE = 1, 2, 3
+_NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
+_MODEL_TYPE, _KINDS = 3, {1: "unigram", 2: "bpe"}
+_CHARSMAP, _DUMMY_PREFIX, _REMOVE_EXTRA, _ESCAPE = 2, 3, 4, 5
+
+
+def _fields(data: bytes):
+    """(field number, value) of a serialised message: integers, 4- or 8-byte strings of
+    fixed-width numbers, or the bytes of strings and messages."""
+    at = 0
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    n = sp.get_piece_size()
-    names = [sp.id_to_piece(i) for i in range(n)]
-    special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(n)]
-    by_name = {p: i for i, p in enumerate(names)}
-    bytes_ = [by_name.get(f"<0x{b:02X}>", -1) for b in range(256)]
-    return PieceModel(names, [sp.get_score(i) for i in range(n)], [not s for s in special], [] if -1 in bytes_ else bytes_, sp.unk_id(), kind)
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def parse_model(data: bytes) -> PieceModel:
+    """The vocabulary of a model file; ValueError for models that need what is not built."""
+    pieces, scores, types = [], [], []
+    trainer: dict = {}
+    normaliser: dict = {}
+    for number, value in _fields(data):
+        if number == _PIECES:
+            piece = dict(_fields(value))
+            pieces.append(piece.get(_PIECE, b"").decode())
+            scores.append(struct.unpack("<f", piece[_SCORE])[0] if _SCORE in piece else 0.0)
+            types.append(piece.get(_TYPE, _NORMAL))
+        elif number in (_TRAINER, _NORMALISER):
+            (trainer if number == _TRAINER else normaliser).update(_fields(value))
+    kind = _KINDS.get(trainer.get(_MODEL_TYPE, 1))
+    if kind is None:
+        raise ValueError("only BPE and unigram models are supported")
+    if _USER in types:
+        raise ValueError("user-defined pieces are not supported")
+    if normaliser.get(_CHARSMAP) or normaliser.get(_REMOVE_EXTRA, 1) or not normaliser.get(_DUMMY_PREFIX, 1) or not normaliser.get(_ESCAPE, 1):
+        raise ValueError("the model's normaliser is not supported")
+    bytes_ = {int(p[3:-1], 16): i for i, (p, t) in enumerate(zip(pieces, types, strict=True)) if t == _BYTE}
+    usable = [t == _NORMAL for t in types]
+    unk = types.index(_UNKNOWN) if _UNKNOWN in types else 0
+    return PieceModel(pieces, scores, usable, [bytes_[b] for b in range(256)] if len(bytes_) == 256 else [], unk, kind)
+
+
+def load_model(path: str = DEFAULT_MODEL) -> PieceModel:
+    """Read the vocabulary of a model file on the driver."""
+    with open(path, "rb") as file:
+        return parse_model(file.read())
 
 
 class _Cache(dict):
@@ -82,6 +146,29 @@ class _Cache(dict):
         return value
 
 
+class _Window:
+    """Surviving backpointers of the boundaries from `base` on, where all paths met last:
+    for each the size of its arc, the arc's piece (None: not reached; -1: a character
+    outside the vocabulary) and the sum of scores."""
+
+    __slots__ = ("base", "sizes", "arcs", "sums")
+
+    def __init__(self):
+        self.base = 0
+        self.sizes: list[int] = [0]
+        self.arcs: list[int | None] = [None]
+        self.sums: list[float] = [0.0]
+
+    def back(self, boundary: int) -> None:
+        del self.sizes[boundary + 1 :], self.arcs[boundary + 1 :], self.sums[boundary + 1 :]
+
+    def commit(self, boundary: int) -> None:
+        """Forget what is before; a bpe pair must still see its left neighbour, so that
+        boundary's arc stays."""
+        self.base += boundary
+        del self.sizes[:boundary], self.arcs[:boundary], self.sums[:boundary]
+
+
 class Codec:
     def __init__(self, model: PieceModel):
         self.model, self.ids = model, model.ids
@@ -148,66 +235,77 @@ class Codec:
 
     def viterbi(self, text: str):
         """Yield runs of ids in order, each as soon as every surviving path has it."""
-        bpe, ids, longest, scores = self.model.kind == "bpe", self.ids, self.longest, self.model.scores
-        base = 0  # the last boundary on which all paths converged
-        back: list[tuple[int, int | None, float]] = [(0, None, 0.0)]  # of boundaries base, base + 1, ...
-        for end in range(1, len(text) + 1):
-            best = None
-            for size in range(min(longest, end - base), 0, -1):
+        yield from self._decode(_Window(), text, 0)
+
+    def _decode(self, window: _Window, text: str, known: int):
+        """Go on from boundary `known` of the text, up to which the window holds it."""
+        bpe, ids, tails, longest, scores, fits = self.model.kind == "bpe", self.ids, self.tails, self.longest, self.model.scores, self.fits
+        base, sizes, arcs, sums = window.base, window.sizes, window.arcs, window.sums
+        for end in range(known + 1, len(text) + 1):
+            at = end - base  # the boundary's place in the window
+            best, piece_of, top = 0, None, _NEVER
+            for size in tails.get(text[end - 2 : end], _ONE) if end > 1 else _ONE:
+                if size > at:
+                    continue
                 piece = ids.get(text[end - size : end])
                 if piece is None:
                     continue
-                before = back[end - size - base]
-                if before[1] is None and end - size != base:
+                before = arcs[at - size]
+                if before is None and at - size + base:
                     continue  # no path reaches that boundary
                 if bpe:
-                    if before[1] is None or before[1] < 0 or self.fits[before[1], piece]:
-                        best = (size, piece, 0.0)
+                    if before is None or before < 0 or fits[before, piece]:
+                        best, piece_of = size, piece
                         break
-                elif best is None or before[2] + scores[piece] > best[2]:
-                    best = (size, piece, before[2] + scores[piece])
-            if best is None and text[end - 1] not in ids:
-                best = (1, -1, back[end - 1 - base][2] + self.worst)  # outside the vocabulary: a break for either rule
-            back.append(best or (0, None, 0.0))
-            if best and best[1] == -1 or len(back) > 2 * longest + 2:
-                meet = self._meet(back)
+                elif sums[at - size] + scores[piece] > top:
+                    best, piece_of, top = size, piece, sums[at - size] + scores[piece]
+            if not best and text[end - 1] not in ids:
+                best, piece_of, top = 1, -1, sums[at - 1] + self.worst  # outside the vocabulary: a break for either rule
+            sizes.append(best)
+            arcs.append(piece_of)
+            sums.append(0.0 if bpe else top)
+            if at >= longest and best:
+                meet = self._meet(window, at)
                 if meet:
-                    yield self._path(back, meet, text, base)
-                    # a bpe pair must still see its left neighbour, so that boundary stays
-                    back = [(0, back[meet][1], 0.0), *((s, p, v - back[meet][2]) for s, p, v in back[meet + 1 :])]
-                    base += meet
-        yield self._path(back, len(back) - 1, text, base)
-
-    def _meet(self, back) -> int:
-        """The last boundary that the paths to all boundaries in reach still run through."""
-        n = len(back) - 1
-        alive = {k for k in range(max(1, n - self.longest + 1), n + 1) if back[k][1] is not None}
-        while len(alive) > 1:
-            k = max(alive)
-            alive.discard(k)
-            alive.add(k - back[k][0])
-        return alive.pop() if alive else 0
-
-    def _path(self, back, at: int, text: str, base: int) -> list[int]:
+                    yield self._path(window, meet, text)
+                    window.commit(meet)
+                    base = window.base
+        yield self._path(window, len(text) - base, text)
+
+    def _meet(self, window: _Window, at: int) -> int:
+        """The last boundary that all survivors run through: those in reach of the next
+        character and the newest. 0 if that is the one committed last."""
+        arcs, sizes = window.arcs, window.sizes
+        alive = [k for k in range(max(0, at - self.longest + 1), at + 1) if arcs[k] is not None or not k]
+        meet = alive[0]
+        for other in alive[1:]:
+            while other > meet:
+                other -= sizes[other]
+            while meet > other:
+                meet -= sizes[meet]
+                while other > meet:
+                    other -= sizes[other]
+        return meet
+
+    def _path(self, window: _Window, at: int, text: str) -> list[int]:
         out: list[int] = []
         while at > 0:
-            size, piece, _ = back[at]
-            out += (piece,) if piece >= 0 else reversed(self._unknown(text[base + at - 1]))
-            at -= size
+            piece = window.arcs[at]
+            out += (piece,) if piece >= 0 else reversed(self._unknown(text[window.base + at - 1]))
+            at -= window.sizes[at]
         return out[::-1]
 
     # -- texts -------------------------------------------------------------------
 
     def _bytes(self, word: str) -> bytes:
-        return np.array([i for run in self.viterbi(word) for i in run], "<i4").tobytes()
+        return b"".join(struct.pack(f"<{len(run)}i", *run) for run in self.viterbi(word))
 
     def learn(self, texts) -> None:
-        """Encode the words of texts that the cache lacks, in sorted order: a word goes on
-        from the lattice of the prefix that it shares with the word before."""
+        """Decode the words of texts that the cache lacks."""
         if len(self.first) + len(self.plain) > _CACHE_WORDS:
             self.first.clear()
             self.plain.clear()
-        if not self.splits or self.model.kind != "bpe":
+        if not self.splits:
             return
         marked: set[str] = set()
         plain: set[str] = set()
@@ -226,46 +324,20 @@ class Codec:
             self.plain[word] = data
 
     def _sorted_words(self, words: list[str]):
-        """(word, ids as bytes). `sizes` and `arcs` hold the surviving arc into each
-        boundary of the current word; -1 marks a character outside the vocabulary."""
-        ids, fits, tails, longest = self.ids, self.fits, self.tails, self.longest
-        sizes, arcs, last = [0], [None], ""
+        """(word, ids as bytes). A word goes on in the window of the one before from the
+        last boundary that they share, if nothing was committed there."""
+        window, last, pack = _Window(), "", struct.pack
         for word in words:
-            n = len(word)
-            if n > 4 * longest:
-                yield word, self._bytes(word)
-                continue
-            same, most = 0, min(n, len(last))
-            while same < most and word[same] == last[same]:
-                same += 1
-            del sizes[same + 1 :], arcs[same + 1 :]
+            same = 0
+            if window.base:
+                window = _Window()
+            else:
+                most = min(len(word), len(last))
+                while same < most and word[same] == last[same]:
+                    same += 1
+                window.back(same)
             last = word
-            for end in range(same + 1, n + 1):
-                for size in tails.get(word[end - 2 : end], _ONE) if end > 1 else _ONE:
-                    if size > end:
-                        continue
-                    piece = ids.get(word[end - size : end])
-                    if piece is None:
-                        continue
-                    before = arcs[end - size]
-                    if before is None and size != end:
-                        continue
-                    if size == end or before < 0 or fits[before, piece]:
-                        sizes.append(size)
-                        arcs.append(piece)
-                        break
-                else:
-                    known = word[end - 1] in ids
-                    sizes.append(0 if known else 1)
-                    arcs.append(None if known else -1)
-            out: list[int] = []
-            at = n
-            while at > 0:
-                piece = arcs[at]
-                out += (piece,) if piece >= 0 else reversed(self._unknown(word[at - 1]))
-                at -= sizes[at]
-            out.reverse()
-            yield word, struct.pack(f"<{len(out)}i", *out)
+            yield word, b"".join([pack(f"<{len(run)}i", *run) for run in self._decode(window, word, same)])
 
     def encode_bytes(self, text: str | None) -> bytes:
         """Ids as little-endian 32-bit integers."""
@@ -326,7 +398,7 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
             packed = [np.frombuffer(codec.encode_bytes(t), "<i4") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "token_ids": packed, "decoded": [codec.decode(p.tolist()) for p in packed]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, token_ids array<int>, decoded string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, token_ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
@@ -348,4 +420,4 @@ def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
