@@ -3,8 +3,8 @@
 `write_gif` stores rows of 8-bit samples as an animated GIF with LZW code streams;
 `read_frames` parses any GIF87a/89a, decodes its code streams, applies local and global
 palettes, interlacing, transparency and disposal, and gives timed frames with the canvas
-as shown and a colour histogram. `store_texts` puts whole texts into GIFs and reads them
-back.
+as shown and a colour histogram. `store_texts` puts whole texts into GIFs; `read_media`
+reads a stored GIF column back into payloads and timed frames.
 
 Defined cases: a null text is an empty text; an empty text is 64 zero bytes. Long texts
 span several frames. Broken streams raise ValueError. A code stream that ends early
@@ -20,9 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import Scratch, map_batches
+
 WIDTH = 64
 #: Rows of samples in a frame: 64 KB of payload.
 FRAME_ROWS = 1024
@@ -253,21 +255,14 @@ def read_frames(data: bytes):
         delay, disposal, clear_index = 0, 0, None
 
 
-def frame_rows(data: bytes) -> list[dict]:
-    """Frame columns of one GIF: number, start and delay (hundredths of a second),
-    size and the 64-colour histogram."""
-    return [{"frame": k, "start": f.start, "delay": f.delay, "width": f.indices.shape[1], "height": f.indices.shape[0], "histogram": f.histogram().tolist()} for k, f in enumerate(read_frames(data))]
+FRAME = "start long, delay int, width int, height int, histogram array<long>"
+MEDIA = f"payload_bytes long, payload_sha256 string, tail_crc32 long, frames array<struct<{FRAME}>>"
 
 
-def frames_of(media: DataFrame, column: str = "gif") -> DataFrame:
-    """One row per frame of the GIFs in a binary column, beside its doc_id."""
-
-    def run(batches):
-        for batch in batches:
-            rows = [{"doc_id": i, **row} for i, data in zip(batch["doc_id"], batch["gif"], strict=True) if data is not None for row in frame_rows(data)]
-            yield pd.DataFrame(rows, columns=["doc_id", "frame", "start", "delay", "width", "height", "histogram"])
-
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("gif")).mapInPandas(run, "doc_id long, frame int, start long, delay int, width int, height int, histogram array<long>")
+def frame_row(frame: Frame) -> dict:
+    """Columns of a frame: start and delay (hundredths of a second), size and the
+    64-colour histogram."""
+    return {"start": frame.start, "delay": frame.delay, "width": frame.indices.shape[1], "height": frame.indices.shape[0], "histogram": frame.histogram().tolist()}
 
 
 def pad(data: bytes, unit: int = 64) -> bytes:
@@ -279,41 +274,59 @@ def text_to_gif(text: str | None) -> bytes:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the GIF that holds each whole text."""
+    """doc_id, the text's bytes and the GIF that holds them."""
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "gif": [text_to_gif(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len((t or "").encode("utf-8", "surrogatepass")) for t in batch["text"]], "gif": [text_to_gif(t) for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, gif binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, gif binary")
 
 
-def text_digest(text: str | None) -> tuple:
-    """Store a text, read it back and digest both forms: n_bytes, payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    media = write_gif(pad(data))
-    histogram = np.zeros(64, np.int64)
-    parts, frames = [], 0
-    for frame in read_frames(media):
+def read_gif(data: bytes) -> tuple:
+    """Payload digests and frames of a GIF that holds a payload: the red value of each
+    sample shown is its byte."""
+    parts, frames = [], []
+    for frame in read_frames(data):
         parts.append(np.ascontiguousarray(frame.canvas[: frame.indices.shape[0], :, 0]).tobytes())
-        histogram += frame.histogram()
-        frames += 1
+        frames.append(frame_row(frame))
     payload = b"".join(parts)
-    feature = f"{frames}:" + ",".join(map(str, histogram.tolist()))
-    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), frames
 
 
-DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def read_media(media: DataFrame) -> DataFrame:
+    """media: (doc_id, n_bytes, gif). The columns read back from each GIF: the payload's
+    size and digests, and its timed frames; and the size and digest of the GIF itself."""
 
+    def run(batches):
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "frames"]
+        for batch in batches:
+            out = pd.DataFrame([read_gif(gif) for gif in batch["gif"]], columns=names)
+            yield pd.concat([batch.drop(columns="gif").reset_index(drop=True), out], axis=1)
 
-def digests(docs: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in DIGEST.split(", ")]
+    sized = media.select("doc_id", "n_bytes", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"), "gif")
+    return map_batches(sized, run, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, {MEDIA}")
+
+
+def frames_of(media: DataFrame, column: str = "gif") -> DataFrame:
+    """One row per frame of the GIFs in a binary column, beside its doc_id; a null has
+    none."""
 
     def run(batches):
         for batch in batches:
-            out = pd.DataFrame([text_digest(t) for t in batch["text"]], columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+            rows = [{"doc_id": i, "frame": k, **frame_row(f)} for i, data in zip(batch["doc_id"], batch["gif"], strict=True) if data is not None for k, f in enumerate(read_frames(data))]
+            yield pd.DataFrame(rows, columns=["doc_id", "frame", "start", "delay", "width", "height", "histogram"])
+
+    return map_batches(media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("gif")), run, f"doc_id long, frame int, {FRAME}")
+
+
+def frames_text(frames: Column) -> Column:
+    """Frames as text: start+delay:counts, one after the other."""
+    return F.array_join(F.transform(frames, lambda f: F.concat(f["start"], F.lit("+"), f["delay"], F.lit(":"), F.array_join(f["histogram"].cast("array<string>"), ","))), ";")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, f"doc_id long, {DIGEST}")
+def media_columns(docs: DataFrame) -> DataFrame:
+    """Stores every text as a GIF in the shared folder and reads the stored GIFs back:
+    doc_id, n_bytes, media_bytes, media_sha256, payload_bytes, payload_sha256, tail_crc32
+    and frames."""
+    return read_media(Scratch(docs.sparkSession, "gif").stored(store_texts(docs), "media"))

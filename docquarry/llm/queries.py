@@ -23,8 +23,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_of(docs: DataFrame) -> DataFrame:
+    return gif_store.media_columns(docs).withColumn("feature", gif_store.frames_text(F.col("frames"))).drop("frames")
+
+
 def op3_gif_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_store.digests(table(spark, sf_dir, "documents"))
+    return op3_of(table(spark, sf_dir, "documents"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
