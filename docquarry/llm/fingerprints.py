@@ -14,22 +14,21 @@ estimate of the Jaccard similarity of the names at the highest level on which bo
 enough of them.
 
 Defined cases: null text is empty text. Two empty texts have likeness 1, an empty and
-another one 0. The next document is the next row by descending doc_id, nulls last, then
-by text; after the last comes the first (a single row follows itself). Extra columns are
-ignored.
+another one 0. The next document is the next row by descending doc_id, nulls last, rows of
+one id (and those without) by descending xxhash64 of their text; after the last comes the first (a
+single row follows itself). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import CHUNK_BYTES, _BYTES, _LANES, U64, mix, shuffle_partitions
+from docquarry.llm.common import CHUNK_BYTES, _BYTES, _LANES, U64, map_batches, mix, shuffle_partitions
 
 LEVELS = 4
 SKETCH = 24
@@ -143,7 +142,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": [s for part in _parts(texts) for s in sketches(part)]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fingerprint string")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fingerprint string")
 
 
 def _parts(texts: list[bytes]):
@@ -161,31 +160,51 @@ def _parts(texts: list[bytes]):
 # -- each document beside the next one -----------------------------------------------
 
 
-def _bucket(value: Column, splits: list[int]) -> Column:
-    """Number of splits at or below the value, found in two steps of about sqrt(n)."""
-    step = max(1, math.isqrt(len(splits)))
-    groups = [splits[i : i + step] for i in range(0, len(splits), step)] or [[]]
-    below = F.array_size(F.filter(F.array(*[F.lit(g[0]).cast("long") for g in groups if g]), lambda s: s <= value)) if splits else F.lit(0)
-    nested = F.array(F.array().cast("array<long>"), *[F.array(*[F.lit(s).cast("long") for s in g]) for g in groups if g])
-    return (F.greatest(below - 1, F.lit(0)) * step + F.array_size(F.filter(F.element_at(nested, below + 1), lambda s: s <= value))).cast("int")
+#: Sampled keys per bucket, from which the buckets' bounds are taken.
+SAMPLE = 60
+
+
+def _literal(values: list[int]) -> Column:
+    """An array column from one literal, however many values."""
+    return F.lit(np.array(values, np.int64))
+
+
+def _bucket(rank: Column, key: Column, bounds: list[tuple[int, int]]) -> Column:
+    """Number of bounds at or below (rank, key), by bisection."""
+    if not bounds:
+        return F.lit(0)
+    ranks, keys = (_literal(list(v)) for v in zip(*bounds, strict=True))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def halve(at: Column, step: Column) -> Column:
+        to = at + step - 1
+        below = (F.get(ranks, to) < rank) | (F.get(ranks, to) == rank) & (F.get(keys, to) <= key)
+        return F.when((to < len(bounds)) & below, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), halve)
 
 
 def in_order(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text) in partitions sorted by descending doc_id, in buckets of
-    neighbouring ids; behind each bucket's rows stands a copy (halo = 1) of the row that
-    follows them, the first row of the next bucket. One exchange of the texts."""
+    """Rows (doc_id, text) in partitions sorted by descending doc_id, then by text hash, one
+    bucket of neighbours each; behind each bucket's rows stands a copy (halo = 1) of the row
+    that follows them, the first row of the next bucket. One exchange of the texts. The
+    bounds come from a sample of narrow keys: they shape the buckets, not the result."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rank"))
-    buckets = 3 * parts
-    cuts = rows.agg(F.percentile_approx("rank", [k / buckets for k in range(1, buckets)], 20 * buckets)).first()[0]
-    rows = rows.withColumn("bucket", _bucket(F.col("rank"), sorted(set(cuts or []))))
-    tops = sorted((r[0], r[1]) for r in rows.groupBy("bucket").agg(F.max("rank")).collect())  # a row per bucket
-    halos = [(top, above[0]) for (_, top), above in zip(tops, [*tops[1:], tops[0]] if tops else [], strict=True)]
-    halo = spark.createDataFrame(halos, "rank long, bucket int")
-    copies = rows.drop("bucket").join(F.broadcast(halo), "rank").withColumn("halo", F.lit(1))
+    text = F.coalesce("text", F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.coalesce(doc_id, F.lit(-(1 << 63))).alias("rank"), F.xxhash64(text).alias("key"))
+    count = rows.count()
+    share = min(1.0, SAMPLE * parts / max(count, 1))
+    sample = sorted((r[0], r[1]) for r in rows.select("rank", "key").sample(share, 5).collect())  # about SAMPLE * parts
+    bounds = sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+    rows = rows.withColumn("bucket", _bucket(F.col("rank"), F.col("key"), bounds))
+    tops = sorted((r[0], *r[1]) for r in rows.groupBy("bucket").agg(F.max(F.struct("rank", "key"))).collect())  # a row per bucket
+    halos = [(rank, key, above[0]) for (_, rank, key), above in zip(tops, [*tops[1:], tops[0]] if tops else [], strict=True)]
+    halo = spark.createDataFrame(halos, "rank long, key long, bucket int")
+    copies = rows.drop("bucket").join(F.broadcast(halo), ["rank", "key"]).withColumn("halo", F.lit(1))
     every = rows.withColumn("halo", F.lit(0)).unionByName(copies)
-    return every.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.desc("rank"), "text").select("bucket", "halo", "doc_id", "text")
+    return every.repartition(parts, "bucket").sortWithinPartitions("bucket", "halo", F.desc("rank"), F.desc("key"), "text").select("bucket", "halo", "doc_id", "text")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -204,7 +223,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                     pending, size = pending[-1:], len(row[3])
         yield _compare(pending)
 
-    return in_order(docs).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(in_order(docs), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _compare(rows: list[tuple]) -> pd.DataFrame:
