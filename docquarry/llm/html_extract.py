@@ -8,8 +8,10 @@ layouts whose blocks carry their labels.
 
 Defined cases: null or empty html gives an empty text. Scripts, styles, comments, titles
 and hidden templates are no blocks. Unclosed and stray tags are tolerated; a page that
-breaks off inside a tag, script or comment loses only that piece. Character references
-are decoded; white space (Unicode) inside a block becomes one space. Repeated rows are
+breaks off inside a tag, script or comment loses only that piece. A link left open ends
+with the block that holds it. A very long page is read whole, in memory in proportion to
+its length; a page without a block that looks like main text gives an empty text. Character
+references are decoded; white space (Unicode) inside a block becomes one space. Repeated rows are
 handled alike; extra columns are ignored.
 """
 
@@ -26,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.llm.common import map_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|title|textarea|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -56,7 +60,7 @@ def leaf_blocks(html: str | None) -> list[Block]:
         return blocks
     stack: list[tuple] = []
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at = 0, 0, 0  # in_link: the open elements around an open link, and 1
 
     def add(piece: str):
         nonlocal linked
@@ -75,6 +79,13 @@ def leaf_blocks(html: str | None) -> list[Block]:
             parts.clear()
         linked = 0
 
+    def close(k: int):
+        """Close the open elements from the k-th on, and a link that one of them holds."""
+        nonlocal in_link
+        del stack[k:]
+        if in_link > k + 1:
+            in_link = 0
+
     for m in _TOKEN.finditer(html):
         if m.start() > at:
             add(html[at : m.start()])
@@ -87,18 +98,18 @@ def leaf_blocks(html: str | None) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = 0 if m.group(2) else 1
+                in_link = 0 if m.group(2) else len(stack) + 1
             continue
         flush()
         if m.group(2):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    close(k)
                     break
             continue
         closes = _CLOSES.get(tag) or ({"p"} if tag in _CLOSES_P else ())
         while stack and stack[-1][0] in closes:
-            stack.pop()
+            close(len(stack) - 1)
         if tag in _VOID or m.group(4).endswith("/"):
             continue
         words: tuple = ()
@@ -253,6 +264,14 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     def links(n: int) -> str:
         return "<ul>" + "".join(f'<li><a href="/{i}">{_sentence(rng, 1, 3)}</a></li>' for i in range(n)) + "</ul>"
 
+    def neutral(inner: str, chance: float) -> str:
+        """Inside elements that say nothing, any number of them."""
+        while rng.random() < chance:
+            mark = rng.choice(["", "", ' class="wrap"', ' class="row"', ' id="page"', ' class="container"', ' class="col"', ' class="text"', ' class="inner"'])
+            tag = rng.choice(["div", "div", "div", "section"])
+            inner = f"<{tag}{mark}>{inner}</{tag}>"
+        return inner
+
     def box(names: list[str], inner: str, tags: tuple = ("div", "section", "aside")) -> str:
         tag = rng.choice(tags)
         return f'<{tag} {rng.choice(["class", "class", "id"])}="{rng.choice(names)}">{inner}</{tag}>'
@@ -274,23 +293,27 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     if rng.random() < 0.3:
         before.append(f"<form><label>{_sentence(rng, 1, 3)}</label><input name=q><p>{_sentence(rng, 2, 6)}</p><button>{_sentence(rng, 1, 2)}</button></form>")
     rng.shuffle(before)
+    before = [neutral(part, 0.2) for part in before]
 
     body = []
+    old = rng.random() < 0.12  # paragraphs in plain divs
     if rng.random() < 0.85:
         body.append(keep("h1", _sentence(rng, 2, 10)))
     for _ in range(rng.randint(1, 12)):
         kind = rng.random()
-        if kind < 0.62:
-            body.append(keep("p", _sentence(rng, 1, 70), rng.random() < 0.8))
-        elif kind < 0.72:
+        if kind < 0.58 and old:
+            body.append(keep("div", _sentence(rng, 8, 70)))
+        elif kind < 0.58:
+            body.append(neutral(keep("p", _sentence(rng, 1, 70), rng.random() < 0.8), 0.08))
+        elif kind < 0.68:
             body.append(keep(rng.choice(["h2", "h3"]), _sentence(rng, 2, 7)))
-        elif kind < 0.8:
+        elif kind < 0.76:
             body.append("<ul>" + "".join(keep("li", _sentence(rng, 3, 15)) for _ in range(rng.randint(2, 5))) + "</ul>")
-        elif kind < 0.86:
+        elif kind < 0.82:
             body.append(f"<blockquote>{keep('p', _sentence(rng, 5, 30))}</blockquote>")
-        elif kind < 0.9:
+        elif kind < 0.86:
             body.append("<table><tr>" + "".join(keep("td", _sentence(rng, 1, 4)) for _ in range(3)) + "</tr></table>")
-        elif kind < 0.95:
+        elif kind < 0.94:
             body.append(box(ad, f"<p>{_sentence(rng, 3, 12)}</p>", ("div", "aside")))
         else:
             body.append(box(["share", "related", "social"], links(3), ("div", "aside")))
@@ -307,6 +330,8 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     else:
         content = inner
 
+    content = neutral(content, 0.4)
+
     after = []
     if rng.random() < 0.35:
         notes = "".join(f'<div class="comment"><p>{_sentence(rng, 4, 30)}</p></div>' for _ in range(rng.randint(1, 5)))
@@ -318,10 +343,12 @@ def labelled_page(seed: int) -> tuple[str, list[str]]:
     if rng.random() < 0.85:
         note = rng.choice(["&copy; ", "Copyright ", ""]) + _sentence(rng, 2, 15)
         after.append(f"<footer>{note}</footer>" if rng.random() < 0.6 else f"<footer><p>{note}</p>{links(3)}</footer>" if rng.random() < 0.5 else box(["footer", "site-footer", "legal"], f"<p>{note}</p>", ("div",)))
-    return f"<html><head><title>x</title></head><body>{''.join(before)}{content}{''.join(after)}</body></html>", main
+    after = [neutral(part, 0.2) for part in after]
+    page = neutral("".join(before) + content + "".join(after), 0.3)
+    return f"<html><head><title>x</title></head><body>{page}</body></html>", main
 
 
-def labelled_pages(n: int = 400) -> list[tuple[list[Block], list[int]]]:
+def labelled_pages(n: int = 900) -> list[tuple[list[Block], list[int]]]:
     out = []
     for seed in range(n):
         html, main = labelled_page(seed)
@@ -351,4 +378,5 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
             texts = [tagger.main_text(h) for h in batch["html"]]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": list(map(len, texts))})
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    return map_batches(rows, run, "page_id long, url string, text string, n_chars long", ("page_id",))
