@@ -5,14 +5,16 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
-from docquarry.llm import fingerprints, gif_store
+from docquarry.llm import fingerprints, gif_store, queries
 from docquarry.llm import sentencepiece_codec as sp
 
-TEXTS = ["", "a", "Ünïcode 你好 😀 ", "ab" * 5000, "line\nnext\n", "x" * 70000, " "]
+TEXTS = ["", "a", "Ünïcode 你好 😀 ", "ab" * 3000, "line\nnext\n", "xy z" * 17000, " "]
 
 
 @pytest.mark.parametrize("size", [0, 1, 300, 5000, 40000])
@@ -59,16 +61,64 @@ def test_interlaced_rows():
 def test_store_and_frames(spark):
     rows = [(i, t, "x") for i, t in enumerate([*TEXTS, None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, gif string")
-    found = {r.doc_id: r for r in gif_store.digests(docs).collect()}
+    found = {r.doc_id: r for r in queries.op3_of(docs).collect()}
     for i, text, _ in rows:
         data = (text or "").encode()
         padded = data + b"\0" * (-len(data) % 64 or 64 * (not data))
         assert (found[i].n_bytes, found[i].payload_bytes, found[i].payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert found[i].tail_crc32 == zlib.crc32(padded[-64:]) and found[i].feature == plain_feature(padded)
     stored = gif_store.store_texts(docs)
-    assert {r.doc_id: hashlib.sha256(r.gif).hexdigest() for r in stored.collect()} == {i: r.media_sha256 for i, r in found.items()}
-    assert gif_store.frames_of(stored).filter("doc_id = 5").count() == 2
+    for r in stored.collect():
+        assert hashlib.sha256(r.gif).hexdigest() == found[r.doc_id].media_sha256 and len(r.gif) == found[r.doc_id].media_bytes
+        assert plain_samples(bytes(r.gif))[: found[r.doc_id].n_bytes] == (rows[r.doc_id][1] or "").encode()
+    assert sorted((r.frame, r.start, r.delay) for r in gif_store.frames_of(stored).filter("doc_id = 5").collect()) == [(0, 0, 10), (1, 10, 10)]
     assert found[0].feature == found[len(TEXTS)].feature
-    assert gif_store.digests(docs.limit(0)).count() == 0
+    assert gif_store.media_columns(docs.limit(0)).count() == 0
+
+
+def plain_feature(payload):
+    """Frames of 64 KB shown for a tenth of a second each, and the counts of the colours
+    seen: a shorter last frame leaves the rest of the one before."""
+    out, seen = [], b""
+    for k in range(0, len(payload), 65536):
+        counts = [0] * 64
+        seen = payload[k : k + 65536] + seen[len(payload[k : k + 65536]) :]
+        for b in seen:
+            counts[(b >> 6) * 16 + (b * 7 % 256 >> 6) * 4 + (b * 31 % 256 >> 6)] += 1
+        out.append(f"{k // 65536 * 10}+10:" + ",".join(map(str, counts)))
+    return ";".join(out)
+
+
+def plain_samples(gif):
+    """All frames' samples of a GIF without local palettes, decoded bit by bit."""
+    at, out = 13 + 768, b""
+    while gif[at] != 0x3B:
+        image = gif[at] == 0x2C
+        at += 11 if image else 2
+        body = b""
+        while n := gif[at]:
+            body += gif[at + 1 : at + 1 + n]
+            at += n + 1
+        at += 1
+        if not image:
+            continue
+        bits, width, table, before, place = int.from_bytes(body, "little"), 9, {}, None, 0
+        while True:
+            code = bits >> place & ((1 << width) - 1)
+            place += width
+            if code == 257:
+                break
+            if code == 256:
+                table, width, before = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+                continue
+            piece = table[code] if code in table else before + before[:1]
+            out += piece
+            if before is not None and len(table) < 4096:
+                table[len(table)] = before + piece[:1]
+            if len(table) == 1 << width and width < 12:
+                width += 1
+            before = piece
+    return out
 
 
 # -- fingerprints ------------------------------------------------------------------------
@@ -103,20 +153,72 @@ def test_likeness():
     assert fingerprints.likeness(x, z) < 0.1 < 0.25 < fingerprints.likeness(x, y) and fingerprints.likeness(empty, x) == 0
 
 
+def plain_fingerprint(data):
+    """Phrase names level by level, a symbol at a time."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor & mask
+        return x ^ x >> 31
+
+    def toss(own, left):
+        bit = ((own ^ left) & -(own ^ left)).bit_length() - 1
+        return 2 * bit + (own >> bit & 1)
+
+    up = lambda k: pow(0x5851F42D4C957F2D, k, 1 << 64)
+    names, out = [int(fingerprints._BYTES[0][b]) for b in data], []
+    for _ in range(fingerprints.LEVELS):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mix((x + n * 0x632BE59BD9B4E019) & mask) if n > 1 else x for x, n in runs]
+        label = [toss(x, names[i - 1] if i else x ^ mask) for i, x in enumerate(names)]
+        for _ in range(3):
+            label = [toss(x, label[i - 1] if i else x ^ 1) for i, x in enumerate(label)]
+        n = len(names)
+        starts = [i for i in range(n) if not i or 0 < i < n - 1 and label[i] > label[i - 1] and label[i] >= label[i + 1]]
+        names = [mix(sum(x * up(k) for k, x in enumerate(names[a:b])) & mask) for a, b in zip(starts, [*starts[1:], n])]
+        low = sorted({mix(x) >> 32 for x in names})
+        out.append(f"{len(low)}:" + "".join(f"{x:08x}" for x in low[: fingerprints.SKETCH]))
+    return "/".join(out)
+
+
+def plain_likeness(one, other):
+    if one == other:
+        return 1.0
+    a, b = ([(int(n), {h[k : k + 8] for k in range(0, len(h), 8)}) for n, h in (part.split(":") for part in x.split("/"))] for x in (one, other))
+    level = max((k for k in range(1, len(a)) if min(a[k][0], b[k][0]) >= fingerprints.SKETCH), default=0)
+    least = sorted(a[level][1] | b[level][1])[: fingerprints.SKETCH]
+    return sum(h in a[level][1] and h in b[level][1] for h in least) / len(least) if least else 0.0
+
+
 @pytest.mark.parametrize("n", [1, 2, 57])
 def test_next_documents(spark, n):
     rng = random.Random(n)
     rows = [(i, prose(rng, rng.randint(0, 40)), "x") for i in rng.sample(range(10**9), n)]
     rows += [(None, "no id", "x"), (5, None, "x"), (rows[0][0], "again", "y")] if n > 2 else []
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string")
-    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
+    rows += [(2**53 + 1, "large id", "x"), *[(None, f"{k} has no id", "x") for k in range(20)]] if n > 2 else []
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -signed(xxhash.xxh64(r[1].encode(), 42).intdigest())))
     want = []
     for k, (i, text) in enumerate(order):
         cut = len(text) // 3
         want.append((str(i), len(text), hashlib.sha256((text[: len(text) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()))
     found = fingerprints.with_next(docs).collect()
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in found) == sorted(want)
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
+    by_hash = {h: (text, nxt) for (_, text), (_, nxt), (_, _, h) in zip(order, [*order[1:], order[0]], want)}
+    for r in found:
+        text, nxt = by_hash[r.edited_sha256]
+        cut = len(text) // 3
+        a, b, c = (plain_fingerprint(t.encode()) for t in (text, text[: len(text) - cut] + nxt[:cut], nxt))
+        assert (r.fingerprint, r.edited_fingerprint) == (a, b)
+        assert r.near_edited == pytest.approx(plain_likeness(a, b)) and r.near_next == pytest.approx(plain_likeness(a, c))
 
 
 def test_no_documents_have_no_next(spark):
@@ -136,7 +238,7 @@ def test_ids_equal_the_library_and_decode():
     codec = sp.Codec(sp.load_model())
     rng = random.Random(9)
     parts = ["a", " ", "  ", "the ", "\n", "é", "你", "ab", "\t", "ing", "😀", "zq", "aaaa", " \n", "tion", "THE", "."]
-    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(1500)] + ["abcdefghijk" * 2000, "▁x ▁"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(1500)] + ["abcdefghijk" * 2000, "▁x ▁", "internationalisation " * 3]
     for learn in (False, True):
         if learn:
             codec = sp.Codec(sp.load_model())
@@ -151,6 +253,67 @@ def toy(kind):
     return sp.PieceModel(list(pieces) + ["<unk>"], [*pieces.values(), 0.0], [True] * len(pieces) + [False], [], len(pieces), kind)
 
 
+def committed(model, text):
+    """What a decoder that keeps all paths may commit, character by character: the last
+    boundary that every path to a boundary in reach runs through."""
+    longest, back, base, out = max(map(len, model.ids)), {0: (None, 0.0)}, 0, []
+    for end in range(1, len(text) + 1):
+        found = [(back[s][1] + model.scores[i], s) for s in range(max(0, end - longest), end) if s in back and (i := model.ids.get(text[s:end])) is not None]
+        if found:
+            back[end] = (max(found, key=lambda x: x[0])[1], max(found, key=lambda x: x[0])[0])
+        if end not in back or end - base < longest:
+            continue
+
+        def way(b):
+            out = [b]
+            while back[b][0] is not None:
+                b = back[b][0]
+                out.append(b)
+            return set(out)
+
+        meet = max(set.intersection(*[way(b) for b in range(end - longest + 1, end + 1) if b in back]))
+        if meet > base:
+            out.append((base, meet))
+            base = meet
+    return [*out, (base, len(text))]
+
+
+def test_ids_are_committed_whenever_the_paths_meet():
+    model, rng = toy("unigram"), random.Random(8)
+    for _ in range(60):
+        text = "▁" + "".join(rng.choices("ab▁", k=rng.randint(1, 60)))
+        runs, at, spans = list(sp.Codec(model).viterbi(text)), 0, []
+        for run in runs:
+            size = sum(len(model.pieces[i]) for i in run)
+            spans.append((at, at + size))
+            at += size
+        assert spans == committed(model, text)
+
+
+def test_window_stays_bounded():
+    codec, window, most = sp.Codec(toy("unigram")), sp._Window(), 0
+    for _ in codec._decode(window, "▁" + "abab▁ba" * 2000, 0):
+        most = max(most, len(window.arcs))
+    assert most <= 4 * codec.longest
+
+
+def message(number, value):
+    if isinstance(value, int):
+        return bytes([number << 3, value])
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+@pytest.mark.parametrize("trainer, normaliser, kinds", [({3: 3}, {4: 0}, [1]), ({3: 1}, {4: 1}, [1]), ({3: 1}, {}, [1]), ({3: 1}, {4: 0, 3: 0}, [1]), ({3: 1}, {4: 0, 5: 0}, [1]), ({3: 1}, {4: 0, 2: b"x"}, [1]), ({3: 2}, {4: 0}, [1, 4])])
+def test_models_that_need_more_are_rejected(trainer, normaliser, kinds):
+    def file(trainer, normaliser, kinds):
+        pieces = b"".join(message(1, message(1, f"p{k}".encode()) + message(3, kind)) for k, kind in enumerate(kinds))
+        return pieces + message(2, b"".join(message(k, v) for k, v in trainer.items())) + message(3, b"".join(message(k, v) for k, v in normaliser.items()))
+
+    with pytest.raises(ValueError):
+        sp.parse_model(file(trainer, normaliser, kinds))
+    assert sp.parse_model(file({3: 1}, {4: 0}, [1, 2])).kind == "unigram"
+
+
 def test_unigram_takes_the_best_path_and_commits_early():
     model = toy("unigram")
     codec = sp.Codec(model)

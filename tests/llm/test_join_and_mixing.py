@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import mixing, ngram_join
+from docquarry.llm import common, mixing, ngram_join
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long"
 
@@ -58,9 +58,10 @@ def join_rows(seed, n=60):
     return [*rows, rows[0], (20_000, None, "s", "x", 0), (20_001, "", "s", "x", 0), (20_002, "one two", None, "x", 0), (20_003, "one  two", "s", "x", 0), (20_004, "a b c d e", "s", "x", 0)]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 400_000), (2, 400_000), (3, 300)])
-def test_join_equals_plain(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize("seed, shingles_, nodes", [(1, 400_000, 2000), (2, 400_000, 2000), (3, 300, 2000), (4, 400_000, 3)])
+def test_join_equals_plain(spark, monkeypatch, seed, shingles_, nodes):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles_)
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
     rows = join_rows(seed)
     found = ngram_join.join_classes(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found.collect()) == plain_join(rows)
@@ -84,8 +85,99 @@ def test_join_of_no_rows(spark):
     assert ngram_join.join_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert ngram_join.forest_depth(0.8, 0.9995) == 4 and ngram_join.forest_depth(0.99, 0.9995) == 5 and ngram_join.forest_depth(0.1, 0.9999) == 1
+def test_floor_meets_the_target():
+    assert ngram_join.forest_floor(0.8, 0.9995) == 4 and ngram_join.forest_floor(0.99, 0.9995) == 6 and ngram_join.forest_floor(0.1, 0.9999) == 1
+
+
+def test_tries_group_by_longest_common_prefix():
+    rng = np.random.default_rng(2)
+    path = rng.integers(0, 2, (40, 3, 4)).astype(np.uint32)
+    tries = ngram_join.Tries(path)
+    for depth in (1, 2, 3, 4):
+        want = {}
+        for tree in range(3):
+            for i in range(40):
+                want.setdefault((tree, *path[i, tree, :depth].tolist()), set()).add(i)
+        assert sorted(map(sorted, tries.groups(depth))) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def near_copies(rng, n, words, edits):
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randint(0, edits)):
+            own[rng.randrange(words)] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def local_links(texts, target=0.9995):
+    sets = ngram_join.shingle_sets([t.encode() for t in texts])
+    path = ngram_join.paths(sets).reshape(len(sets), ngram_join.TREES, ngram_join.DEPTH).astype(np.uint32)
+    floor = ngram_join.forest_floor(0.8, target)
+    return set(zip(*map(np.ndarray.tolist, ngram_join.linked_pairs(sets, path, np.zeros(len(sets), np.int8), (4, 5), target, floor)))), sets, path
+
+
+def test_recall_against_all_pairs():
+    rng = random.Random(7)
+    texts = sorted({t for _ in range(12) for t in near_copies(rng, 40, rng.randint(60, 200), 5)})
+    found, sets, _ = local_links(texts)
+    every = set()
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(x, sets[j], True))
+            if both * 5 >= 4 * (len(x) + len(sets[j]) - both):
+                every.add((i, j))
+    assert found <= every and len(every) > 800 and len(found) / len(every) > 0.998
+
+
+def test_prefixes_are_shortened_only_where_recall_is_short(monkeypatch):
+    """A group of close copies stops at a longer prefix than a pair at the threshold."""
+    depths = []
+    groups = ngram_join.Tries.groups
+    monkeypatch.setattr(ngram_join.Tries, "groups", lambda self, depth: depths.append(depth) or groups(self, depth))
+    rng = random.Random(3)
+    local_links(sorted(set(near_copies(rng, 120, 400, 1))))
+    many, depths[:] = list(depths), []
+    local_links(sorted(set(near_copies(rng, 3, 100, 4))))
+    assert many == [6] and depths == [6, 5, 4]
+
+
+def test_sides_are_only_compared_with_each_other():
+    rng = random.Random(5)
+    texts = sorted(set(near_copies(rng, 30, 80, 2)))
+    within, sets, path = local_links(texts)
+    side = np.array([i % 2 for i in range(len(sets))], np.int8)
+    left, right = ngram_join.linked_pairs(sets, path, side, (4, 5), 0.9995, 4)
+    assert (side[left] == 0).all() and (side[right] == 1).all()
+    across = {tuple(sorted(p)) for p in zip(left.tolist(), right.tolist())}
+    assert across == {(i, j) for i, j in within if side[i] != side[j]}
+
+
+def test_a_large_group_of_short_texts_stays_small(spark):
+    """20,000 different templated texts of six words or so, in one component."""
+    import os
+
+    script = """
+import sys, resource
+import numpy as np
+from docquarry.llm import ngram_join as J
+texts = [f"order number {i} was sent to you".encode() for i in range(4000)]
+sets = J.shingle_sets(texts)
+path = J.paths(sets).reshape(len(sets), J.TREES, J.DEPTH).astype(np.uint32)
+side = np.repeat(np.array([0, 1], np.int8), 2000)
+J.linked_pairs(sets, path, side, (4, 5), 0.9995, 4)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
+"""
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300, env=os.environ | {"OPENBLAS_NUM_THREADS": "1"})
+    assert int(said.stdout) < 1_000_000, said.stderr  # KB: one task of two whole blocks
+    texts = [f"order number {i % 20_000} was sent to you on monday in a box" for i in range(20_000)]
+    found = ngram_join.join_classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert found.groupBy("n_links", "n_copies").count().collect() == [(0, 1, 20_000)]
 
 
 def test_minhash_estimates_jaccard():
@@ -188,3 +280,36 @@ def test_pipeline(spark, tmp_path):
     found = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     assert {r.doc_id for r in found} == set(range(40)) and all(r.lossless for r in found)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "mixing", "sentencepiece"]
+
+
+EMPTY = "doc_id long, text string, lang string, source string, n_chars long, stage string, keep_id long"
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None, "x", 7)], [(2**53 + 1, "the house stands here", "en", "s", 21, "x", 7), (None, "the house stands there", "en", "s", 22, "y", 8)]])
+def test_pipeline_of_few_rows_and_clashing_columns(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame(rows, EMPTY).write.parquet(f"file://{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()  # all stay where no language was learned
+    assert sorted((r.doc_id for r in found), key=str) == sorted((r[0] for r in rows), key=str)
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "w w", "a", "x", 2, "n"), (2, "v", "a", None, 3, "m")], "doc_id long, text string, source string, keep_id string, nth long, epochs string")
+    for made in (mixing.rewrite(docs), ngram_join.keep_one(docs)):
+        assert made.columns == docs.columns and set(made.collect()) == set(docs.collect())
+
+
+def test_many_empty_texts_are_dealt_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 16)
+    rows = [(i, None if i % 2 else "", "a", "x", 0) for i in range(300)] + [(1000, "w", "b", "x", 0)]
+    mix = mixing.plan_mix(spark.createDataFrame(rows, SCHEMA))
+    assert mix.bits == 5 and mixing.realise(mix).count() == len(rows)
+
+
+def test_intermediate_tables_go(spark):
+    before = common.opened()
+    mixing.realise(mixing.plan_mix(spark.createDataFrame(mix_rows(3, {"a": 9}), SCHEMA))).collect()
+    made = [s for s in common.opened() if s not in before]
+    common.clear(keep=before)
+    assert made and common.opened() == before and not any(s._files.exists(s._folder) for s in made)

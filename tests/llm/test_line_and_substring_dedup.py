@@ -83,11 +83,30 @@ def window_rows(seed):
     return [*rows, (2000, rows[3][1], "x", "y"), (2001, rows[3][1], "x", "y"), rows[3], (rows[4][0], rows[3][1], "", ""), (None, rows[5][1], "", ""), (3000, None, "", ""), (3001, "", "", ""), (3002, " ".join(["same"] * 3000), "", ""), (3003, " ".join(["same"] * 20), "", "")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_windows_equal_plain(spark, seed):
-    rows = window_rows(seed)
-    found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA))
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in found.collect()), key=str) == plain_windows(rows)
+@pytest.mark.parametrize("seed, window, chunk", [(1, 13, 1 << 19), (2, 13, 400), (3, 50, 400), (4, 6, 400), (5, 27, 1 << 19)])
+def test_windows_equal_plain(spark, monkeypatch, seed, window, chunk):
+    """Through one to four levels, in one chunk and in many."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_TEXT_MOST", chunk)
+    rows = window_rows(seed) + [(5000 + i, "\n".join(f"p{k}" for k in range(i, 70)), "", "") for i in range(6)]
+    found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, SCHEMA), window)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept, r.kept_sha256) for r in found.collect()), key=str) == plain_windows(rows, window)
+
+
+def test_only_what_repeats_is_extended():
+    """A level asks only about windows both of whose ends repeated at the level before, and
+    about nothing where none did."""
+    import pandas as pd
+
+    words_ = [f"v{k}" for k in range(60)]
+    docs = pd.DataFrame({"doc_id": [1, 2, 3], "row_key": [1, 2, 3], "text": [" ".join(words_), " ".join(["x", *words_[10:40], *[f"y{k}" for k in range(30)]]), " ".join(f"z{k}" for k in range(60))], "chunk": 0})
+    none = pd.DataFrame(columns=["level", "a", "b", "bits"])
+    asked = []
+    for level, n in enumerate(substring_dedup.levels(50)):
+        block = substring_dedup.Block(docs, none, substring_dedup.levels(50), 4)
+        block.climb(level)
+        asked.append(int(block.alive.sum()))
+    assert asked == [3 * 0 + (60 - 6) + (61 - 6) + (60 - 6), 2 * (30 - 12), 2 * (30 - 24), 0]
+    assert len(substring_dedup.Block(docs, none, substring_dedup.levels(50), 4).questions(3, 0)) == 0
 
 
 def test_no_rows_have_no_windows(spark):
@@ -123,6 +142,25 @@ def test_components(spark):
         parent[max(find(a), find(b))] = min(find(a), find(b))
     want = {x: find(x) for e in edges for x in e if e[0] != e[1]}
     want = {x: r for x, r in want.items() if any(x in e for e in edges if e[0] != e[1])}
-    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    scratch = common.Scratch(spark, "test")
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u long, v long"), scratch).collect()}
     assert got == want
-    assert graphs.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert graphs.components(spark.createDataFrame([], "u long, v long"), scratch, "none").count() == 0
+
+
+def test_runs_leave_no_tables(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    line_dedup.dedup_lines(spark.createDataFrame(line_rows(1), SCHEMA), batches=4).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Cluster)

