@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docquarry.llm import language_id, line_dedup, mixing, ngram_join, sentencepiece_codec
-from docquarry.llm.common import stored
+from docquarry.llm.common import Scratch, clear, opened
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language (no letters) go."""
+    """Documents in no language go: those without letters, and noise."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
@@ -47,6 +47,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        others = opened()
+        docs = tables.stored(stage(spark, docs, sf_dir), name)
+        clear(keep=others)  # the stage's intermediate tables
+        if before:
+            tables.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
