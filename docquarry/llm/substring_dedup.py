@@ -39,8 +39,10 @@ WINDOW = 13
 SHORTEST = 5
 #: Windows that a range's task holds, and bytes of text in a chunk (more in proportion to
 #: the ranges, so that a chunk has many windows for each).
-RANGE_WINDOWS = 4_000_000
+RANGE_WINDOWS = 2_000_000
 CHUNK_TEXT, CHUNK_TEXT_MOST = 1 << 19, 1 << 23
+#: Fewest ranges and chunks; above, their numbers follow the texts, not the partitions.
+FEWEST = 32
 _LOW = U64((1 << 40) - 1)
 
 ROW = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -230,8 +232,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shortest: int = SHOR
     keys = known.select("doc_id", "row_key", F.xxhash64(F.lit(7), "text").alias("twin"), F.octet_length("text").alias("size"))
     same = scratch.stored(keys.groupBy("row_key", "twin").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.sum("size").alias("size"), F.max("size").alias("each")), "texts")
     total, distinct = same.agg(F.sum("size"), F.sum("each")).first()
-    ranges = max(parts, (distinct or 0) // 4 // RANGE_WINDOWS)
-    chunks = max(4 * parts, (total or 0) // min(max(CHUNK_TEXT, 400 * ranges), CHUNK_TEXT_MOST))
+    ranges = max(FEWEST, (distinct or 0) // 4 // RANGE_WINDOWS)
+    chunks = max(FEWEST, (total or 0) // min(max(CHUNK_TEXT, 400 * ranges), CHUNK_TEXT_MOST))
 
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id", "row_key"), F.lit(chunks)))
