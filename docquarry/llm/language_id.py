@@ -220,10 +220,16 @@ def fit(docs: DataFrame, max_letters: int = 60_000, max_docs: int = 400, max_cha
     characters each, until there are `max_letters` characters, or fewer where CELLS is
     shared by many languages. A language without a letter in them is not learned."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, max_chars).alias("text"))
-    n_langs = rows.agg(F.count_distinct("lang")).first()[0]
-    if not n_langs:
+    counts = rows.groupBy("lang").count().collect()  # a row per language
+    if not counts:
         return LanguageModel((), (), "")
+    n_langs = len(counts)
     limit = max(500, min(max_letters, CELLS // (2 * (1 + COMMON + SHARED) * n_langs)) if n_langs > 8 else max_letters)
+    # a hash range with some four times the documents wanted of each language, so that the
+    # windows see few rows however many a language has
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * max_docs / r["count"])) for r in counts], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
+    rows = rows.join(F.broadcast(shares), "lang").filter(place <= F.col("share")).select("lang", "doc_id", "text").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     picked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_docs)
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
