@@ -44,7 +44,7 @@ COMMON, SHARED = 160, 32
 #: Entries of all languages' tables (4 bytes each).
 CELLS = 25_000_000
 #: Characters parsed side by side, and texts below which they are parsed one by one.
-_BATCH, _FEW = 8_000_000, 12
+_BATCH, _FEW = 2_000_000, 12
 
 
 class SuffixAutomaton:
@@ -118,14 +118,14 @@ def read(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray, np.nd
     blank = ~keep
     blank[1:] &= keep[:-1]  # the first of a run
     blank[begins] = False
-    last = np.zeros(len(flat) + 1, np.int64)  # letters before each place
+    last = np.zeros(len(flat) + 1, np.int32)  # letters before each place
     np.cumsum(keep, out=last[1:])
-    text = np.repeat(np.arange(len(texts)), size)
-    blank &= last[:-1] < last[edge[1:]][text]  # a letter follows
-    blank &= last[:-1] > last[edge[:-1]][text]  # and one is before
+    blank &= last[:-1] < np.repeat(last[edge[1:]], size)  # a letter follows
+    blank &= last[:-1] > np.repeat(last[edge[:-1]], size)  # and one is before
     keep |= blank
-    place = np.concatenate([[0], np.cumsum(keep)])
-    return flat[keep], place[edge], last[edge[1:]] - last[edge[:-1]]
+    before = np.zeros(len(flat) + 1, np.int32)
+    np.cumsum(keep, out=before[1:])
+    return flat[keep], before[edge].astype(np.int64), last[edge[1:]] - last[edge[:-1]]
 
 
 @dataclass(frozen=True)
