@@ -143,15 +143,16 @@ class Identifier:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.symbols = 1 + len(model.alphabet) + SHARED
-        tables, sizes = [], []
+        tables, sizes, roots = [], [], [0]  # roots: where each language's states begin in the common table
         for text in model.texts:
             symbols = read([text], model.alphabet)[0].tolist()
-            tables.append(SuffixAutomaton(symbols).steps(self.symbols))
+            table = SuffixAutomaton(symbols).steps(self.symbols)
+            table += 4 * roots[-1]
+            tables.append(table)
             sizes.append(len(symbols))
-        #: where each language's states begin in the common table
-        self.root = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
-        shifted = [table + 4 * root for table, root in zip(tables, self.root.tolist(), strict=True)]
-        self.table = np.concatenate(shifted).ravel() if shifted else np.zeros(0, np.int32)
+            roots.append(roots[-1] + len(table))
+        self.root = np.array(roots[:-1], np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.bits = np.log2(2.0 + np.array(sizes))
 
     def phrases(self, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -214,7 +215,7 @@ def identifier(model: LanguageModel) -> Identifier:
     return Identifier(model)
 
 
-def fit(docs: DataFrame, max_letters: int = 60_000, max_docs: int = 400, max_chars: int = 4_000) -> LanguageModel:
+def fit(docs: DataFrame, max_letters: int = 40_000, max_docs: int = 400, max_chars: int = 4_000) -> LanguageModel:
     """Learn from rows with text and lang that are not held out: of at most `max_docs`
     documents per language (the smallest hashes of their ids) the first `max_chars`
     characters each, until there are `max_letters` characters, or fewer where CELLS is
