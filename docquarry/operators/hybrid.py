@@ -23,11 +23,11 @@ def fuse(keyword: DataFrame, semantic: DataFrame, keyword_weight: float = 0.4, s
     return joined.select("chunk_id", "keyword_score", "semantic_score", (total * boost).alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector, top_k: int = 5, doc_filter: str | None = None, keyword_weight: float = 0.4, semantic_weight: float = 0.6, overfetch: bool = False) -> DataFrame:
+def hybrid_search(chunks: DataFrame, vectors: DataFrame, query: str, query_vector, top_k: int = 5, doc_filter: str | None = None, keyword_weight: float = 0.4, semantic_weight: float = 0.6, overfetch: bool = False, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top chunks of both searches (2 * top_k candidates each), hydrated with the chunk's
-    columns. Ids without a chunk are dropped before the limit; ties go by id."""
+    columns. Ids without a chunk are dropped before the limit; ties go by id. `index`: see keyword_search."""
     wide = 2 * top_k
-    keyword = normalise_scores(keyword_search(chunks, query, wide, doc_filter))
+    keyword = normalise_scores(keyword_search(chunks, query, wide, doc_filter, index=index))
     semantic = semantic_search(vectors, query_vector, wide, chunks, doc_filter, overfetch)
     fused = fuse(keyword, semantic, keyword_weight, semantic_weight).select("chunk_id", "score")
     # at most 4 * top_k candidates (overfetch: 200 more): the broadcast side is bounded

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
 
@@ -62,17 +63,23 @@ def parse_query(query: str) -> list[Part] | None:
     return parts if parts and all(p.tokens for p in parts) else None
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(chunk_id, term, positions), positions counted from 0. Stored clustered by term it
-    is the inverted index."""
-    words = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(T.tokens("text")).alias("pos", "term"))
-    return words.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def postings(chunks: DataFrame, id_col: str = "chunk_id", keep: list[str] | None = None) -> DataFrame:
+    """(chunk_id, term, dl, positions), positions counted from 0, dl being the chunk's
+    length in tokens. Stored sorted by term it is the inverted index."""
+    words = F.transform(F.array(T.tokens("text")), lambda t: F.struct(t.alias("t"), F.size(t).alias("dl")))[0]
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), *(keep or []), words.alias("w")).select("chunk_id", *(keep or []), "w.dl", F.posexplode("w.t").alias("pos", "term"))
+    return rows.groupBy("chunk_id", *(keep or []), "term").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def lengths(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return chunks.select(F.col(id_col).alias("chunk_id"), F.size(T.tokens("text")).alias("dl"))
 
 
+def index_sizes(chunks: DataFrame, doc_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_chunks, n_tokens): what the statistics of all chunks are summed from."""
+    return chunks.groupBy(doc_col).agg(F.count("*").alias("n_chunks"), F.sum(F.size(T.tokens("text"))).cast("long").alias("n_tokens"))
+
+
 def term_table(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(term, df, tf): chunks and occurrences per term."""
     return postings(chunks, id_col).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).cast("long").alias("tf"))
@@ -94,34 +101,56 @@ def _matches(tokens: Column, part: Part) -> Column:
     return F.size(F.filter(tokens, starts))
 
 
+def _bm25(f: Column, n: Column) -> Column:
+    """A part's share of the score from its frequency, the chunks that have it and the
+    columns dl, n_all and avgdl."""
+    raw = F.ln((F.col("n_all") - n + 0.5) / (n + 0.5))
+    return F.when(raw <= 0, LEAST_IDF).otherwise(raw) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def _scored(counts: DataFrame, stats: DataFrame, names: list[str], keep: list[str]) -> DataFrame:
+    """The score is null unless every part occurs. Filtering on it, not on the counts, lets
+    both sides read one exchange of the counts."""
+    every = reduce(Column.__and__, [F.col(n) > 0 for n in names])
+    total = reduce(Column.__add__, [_bm25(F.col(n), F.col(f"n_{n}")) for n in names])
+    rows = counts.crossJoin(F.broadcast(stats)).select("chunk_id", *keep, F.when(every & (F.col("n_all") > 0), total).alias("score"))  # one row of sums
+    return rows.filter("score is not null")
+
+
 def score_bm25(chunks: DataFrame, parts: list[Part], id_col: str = "chunk_id", keep: list[str] | None = None) -> DataFrame:
     """(chunk_id, score) of the chunks that have every part. Statistics are those of all
-    chunks, from one aggregation over one scan; only its single row is broadcast."""
-    names = [f"f{i}" for i in range(len(parts))]
+    chunks. Texts are read once: counts, a few numbers a chunk, are exchanged and read by
+    the sums and by the scores; only the single row of sums is broadcast."""
+    names, keep = [f"f{i}" for i in range(len(parts))], keep or []
     bound = F.transform(F.array(T.tokens("text")), lambda words: F.struct(F.size(words).alias("dl"), *[_matches(words, p).alias(n) for p, n in zip(parts, names, strict=True)]))[0]
-    counts = chunks.select(F.col(id_col).alias("chunk_id"), *(keep or []), bound.alias("c")).select("chunk_id", *(keep or []), "c.*")
+    counts = chunks.select(F.col(id_col).alias("chunk_id"), *keep, bound.alias("c")).select("chunk_id", *keep, "c.*")
+    counts = counts.repartition("chunk_id", *keep)
     stats = counts.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
-    hits = counts.filter(reduce(Column.__and__, [F.col(n) > 0 for n in names])).crossJoin(F.broadcast(stats))
+    return _scored(counts, stats, names, keep)
+
+
+def search_index(index: DataFrame, sizes: DataFrame, parts: list[Part], keep: list[str] | None = None) -> DataFrame:
+    """Like score_bm25, but off stored postings: only those of the query's words are read,
+    and `sizes` (see index_sizes) for the statistics."""
+    names, keep = [f"f{i}" for i in range(len(parts))], keep or []
 
-    def term(n: str) -> Column:
-        raw = F.ln((F.col("n_all") - F.col(f"n_{n}") + 0.5) / (F.col(f"n_{n}") + 0.5))
-        idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
-        return idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    def same(part: Part, k: int) -> Column:
+        word = part.tokens[k]
+        return F.col("term").startswith(word) if part.prefix and k == len(part.tokens) - 1 else F.col("term") == word
 
-    return hits.select("chunk_id", *(keep or []), sum((term(n) for n in names[1:]), term(names[0])).alias("score"))
+    def places(part: Part, k: int) -> Column:
+        """Where the part would begin, by its k-th word."""
+        return F.flatten(F.collect_list(F.when(same(part, k), F.transform("positions", lambda x: x - k))))
 
+    def times(part: Part) -> Column:
+        begin = reduce(F.array_intersect, [places(part, k) for k in range(len(part.tokens))])
+        return F.size(F.filter(begin, lambda x: x == 0) if part.first else begin)
 
-def search_index(index: DataFrame, sizes: DataFrame, parts: list[Part]) -> DataFrame:
-    """Like score_bm25 for plain terms, but off stored postings and lengths: only the
-    query terms' postings are read."""
-    terms = [p.tokens[0] for p in parts]
-    stats = sizes.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))
-    found = index.filter(F.col("term").isin(terms)).select("chunk_id", "term", F.size("positions").alias("f"))
-    df = found.groupBy("term").agg(F.count("*").alias("n"))  # a row per query term
-    raw = F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    scored = found.join(sizes, "chunk_id").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
-    part = F.when(raw <= 0, LEAST_IDF).otherwise(raw) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("terms")).filter(F.col("terms") == len(set(terms))).select("chunk_id", "score")
+    wanted = reduce(Column.__or__, [same(p, k) for p in parts for k in range(len(p.tokens))])
+    counts = index.filter(wanted).groupBy("chunk_id", *keep).agg(F.first("dl").alias("dl"), *[times(p).alias(n) for p, n in zip(parts, names, strict=True)])
+    found = counts.agg(*[F.count_if(F.col(n) > 0).alias(f"n_{n}") for n in names])
+    whole = sizes.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n_all"), (F.sum("n_tokens") / F.sum("n_chunks")).alias("avgdl"))
+    return _scored(counts, found.crossJoin(F.broadcast(whole)), names, keep)
 
 
 def literal_fallback(chunks: DataFrame, words: list[str], top_k: int, id_col: str = "chunk_id") -> DataFrame:
@@ -133,24 +162,28 @@ def literal_fallback(chunks: DataFrame, words: list[str], top_k: int, id_col: st
     return chunks.filter(every).select(F.col(id_col).alias("chunk_id"), hits.cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
 
 
-def keyword_search(chunks: DataFrame, query: str, top_k: int = 10, doc_filter: str | None = None, id_col: str = "chunk_id", doc_col: str = "doc_id") -> DataFrame:
+def keyword_search(chunks: DataFrame, query: str, top_k: int = 10, doc_filter: str | None = None, id_col: str = "chunk_id", doc_col: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Top chunks by BM25, by descending score, then id. The filter narrows the result,
-    not the statistics. Where BM25 finds nothing and a word is literal, the fallback runs."""
+    not the statistics. Where BM25 finds nothing and a word is literal, the fallback's
+    chunks are the result. `index`: stored postings and sizes, in place of a scan."""
     words = query_words(query)
     parts = parse_query(query)
     mine = F.col(doc_col) == doc_filter if doc_filter else F.lit(True)
     keep = [doc_col] if doc_filter and doc_col != id_col else []
-    found = None
+    found = chunks.select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
     if parts:
-        found = score_bm25(chunks, parts, id_col, keep).filter(mine).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+        scored = search_index(*index, parts, keep) if index else score_bm25(chunks, parts, id_col, keep)
+        found = scored.filter(mine).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
     if not any(map(is_literal_word, words)):
-        return found if found is not None else chunks.select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
-    if found is not None and not found.isEmpty():
         return found
-    return literal_fallback(chunks.filter(mine), words, top_k, id_col)
+    literal = literal_fallback(chunks.filter(mine), words, top_k, id_col)
+    both = found.withColumn("way", F.lit(0)).unionByName(literal.withColumn("way", F.lit(1)))
+    first = F.min("way").over(Window.partitionBy(F.lit(0)))  # over two top-k tables
+    return both.withColumn("first", first).filter("way = first").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id")
 
 
 def normalise_scores(hits: DataFrame) -> DataFrame:
-    """Scores over the largest one, where that is positive. hits is a top-k table."""
-    top = hits.agg(F.max("score").alias("top"))
-    return hits.crossJoin(F.broadcast(top)).select("chunk_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))
+    """Scores over the largest one, where that is positive. hits is a top-k table, so one
+    window over it is bounded, and it is worked out once."""
+    top = F.max("score").over(Window.partitionBy(F.lit(0)))
+    return hits.withColumn("top", top).select("chunk_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score"))

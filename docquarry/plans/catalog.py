@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from docquarry.functions import vectors as V
 from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, semantic, sections as S
 from docquarry.plans import inputs as I
 from docquarry.sources import embedder
-from docquarry.sources.files import chunks_of_documents, page_range, table, vectors_of_embeddings
+from docquarry.sources.files import chunks_of_documents, page_range, table, vectors_of_embeddings, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +53,9 @@ def vectors(spark, d):
 
 
 def first_vector(spark, d):
-    return vectors(spark, d).filter("chunk_id = 0").first()["embedding"]
+    """The vector of id 0; a single 0.0 where there is none, to which nothing is near."""
+    row = vectors(spark, d).filter("chunk_id = 0").first()
+    return row["embedding"] if row else [0.0]
 
 
 # -- scans, filters, statistics --------------------------------------------------------
@@ -100,9 +103,9 @@ def keyword_bm25_single(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
 
 
-@query(f"WITH {I.bm25_sql([I.term('onthe'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
+@query(f"WITH {I.bm25_sql([I.term('was'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def keyword_bm25_and(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "onthe that", 20))
+    return _top(keyword.keyword_search(chunks(spark, d), "was that", 20))
 
 
 @query(f"WITH {I.bm25_sql([I.term('was')], "source = 'src3'")} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 10")
@@ -123,11 +126,33 @@ def keyword_prefix(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "anth* ^the", 20))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark, d):
+    """Postings and sizes of the documents, written once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = f"{work_dir(spark)}/keyword-index-{uuid.uuid4().hex}"
+        keyword.postings(chunks(spark, d), keep=["doc_id"]).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
+        keyword.index_sizes(chunks(spark, d)).write.parquet(f"{folder}/sizes")
+        _INDEXES[key] = folder
+    return tuple(spark.read.parquet(f"{_INDEXES[key]}/{name}") for name in ("postings", "sizes"))
+
+
+@query(f"WITH {I.TOKENS} SELECT doc_id AS chunk_id, len(ws) AS dl, count(DISTINCT t)::BIGINT AS n_terms FROM (SELECT doc_id, ws, unnest(ws) AS t FROM tok) GROUP BY doc_id, len(ws)")
+def keyword_index_build(spark, d):
+    return stored_index(spark, d)[0].groupBy("chunk_id", F.col("dl").cast("long").alias("dl")).agg(F.count("*").alias("n_terms"))
+
+
 @query(f"WITH {I.bm25_sql([I.term('with'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm")
 def keyword_stored_index(spark, d):
-    rows = chunks(spark, d)
-    found = keyword.search_index(keyword.postings(rows), keyword.lengths(rows), keyword.parse_query("with that"))
-    return found.select("chunk_id", r6("score").alias("score"))
+    return _top(keyword.search_index(*stored_index(spark, d), keyword.parse_query("with that")))
+
+
+@query(f"""WITH {I.bm25_sql([PHRASE, "len(list_filter(ws, lambda t: starts_with(t, 'anth')))"], "source = 'src3'")} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20""")
+def keyword_stored_phrase(spark, d):
+    return _top(keyword.keyword_search(chunks(spark, d), "with-the anth*", 20, "src3", index=stored_index(spark, d)))
 
 
 @query("""SELECT doc_id AS chunk_id, (CASE WHEN contains(lower(text), 'the.') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'w_th') THEN 1 ELSE 0 END)::DOUBLE AS score
@@ -401,12 +426,12 @@ def html_headings(spark, d):
 WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')"
 
 
-@query(rf"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), t AS (SELECT doc_id, array_to_string(ws, ' ') AS body, array_to_string(ws[4:6], ' ') AS title, array_to_string(ws[20:22], ' ') AS nxt FROM w WHERE len(ws) >= 30),
+@query(rf"""WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), t AS (SELECT doc_id, array_to_string(ws, ' ') AS body, array_to_string(ws[4:6], ' ') AS title, array_to_string(ws[20:22], ' ') AS nxt FROM w),
 a AS (SELECT *, CASE WHEN strpos(body, title) > 1 THEN substr(body, strpos(body, title)) ELSE body END AS cut FROM t),
-b AS (SELECT *, strpos(substr(cut, length(title) + 1), nxt) AS spot FROM a)
+b AS (SELECT *, CASE WHEN coalesce(nxt, '') = '' THEN 0 ELSE strpos(substr(cut, coalesce(length(title), 0) + 1), nxt) END AS spot FROM a)
 SELECT doc_id, md5(CASE WHEN spot > 0 AND spot + length(title) > 1 THEN substr(cut, 1, spot + length(title) - 1) ELSE cut END) AS content_md5 FROM b""")
 def title_trim(spark, d):
-    rows = table(spark, d, "documents").withColumn("ws", F.filter(F.split("text", r"[\s]+"), lambda t: t != "")).filter(F.size("ws") >= 30)
+    rows = table(spark, d, "documents").withColumn("ws", F.filter(F.split("text", r"[\s]+"), lambda t: t != ""))
     rows = rows.select("doc_id", F.array_join("ws", " ").alias("body"), F.array_join(F.slice("ws", 4, 3), "  ").alias("title"), F.array_join(F.slice("ws", 20, 3), "\n").alias("nxt"))
     return rows.select("doc_id", F.md5(S.trim_to_title("body", F.replace(F.col("title"), F.lit("  "), F.lit(" ")), "nxt")).alias("content_md5"))
 

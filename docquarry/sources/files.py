@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -17,6 +18,15 @@ from docquarry.functions.text import document_id
 Parser = Callable[[bytes], dict[str, Iterable[dict]]]
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, which a
+    local session need not have."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or "file://" + tempfile.mkdtemp(prefix="docquarry-")).rstrip("/")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -59,7 +59,7 @@ def test_literal_falls_back(spark):
 def test_stored_index_equals_scan(chunks):
     parts = keyword.parse_query("alpha beta")
     scan = {r.chunk_id: r.score for r in keyword.score_bm25(chunks, parts).collect()}
-    stored = {r.chunk_id: r.score for r in keyword.search_index(keyword.postings(chunks), keyword.lengths(chunks), parts).collect()}
+    stored = {r.chunk_id: r.score for r in keyword.search_index(keyword.postings(chunks), keyword.index_sizes(chunks), parts).collect()}
     assert stored == pytest.approx(scan)
 
 
