@@ -16,6 +16,7 @@ from docquarry.functions.text import document_id
 #: A parser turns a file's bytes into page dicts, outline dicts and table dicts; see
 #: schemas.PAGES, TOC and TABLE_REGIONS (without doc_id, keywords and type).
 Parser = Callable[[bytes], dict[str, Iterable[dict]]]
+TABLE_CELLS = f"doc_id string, page_num int, table_index int, bbox {schemas.BOX}, grid array<array<string>>"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -54,7 +55,7 @@ def binary_documents(spark: SparkSession, paths: list[str], pattern: str = "*")
 def parse_documents(files: DataFrame, parser: Parser, what: str) -> DataFrame:
     """One kind of parser output ('pages', 'toc' or 'tables') for (doc_id, content) rows.
     The parser runs on the executors, a file at a time."""
-    schema = {"pages": schemas.PAGES, "toc": schemas.TOC, "tables": f"doc_id string, page_num int, table_index int, bbox {schemas.BOX}, grid array<array<string>>"}[what]
+    schema = {"pages": schemas.PAGES, "toc": schemas.TOC, "tables": TABLE_CELLS}[what]
     names = [f.split()[0] for f in _top_level(schema)]
 
     def run(batches):
@@ -68,6 +69,35 @@ def parse_documents(files: DataFrame, parser: Parser, what: str) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, schema)
 
 
+def _fields_of(what: str) -> str:
+    """The fields of one kind of parser output, without the doc_id."""
+    schema = {"pages": schemas.PAGES, "toc": schemas.TOC, "tables": TABLE_CELLS}[what]
+    return ", ".join(f for f in _top_level(schema) if not f.startswith("doc_id "))
+
+
+def parse_all(files: DataFrame, parser: Parser) -> DataFrame:
+    """(doc_id, filename, pages, toc, tables): everything the parser finds in each file,
+    which it reads once."""
+    kinds = ("pages", "toc", "tables")
+    schema = "doc_id string, filename string, " + ", ".join(f"{k} array<struct<{_fields_of(k)}>>" for k in kinds)
+    names = {k: [f.split()[0] for f in _top_level(_fields_of(k))] for k in kinds}
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, filename, content in zip(batch["doc_id"], batch["filename"], batch["content"], strict=True):
+                found = parser(content)
+                rows.append([doc_id, filename, *[[{n: ({"toc_idx": i} | item).get(n) for n in names[k]} for i, item in enumerate(found.get(k, ()))] for k in kinds]])
+            yield pd.DataFrame(rows, columns=["doc_id", "filename", *kinds])
+
+    return files.select("doc_id", "filename", "content").mapInPandas(run, schema)
+
+
+def parsed_rows(parsed: DataFrame, what: str) -> DataFrame:
+    """One kind of output of parse_all, a row each."""
+    return parsed.select("doc_id", F.explode(what).alias("x")).select("doc_id", "x.*")
+
+
 def _top_level(schema: str) -> list[str]:
     depth, start, out = 0, 0, []
     for i, ch in enumerate(schema + ","):

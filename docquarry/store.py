@@ -1,9 +1,12 @@
 """DocStore: ingest, search, look up, list, remove and rebuild over Parquet tables.
 
-`chunks` is the single source of truth; registers and vectors are derived from it, so a
-re-ingested or removed document leaves nothing stale behind. Tables are versioned: a
-write goes to a new folder, and the small pointer table that names the current one is
-written last, so a lost job leaves the old state.
+`chunks` is the single source of truth; registers are derived from it, and vectors, postings
+and sizes follow it, so a re-ingested or removed document leaves nothing stale behind.
+
+Every table is dealt into parts by a hash of the doc_id. A change writes anew only the parts
+that its documents fall into, and then a line per part that names the part's new folder (the
+manifest); readers take the newest line of each part, so a lost job leaves the old state. The
+folders that a change has replaced are deleted after it.
 """
 
 from __future__ import annotations
@@ -17,68 +20,102 @@ from pyspark.sql import functions as F
 from docquarry import schemas
 from docquarry.config import Config
 from docquarry.functions.grids import extract_table
-from docquarry.operators import catalog_ops, chunks as C, hybrid, render, sections as S
+from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, sections as S
 from docquarry.sources import embedder, files
 
-_TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS}
+_TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "postings": schemas.POSTINGS, "sizes": schemas.SIZES}
+_MANIFEST = "version long, name string, part int, folder string"
 
 
 class DocStore:
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, load_model: Callable = embedder.HashingModel):
-        self.spark, self.path, self.config, self.load_model = spark, path.rstrip("/"), config or Config(), load_model
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, load_model: Callable = embedder.HashingModel, parts: int = 32):
+        """parts: into how many each table is dealt; the same for the life of a store."""
+        self.spark, self.path, self.config, self.load_model, self.parts = spark, path.rstrip("/"), config or Config(), load_model, parts
 
     # -- tables ------------------------------------------------------------------
 
-    def _pointers(self) -> DataFrame | None:
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = jvm.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version long, name string, folder string").json(f"{self.path}/current") if fs.exists(jvm) else None
-
-    def table(self, name: str) -> DataFrame:
-        rows = self._pointers()
-        row = rows.filter(F.col("name") == name).orderBy(F.desc("version")).first() if rows is not None else None
-        if row is None:
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _manifest(self) -> dict[tuple[str, int], tuple[int, str]]:
+        """(table, part) to (version, folder), the newest of each; as many as parts."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return {}
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
+        newest = rows.groupBy("name", "part").agg(F.max(F.struct("version", "folder")).alias("last"))
+        return {(r["name"], r["part"]): (r["last"]["version"], r["last"]["folder"]) for r in newest.collect()}
+
+    def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
+        """A table, or some of its parts."""
+        found = [folder for (n, part), (_, folder) in sorted(self._manifest().items()) if n == name and (parts is None or part in parts)]
+        if not found:
             return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.path}/{row['folder']}")
-
-    def _write(self, new: dict[str, DataFrame]) -> None:
-        rows = self._pointers()
-        version = (rows.agg(F.max("version")).first()[0] or 0) + 1 if rows is not None else 1
-        named = []
-        for name, df in new.items():
-            folder = f"{name}-{uuid.uuid4().hex}"
-            df.select(*[f.name for f in self.spark.createDataFrame([], _TABLES[name]).schema]).write.parquet(f"{self.path}/{folder}")
-            named.append((version, name, folder))
-        self.spark.createDataFrame(named, "version long, name string, folder string").coalesce(1).write.mode("append").json(f"{self.path}/current")
+        return self.spark.read.schema(_TABLES[name]).parquet(*[f"{self.path}/{folder}" for folder in found])
+
+    def _part(self, doc_id="doc_id"):
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
+
+    def _replace(self, gone: DataFrame, new: dict[str, DataFrame]) -> None:
+        """Take the documents `gone` (doc_id) out of every table and put the rows of `new`
+        in, in the parts that hold them."""
+        before = self._manifest()
+        touched = sorted(r["part"] for r in gone.select(self._part().alias("part")).distinct().collect())  # at most all parts
+        version = max((v for v, _ in before.values()), default=0) + 1
+        lines = []
+        for name, ddl in _TABLES.items():
+            kept = catalog_ops.remove(self.table(name, touched), gone)
+            rows = kept.unionByName(new[name]) if name in new else kept
+            names = [f.name for f in self.spark.createDataFrame([], ddl).schema]
+            folder = f"{name}/{uuid.uuid4().hex}"
+            dealt = rows.select(*names, self._part().alias("part")).repartition(max(1, len(touched)), "part")
+            order = ["part", "term", "chunk_id"] if name == "postings" else ["part"]
+            dealt.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{folder}")
+            held = {r["part"] for r in self.spark.read.schema(f"{ddl}, part int").parquet(f"{self.path}/{folder}").select("part").distinct().collect()}
+            for part in touched:
+                if part not in held:  # an empty part still has a folder to name
+                    self.spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{self.path}/{folder}/part={part}")
+                lines.append((version, name, part, f"{folder}/part={part}"))
+        self.spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        for name, part in before:
+            if part in touched:
+                self._delete(before[name, part][1])
 
     def _staged(self, df: DataFrame, name: str) -> DataFrame:
-        """df written below the store's folder and read back: parsed once, planned once."""
+        """df written below the store's folder and read back: parsed once, planned once.
+        The staging folder goes when the ingest is done."""
         path = f"{self.path}/staging/{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     # -- lifecycle ---------------------------------------------------------------
 
+    def _derived(self, chunks: DataFrame) -> dict[str, DataFrame]:
+        """The tables that follow the chunks."""
+        vectors = embedder.embed(chunks, self.load_model).select("chunk_id", "doc_id", "embedding")
+        return {"vectors": vectors, "postings": keyword.postings(chunks, keep=["doc_id"]), "sizes": keyword.index_sizes(chunks)}
+
     def ingest_sections(self, documents: DataFrame, sections: DataFrame, tables: DataFrame | None = None) -> None:
         """documents: (doc_id, filename, title, version); sections: flattened trees with
         doc_title. All former chunks and vectors of these documents are replaced."""
         options = {"target": self.config.chunking.target_size, "overlap": self.config.chunking.overlap}
         made = self._staged(C.chunk_documents(sections, tables, **options), "chunks")
         stamped = documents.select("doc_id", "filename", "title", "version", F.current_timestamp().alias("index_date"))
-        chunks = catalog_ops.remove(self.table("chunks"), documents).unionByName(made)
-        vectors = embedder.embed(made, self.load_model).select("chunk_id", "doc_id", "embedding")
-        kept = catalog_ops.remove(self.table("vectors"), documents).unionByName(vectors)
-        self._write({"documents": catalog_ops.upsert(self.table("documents"), stamped, "doc_id"), "chunks": chunks, "vectors": kept})
-
-    def ingest_files(self, paths: list[str], parser: files.Parser, pattern: str = "*.pdf") -> None:
-        """Parse files and ingest them: outline sections where there is an outline, heading
-        sections elsewhere, register tables of all pages. 'Table N.' sections carry the
-        header of a table on their first two pages."""
+        self._replace(documents.select("doc_id").distinct(), {"documents": stamped, "chunks": made, **self._derived(made)})
+        self._delete("staging")
+
+    def ingest_files(self, paths: list[str], parser: files.Parser, pattern: str = "*.pdf", title: str | None = None, version: str | None = None, with_tables: bool = True) -> DataFrame:
+        """Parse files, each once, and ingest them: outline sections where there is an
+        outline, heading sections elsewhere, register tables of all pages. 'Table N.'
+        sections carry the header of a table on their first two pages. Returns the report:
+        filename, doc_id, pages, sections, tables and chunks of each file."""
         raw = files.binary_documents(self.spark, paths, pattern)
-        pages = self._staged(files.parse_documents(raw, parser, "pages"), "pages")
+        parsed = self._staged(files.parse_all(raw, parser), "parsed")
+        pages = files.parsed_rows(parsed, "pages")
         texts = pages.select("doc_id", "page_num", "raw_text")
         last = texts.groupBy("doc_id").agg(F.max("page_num").alias("last_page"))
-        toc = self._staged(files.parse_documents(raw, parser, "toc"), "toc").join(last, "doc_id")
+        toc = files.parsed_rows(parsed, "toc").join(last, "doc_id")
         titled = S.section_text(S.outline_bounds(toc), texts)
         outline = titled.select("doc_id", F.col("toc_idx").alias("section_id"), "title", "level", "start_page", "end_page", S.trim_to_title("content", "title", "next_title").alias("content"))
         blocks = pages.select("doc_id", "page_num", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "page_num", "block_idx", "b.text", "b.font_size", F.col("b.bbox.y0").alias("y0"), F.col("b.bbox.y1").alias("y1"))
@@ -86,26 +123,38 @@ class DocStore:
         names = ["doc_id", "section_id", "title", "level", "start_page", "end_page", "content"]
         flat = self._staged(outline.select(*names).unionByName(headed.select(*names)), "flat")
         tree = self._staged(S.outline_tree(flat), "sections")
-        documents = raw.select("doc_id", "filename", F.col("filename").alias("title"), F.lit(None).cast("string").alias("version"))
-        parsed = self._staged(files.parse_documents(raw, parser, "tables"), "tables")
-        tree = S.table_headers(tree, parsed)
-        found = files.classify_tables(parsed)
-        near = S.table_context(found.select("doc_id", "page_num", "table_index", F.col("bbox.y0").alias("y0")), blocks)
-        tables = found.join(near, ["doc_id", "page_num", "table_index"], "left").select("doc_id", extract_table("table_type", "grid", F.coalesce("context", F.lit(""))).alias("table"), F.col("page_num").alias("page")).join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
+        shown = F.lit(title) if title else F.col("filename")
+        documents = parsed.select("doc_id", "filename", shown.alias("title"), F.lit(version).cast("string").alias("version"))
+        found = files.parsed_rows(parsed, "tables") if with_tables else files.parsed_rows(parsed, "tables").limit(0)
+        tree = S.table_headers(tree, found)
+        kept = files.classify_tables(found)
+        near = S.table_context(kept.select("doc_id", "page_num", "table_index", F.col("bbox.y0").alias("y0")), blocks)
+        tables = kept.join(near, ["doc_id", "page_num", "table_index"], "left").select("doc_id", extract_table("table_type", "grid", F.coalesce("context", F.lit(""))).alias("table"), F.col("page_num").alias("page")).join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
+        counts = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in ("pages", "tables")]
+        sections = tree.groupBy("doc_id").agg(F.count("*").alias("sections"))
+        report = parsed.select("filename", "doc_id", *counts).join(sections, "doc_id", "left").select("filename", "doc_id", "pages", F.coalesce("sections", F.lit(0)).alias("sections"), "tables").collect()  # a row per file of the call
         self.ingest_sections(documents, tree.join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id"), tables)
+        told = self.spark.createDataFrame(report, "filename string, doc_id string, pages long, sections long, tables long")
+        return told.join(self.stats().select("doc_id", F.col("n_chunks").alias("chunks")), "doc_id", "left").select("filename", "doc_id", "pages", "sections", "tables", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
     def remove(self, doc_id: str) -> bool:
         """False if the document is not there."""
-        documents = self.table("documents")
-        gone = documents.filter(F.col("doc_id") == doc_id).select("doc_id")
-        if gone.isEmpty():
+        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
+        part = [r[0] for r in gone.select(self._part()).collect()]
+        if self.table("documents", part).filter(F.col("doc_id") == doc_id).isEmpty():
             return False
-        self._write({name: catalog_ops.remove(self.table(name), gone) for name in _TABLES})
+        self._replace(gone, {})
         return True
 
     def rebuild(self) -> None:
-        """Vectors of all chunks anew."""
-        self._write({"vectors": embedder.embed(self.table("chunks"), self.load_model).select("chunk_id", "doc_id", "embedding")})
+        """Vectors, postings and sizes of all chunks anew."""
+        documents, chunks = (self._staged(self.table(name), name) for name in ("documents", "chunks"))
+        self._replace(documents.select("doc_id").distinct(), {"documents": documents, "chunks": chunks, **self._derived(chunks)})
+        self._delete("staging")
+
+    def size(self) -> int:
+        """Number of vectors."""
+        return self.table("vectors").count()
 
     # -- queries -----------------------------------------------------------------
 
@@ -115,7 +164,7 @@ class DocStore:
     def search(self, query: str, top_k: int | None = None, doc_filter: str | None = None) -> DataFrame:
         options = self.config.search
         vector = embedder.embed_query(query, self.load_model)
-        return hybrid.hybrid_search(self.table("chunks"), self.table("vectors"), query, vector, top_k or options.top_k, doc_filter, options.keyword_weight, options.semantic_weight)
+        return hybrid.hybrid_search(self.table("chunks"), self.table("vectors"), query, vector, top_k or options.top_k, doc_filter, options.keyword_weight, options.semantic_weight, index=(self.table("postings"), self.table("sizes")))
 
     def search_markdown(self, query: str, top_k: int | None = None, doc_filter: str | None = None) -> str:
         return render.format_results(self.search(query, top_k, doc_filter), top_k or self.config.search.top_k)
