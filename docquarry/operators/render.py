@@ -37,3 +37,12 @@ def listing(files: DataFrame) -> DataFrame:
     indexed = F.col("doc_id").isNotNull()
     line = F.format_string("- **%s** (%.1f MB) — %s", "filename", "size_mb", F.when(indexed, "indexed").otherwise("not indexed"))
     return files.select(indexed.alias("indexed"), "filename", F.concat(line, F.when(indexed, F.concat(F.lit("\n  - ID: `"), "doc_id", F.lit("`"))).otherwise("")).alias("line")).orderBy(F.desc("indexed"), "filename")
+
+
+def listing_text(lines: DataFrame, dirs: list[str]) -> str:
+    """A listing as one text, headed by the numbers of files and of indexed ones."""
+    rows = lines.orderBy(F.desc("indexed"), "filename").collect()  # the files of some directories
+    if not rows:
+        return f"No PDF files found in: {', '.join(dirs)}"
+    known = sum(r["indexed"] for r in rows)
+    return "\n".join(["# Documentation", "", f"**{len(rows)}** PDFs found ({known} indexed)", "", *(r["line"] for r in rows)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import tempfile
 from collections.abc import Callable, Iterable
 
@@ -41,14 +42,38 @@ def vectors_of_embeddings(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
+def _status(spark: SparkSession, path: str):
+    """Hadoop's file status of a path, or None where there is nothing."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(jvm_path) if fs.exists(jvm_path) else None
+
+
 def list_files(spark: SparkSession, paths: list[str], pattern: str = "*.pdf") -> DataFrame:
-    """(path, filename, size_mb) of the files below some directories; contents unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    """(path, filename, size_mb) of the files below some directories; contents unread.
+    Missing directories hold no files."""
+    there = [p for p in paths if _status(spark, p) is not None]
+    if not there:
+        return spark.createDataFrame([], "path string, filename string, size_mb double")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(there)
     return files.select("path", F.substring_index("path", "/", -1).alias("filename"), (F.col("length") / 1048576).alias("size_mb"))
 
 
+def check_paths(spark: SparkSession, paths: list[str], pattern: str) -> None:
+    """ValueError for a path that is not there, and for a named file that the pattern,
+    upper and lower case alike, does not match."""
+    for path in paths:
+        found = _status(spark, path)
+        if found is None:
+            raise ValueError(f"Documentation file not found: {path}")
+        name = found.getPath().getName()
+        if not found.isDirectory() and not fnmatch.fnmatch(name.lower(), pattern.lower()):
+            raise ValueError(f"Only {pattern} files are supported. Got: {name}")
+
+
 def binary_documents(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    either = "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in pattern)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", either).load(paths)
     return files.select(document_id("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("filename"), "content")
 
 

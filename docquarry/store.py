@@ -110,6 +110,7 @@ class DocStore:
         outline, heading sections elsewhere, register tables of all pages. 'Table N.'
         sections carry the header of a table on their first two pages. Returns the report:
         filename, doc_id, pages, sections, tables and chunks of each file."""
+        files.check_paths(self.spark, paths, pattern)
         raw = files.binary_documents(self.spark, paths, pattern)
         parsed = self._staged(files.parse_all(raw, parser), "parsed")
         pages = files.parsed_rows(parsed, "pages")
@@ -184,5 +185,10 @@ class DocStore:
         found = files.list_files(self.spark, list(paths or self.config.doc_dirs), pattern)
         return render.listing(catalog_ops.status(found, self.table("documents")))
 
+    def list_markdown(self, paths: list[str] | None = None, pattern: str = "*.pdf") -> str:
+        """The listing with its counts."""
+        dirs = list(paths or self.config.doc_dirs)
+        return render.listing_text(self.list_files(dirs, pattern), dirs)
+
     def stats(self) -> DataFrame:
         return catalog_ops.document_stats(self.table("chunks"))

@@ -144,6 +144,80 @@ def test_config():
         Config.load({"serach": {}})
 
 
+def test_config_file(tmp_path):
+    path = tmp_path / "options.yaml"
+    path.write_text("# options\ndoc_dirs:\n  - ./a  # first\n  - 'b c'\nsearch:\n  top_k: 3\n  keyword_weight: 0.5\nchunking:\n")
+    found = Config.read(str(path))
+    assert found.doc_dirs == ("./a", "b c") and found.search.top_k == 3 and found.search.keyword_weight == 0.5 and found.chunking.overlap == 200
+    assert Config.read(str(tmp_path / "none.yaml")) == Config()
+    path.write_text("search:\n  top: 3\n")
+    with pytest.raises(ValueError):
+        Config.read(str(path))
+
+
+def plain_split(text, budget, overlap):
+    """The splitter, boundary by boundary."""
+    import re
+
+    out, start = [], 0
+    while start < len(text):
+        end = min(start + budget, len(text))
+        if end < len(text):
+            stops = [m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n\n+", text) if start < m.end() <= end]
+            blank = text.rfind(" ", start, end)
+            end = stops[-1] if stops else blank + 1 if blank > start else end
+        out.append(text[start:end])
+        near = [m.end() for m in re.compile(r"(?<=[.!?])\s+|\n\n+").finditer(text, max(start, end - overlap), end)]
+        again = near[-2] if len(near) > 1 else near[0] if near else end
+        start = again if start < again < end else end
+    return out
+
+
+def test_split_documents_equal_plain(spark):
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    found = {}
+    for r in catalog.split_chunks(spark, SF).collect():
+        found.setdefault(r.doc_id, []).append((r.part, r.text_md5, r.n_chars))
+    import hashlib
+
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        prefix, body = f"[{r.source}]\n", r.text.strip()
+        want = [prefix + p.strip() for p in plain_split(body, 1000 - len(prefix), 100)]
+        assert sorted(found.get(r.doc_id, [])) == [(i, hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in enumerate(want)]
+
+
+def test_embedded_documents_equal_plain(spark):
+    import re
+    import zlib
+
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in catalog.embed_documents(spark, SF).collect():
+        words, out = re.findall(r"\w+", texts[r.chunk_id].lower()), [0.0] * 64
+        for part in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            h = zlib.crc32(part.encode(), 1)
+            out[h % 64] += 1 if h & 0x80000000 else -1
+        size = sum(x * x for x in out) ** 0.5 or 1.0
+        assert [float(x) for x in r.embedding.strip("[]").split(",")] == pytest.approx([x / size for x in out], abs=2e-5)
+
+
+def test_memory_maps_and_structured_results(spark):
+    from docquarry.functions import grids as G
+    from docquarry.functions import registers as R
+
+    grid = [["Peripheral", "Base Address", "Size"], ["UART0", "0x4000", "1K"]]
+    assert spark.createDataFrame([(grid,)], "g array<array<string>>").select(G.table_type(G.grid_keywords("g"))).first()[0] == "memory_map"
+    grid = [["Name", "Address"], ["UART0", "0x4000"], ["", "0x5000"]]
+    table = spark.createDataFrame([(grid,)], "g array<array<string>>").select(G.extract_table(F.lit("memory_map"), "g", F.lit("Map of the device")).alias("t"))
+    row = table.select("t", R.table_markdown("t").alias("m")).first()
+    assert [(r.name, r.address) for r in row.t.registers] == [("UART0", "0x4000")] and "### UART0 (0x4000)" in row.m and "**Width:** 32-bit" in row.m
+    assert table.select(G.extract_table(F.lit("other"), F.array(F.array(F.lit("a"))), F.lit(""))).first()[0] is None
+
+
 DOC = "1. Cache Guide\nThe cache is fast. It has alpha mode.\f2.1 Cache control register (CACHE_CR)\nAddress offset: 0x10\nBits 7:4 MODE: mode\nBits 3:0 WAIT: wait\n"
 
 
@@ -166,6 +240,13 @@ def test_store_lifecycle(store):
     assert render.format_register(db.find_register("NONE"), "NONE") == "Register 'NONE' not found."
     assert "## Result 1" in db.search_markdown("alpha")
     assert "indexed" in db.list_files([str(docs)], "*.txt").first().line
+    (docs / "more.TXT").write_text("plain")
+    assert db.list_markdown([str(docs), str(docs / "none")], "*.txt").startswith("# Documentation\n\n**1** PDFs found (1 indexed)\n\n- **guide.txt** (0.0 MB) — indexed\n  - ID: `")
+    assert db.list_markdown([str(docs / "none")]) == f"No PDF files found in: {docs / 'none'}"
+    (docs / "more.TXT").unlink()
+    assert db.find_register("CACHE_CR").first().register_names == ["CACHE_CR"]
+    assert db.size() == 2 and db.search("al* mode", 1).first().section_title == "1. Cache Guide"
+    assert db.search("cache-control", 1).first().section_title == "2.1 Cache control register (CACHE_CR)"
 
     (docs / "guide.txt").write_text("1. Other Guide\nbeta text.")
     db.ingest_files([str(docs)], text_parser, "*.txt")
@@ -176,6 +257,28 @@ def test_store_lifecycle(store):
     assert db.table("chunks").count() == db.table("vectors").count() == db.list_documents().count() == 0
 
 
+def test_ingest_reports_and_touches_only_what_changed(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    for k in range(6):
+        (tmp_path / f"docs/d{k}.txt").write_text(DOC.replace("fast", f"fast{k}"))
+    db = DocStore(spark, f"file://{tmp_path}/index")
+    report = {r.filename: r for r in db.ingest_files([str(tmp_path / "docs")], text_parser, "*.txt", title="Guide", version="2").collect()}
+    assert len(report) == 6 and {(r.pages, r.sections, r.tables, r.chunks) for r in report.values()} == {(2, 2, 0, 2)}
+    assert {(r.title, r.version) for r in db.list_documents().collect()} == {("Guide", "2")}
+    before = db._manifest()
+    (tmp_path / "docs/d3.txt").write_text("1. Other Guide\nzeta text.")
+    db.ingest_files([str(tmp_path / "docs/d3.txt")], text_parser, "*.txt")
+    after = db._manifest()
+    changed = {part for key, part in after if before.get((key, part)) != after[key, part]}
+    assert len(changed) == 1 and db.table("chunks").count() == 11 and db.search("zeta", 3).first().section_title == "1. Other Guide"
+    assert db.search("fast3", 3).filter("text like '%fast3%'").count() == 0
+    folders = {str(p.relative_to(tmp_path / "index")) for p in (tmp_path / "index").glob("*/*/part=*")}
+    assert folders == {folder for _, folder in after.values()} and not (tmp_path / "index/staging").exists()
+    for bad, pattern in ((f"{tmp_path}/docs/none.txt", "*.txt"), (f"{tmp_path}/docs/d1.txt", "*.pdf")):
+        with pytest.raises(ValueError):
+            db.ingest_files([bad], text_parser, pattern)
+
+
 def test_ingested_table_sections_carry_their_header(spark, tmp_path):
     def parser(content):
         pages = [{"page_num": n, "width": 612.0, "height": 792.0, "blocks": [], "raw_text": t} for n, t in enumerate(["Table 3. Codes\n" + "Row of codes. " * 40, "more", "Table 4. Late\nlate rows", "still", "Table 5. None\nplain", "Prose\nprose text", "end"])]
