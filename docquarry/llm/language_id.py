@@ -215,7 +215,7 @@ def identifier(model: LanguageModel) -> Identifier:
     return Identifier(model)
 
 
-def fit(docs: DataFrame, max_letters: int = 40_000, max_docs: int = 400, max_chars: int = 4_000) -> LanguageModel:
+def fit(docs: DataFrame, max_letters: int = 20_000, max_docs: int = 400, max_chars: int = 4_000) -> LanguageModel:
     """Learn from rows with text and lang that are not held out: of at most `max_docs`
     documents per language (the smallest hashes of their ids) the first `max_chars`
     characters each, until there are `max_letters` characters, or fewer where CELLS is

@@ -43,11 +43,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import map_batches
+from docquarry.llm.common import chunks, map_batches
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 200_000
 _NEVER = float("-inf")
 _ONE = (1,)
 
@@ -378,6 +378,13 @@ class Codec:
             units.append(marked[start:])
         return units
 
+    def encode_all(self, texts):
+        """encode_bytes of each text; the words of a few megabytes are decoded together."""
+        texts = [t or "" for t in texts]
+        for a, b in chunks(list(map(len, texts))):
+            self.learn(texts[a:b])
+            yield from map(self.encode_bytes, texts[a:b])
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<i4").tolist()
 
@@ -394,8 +401,7 @@ def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            codec.learn(batch["text"])
-            packed = [np.frombuffer(codec.encode_bytes(t), "<i4") for t in batch["text"]]
+            packed = [np.frombuffer(data, "<i4") for data in codec.encode_all(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "token_ids": packed, "decoded": [codec.decode(p.tolist()) for p in packed]})
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, token_ids array<int>, decoded string")
@@ -411,9 +417,7 @@ def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
         codec = Codec(shared.value)
         for batch in batches:
             rows = []
-            codec.learn(batch["text"])
-            for text in batch["text"]:
-                data = codec.encode_bytes(text)
+            for text, data in zip(batch["text"], codec.encode_all(batch["text"]), strict=True):
                 decoded = codec.decode(np.frombuffer(data, "<i4").tolist())
                 rows.append((len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), decoded == (text or "")))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
