@@ -47,7 +47,8 @@ from docquarry.llm.common import chunks, map_batches
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-_CACHE_WORDS = 200_000
+#: Words, and pairs of pieces, whose decisions a decoder remembers.
+_CACHE_WORDS, _CACHE_PAIRS = 200_000, 400_000
 _NEVER = float("-inf")
 _ONE = (1,)
 
@@ -211,11 +212,13 @@ class Codec:
             first.append((score, symbols[0]))
         return last, first
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
-        """Whether merging the pair's text by rank gives just this pair: no merge across
-        the seam may ever outrank the next merge on either side (leftmost on ties)."""
-        (left, _), (_, right) = self.growth[pair[0]], self.growth[pair[1]]
-        x, y = self.model.pieces[pair[0]][-1], self.model.pieces[pair[1]][0]
+    def _fits(self, pair: int) -> bool:
+        """Whether merging the text of two pieces (first * number of pieces + second) by
+        rank gives just them: no merge across the seam may ever outrank the next merge on
+        either side (leftmost on ties)."""
+        one, two = divmod(pair, len(self.model.pieces))
+        (left, _), (_, right) = self.growth[one], self.growth[two]
+        x, y = self.model.pieces[one][-1], self.model.pieces[two][0]
         i = j = 0
         while True:
             a = left[i][0] if i < len(left) else _NEVER
@@ -240,6 +243,7 @@ class Codec:
     def _decode(self, window: _Window, text: str, known: int):
         """Go on from boundary `known` of the text, up to which the window holds it."""
         bpe, ids, tails, longest, scores, fits = self.model.kind == "bpe", self.ids, self.tails, self.longest, self.model.scores, self.fits
+        number = len(scores)
         base, sizes, arcs, sums = window.base, window.sizes, window.arcs, window.sums
         for end in range(known + 1, len(text) + 1):
             at = end - base  # the boundary's place in the window
@@ -254,7 +258,7 @@ class Codec:
                 if before is None and at - size + base:
                     continue  # no path reaches that boundary
                 if bpe:
-                    if before is None or before < 0 or fits[before, piece]:
+                    if before is None or before < 0 or fits[before * number + piece]:
                         best, piece_of = size, piece
                         break
                 elif sums[at - size] + scores[piece] > top:
@@ -305,6 +309,8 @@ class Codec:
         if len(self.first) + len(self.plain) > _CACHE_WORDS:
             self.first.clear()
             self.plain.clear()
+        if len(self.fits) > _CACHE_PAIRS:
+            self.fits.clear()
         if not self.splits:
             return
         marked: set[str] = set()
