@@ -22,6 +22,7 @@ from docquarry.config import Config
 from docquarry.functions.grids import extract_table
 from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, sections as S
 from docquarry.sources import embedder, files
+from docquarry.sources.pdf import pdf_parser
 
 _TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "postings": schemas.POSTINGS, "sizes": schemas.SIZES}
 _MANIFEST = "version long, name string, part int, folder string"
@@ -105,7 +106,7 @@ class DocStore:
         self._replace(documents.select("doc_id").distinct(), {"documents": stamped, "chunks": made, **self._derived(made)})
         self._delete("staging")
 
-    def ingest_files(self, paths: list[str], parser: files.Parser, pattern: str = "*.pdf", title: str | None = None, version: str | None = None, with_tables: bool = True) -> DataFrame:
+    def ingest_files(self, paths: list[str], parser: files.Parser = pdf_parser, pattern: str = "*.pdf", title: str | None = None, version: str | None = None, with_tables: bool = True) -> DataFrame:
         """Parse files, each once, and ingest them: outline sections where there is an
         outline, heading sections elsewhere, register tables of all pages. 'Table N.'
         sections carry the header of a table on their first two pages. Returns the report:
