@@ -37,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -48,12 +49,12 @@ from docquarry.llm.common import chunks, map_batches
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words, and pairs of pieces, whose decisions a decoder remembers.
-_CACHE_WORDS, _CACHE_PAIRS = 200_000, 400_000
+_CACHE_WORDS, _CACHE_PAIRS = 400_000, 400_000
 _NEVER = float("-inf")
 _ONE = (1,)
 
 
-@dataclass
+@dataclass(eq=False)
 class PieceModel:
     """Plain data of a model: pieces by id, scores, which ids text may use, byte ids."""
 
@@ -184,9 +185,9 @@ class Codec:
         tails: dict[str, set[int]] = {}
         for piece in self.ids:
             if len(piece) > 1:
-                tails.setdefault(piece[-2:], set()).add(len(piece))
-        #: lengths of the pieces that end in two characters, the longest first
-        self.tails = {pair: (*sorted(sizes, reverse=True), 1) for pair, sizes in tails.items()}
+                tails.setdefault(piece[-3:], set()).add(len(piece))
+        #: lengths of the pieces that end in three characters, or are two, the longest first
+        self.tails = {end: (*sorted(sizes | tails.get(end[-2:], set()), reverse=True), 1) for end, sizes in tails.items()}
 
     def _raw(self) -> list[bytes]:
         raw = [p.encode() if use else b"" for p, use in zip(self.model.pieces, self.model.usable, strict=True)]
@@ -248,7 +249,7 @@ class Codec:
         for end in range(known + 1, len(text) + 1):
             at = end - base  # the boundary's place in the window
             best, piece_of, top = 0, None, _NEVER
-            for size in tails.get(text[end - 2 : end], _ONE) if end > 1 else _ONE:
+            for size in tails.get(text[end - 3 : end]) or tails.get(text[end - 2 : end], _ONE):
                 if size > at:
                     continue
                 piece = ids.get(text[end - size : end])
@@ -304,11 +305,15 @@ class Codec:
     def _bytes(self, word: str) -> bytes:
         return b"".join(struct.pack(f"<{len(run)}i", *run) for run in self.viterbi(word))
 
+    def forget(self) -> None:
+        """Empty the cache of words."""
+        self.first.clear()
+        self.plain.clear()
+
     def learn(self, texts) -> None:
         """Decode the words of texts that the cache lacks."""
         if len(self.first) + len(self.plain) > _CACHE_WORDS:
-            self.first.clear()
-            self.plain.clear()
+            self.forget()
         if len(self.fits) > _CACHE_PAIRS:
             self.fits.clear()
         if not self.splits:
@@ -400,15 +405,22 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(1)
+def _codec(model: PieceModel) -> Codec:
+    """One per Python worker: what it knows of pairs of pieces serves all its tasks."""
+    return Codec(model)
+
+
 def encode_documents(docs: DataFrame, model: PieceModel) -> DataFrame:
     """doc_id, the token ids and the text that decodes from them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a vocabulary: of fixed size
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             packed = [np.frombuffer(data, "<i4") for data in codec.encode_all(batch["text"])]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "token_ids": packed, "decoded": [codec.decode(p.tolist()) for p in packed]})
+        codec.forget()  # the words; the worker goes on to other tasks
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, token_ids array<int>, decoded string")
 
@@ -420,7 +432,7 @@ def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = _codec(shared.value)
         for batch in batches:
             rows = []
             for text, data in zip(batch["text"], codec.encode_all(batch["text"]), strict=True):
@@ -429,5 +441,6 @@ def encode_digests(docs: DataFrame, model: PieceModel) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "lossless"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
+        codec.forget()
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, lossless boolean")
