@@ -135,10 +135,11 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
-    """crc32 of the id's decimal text, modulo 3, equals 1; a null id is not held out."""
+def held_out(doc_id: Column | str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
+    """crc32 of the id's decimal text, modulo `folds`, equals `fold`; a null id is not held
+    out."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
