@@ -6,7 +6,8 @@ place lies in two of them and the whole text is covered, whatever its length; th
 answer of each filter within a chunk goes through a hidden layer, and the chunks' mean through
 a logistic unit to one probability that the quality label is 1.
 
-A text shorter than a chunk is padded by a symbol of its own. Filters meet every start with
+A text shorter than a chunk is padded by a symbol of its own, so that filters can tell short
+texts from monotonous ones. Filters meet every start with
 plain matrix products: for a fixed offset the windows lie one behind the other in memory.
 
 Training runs on the driver over a bounded sample, the same size for any corpus; its rows are
@@ -35,6 +36,8 @@ WIDTH, HALF, OFFSETS = 8, 256, (0, 2, 4, 6)
 SYMBOLS, DIM, FILTERS, HIDDEN = 257, 8, 32, 16
 #: Bytes scored side by side.
 BATCH = 500_000
+#: Share of the training examples that are cut to a short text, which has few answers.
+SHORTENED = 0.15
 PARAMETERS = ("byte", "filter", "filter_bias", "hidden", "hidden_bias", "out", "out_bias")
 
 
@@ -110,7 +113,6 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
         "byte": rng.normal(0, 0.5, (SYMBOLS, DIM)), "filter": rng.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)), "filter_bias": np.zeros(FILTERS),
         "hidden": rng.normal(0, (2 / FILTERS) ** 0.5, (FILTERS, HIDDEN)), "hidden_bias": np.full(HIDDEN, 0.1), "out": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), "out_bias": np.zeros(1),
     }
-    w["byte"][0] = 0
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
@@ -142,11 +144,17 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, bag: np.ndarray, label
     d_x = (d_best[:, :, None] * w["filter"].T[None]).reshape(-1, DIM)
     flat_seen = seen.ravel()
     back["byte"] = np.stack([np.bincount(flat_seen, d_x[:, k], SYMBOLS) for k in range(DIM)], 1)
-    back["byte"][0] = 0
     return back
 
 
-def train(bags: list[list[bytes]], label: np.ndarray, weight: np.ndarray, steps: int = 350, size: int = 48, seed: int = 7) -> Network:
+def _part(bag: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """A short text: 12 to 400 bytes of one of the chunks, from a word's beginning."""
+    piece = bag[rng.integers(len(bag))]
+    start = piece.find(b" ", int(rng.integers(max(1, len(piece) - 12)))) + 1
+    return [piece[start : start + int(12 * (400 / 12) ** rng.random())]]
+
+
+def train(bags: list[list[bytes]], label: np.ndarray, weight: np.ndarray, steps: int = 450, size: int = 48, seed: int = 7) -> Network:
     """Adam over `steps` batches of `size` bags, half of each label, weighted."""
     share = float((label * weight).sum() / weight.sum()) if len(label) else 0.5
     if len(set(label.tolist())) < 2:
@@ -158,8 +166,9 @@ def train(bags: list[list[bytes]], label: np.ndarray, weight: np.ndarray, steps:
     mass = np.where(label == 1, share, 1 - share)
     for step in range(1, steps + 1):
         picked = np.concatenate([rng.choice(side, size // 2) for side in sides])
-        pieces = [p for i in picked for p in bags[i]]
-        bag = np.repeat(np.arange(size), [len(bags[i]) for i in picked])
+        shown = [bags[i] if rng.random() > SHORTENED else _part(bags[i], rng) for i in picked]
+        pieces = [p for b in shown for p in b]
+        bag = np.repeat(np.arange(size), [len(b) for b in shown])
         flat, _ = symbols([p[: 2 * HALF] for p in pieces])
         back = gradients(w, flat, bag, label[picked], mass[picked])
         rate = 0.01 * min(1, step / 20) * (1 - step / (steps + 1))
