@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with diacritics and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Combining diacritical marks, which fold to nothing.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _composed() -> dict[str, str]:
+    """Lower-case letters that decompose canonically into one letter and such marks."""
+    parts = ((chr(p), unicodedata.normalize("NFD", chr(p))) for p in range(0x80, 0x3000))
+    return {ch: d[0] for ch, d in parts if len(d) > 1 and d[0].isalpha() and ch == ch.lower() and set(d[1:]) <= set(MARKS)}
+
+
+_FOLDED = _composed()
+#: What translate() turns into what; marks have no counterpart and go.
+ACCENTED, PLAIN = "".join(_FOLDED) + MARKS, "".join(_FOLDED.values())
 
 #: Characters outside letters and digits split tokens.
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
@@ -24,10 +36,15 @@ def col(c) -> Column:
 
 
 def fold(text) -> Column:
-    """Lower case without diacritics."""
+    """Lower case without diacritics, composed or as combining marks."""
     return F.translate(F.lower(col(text)), ACCENTED, PLAIN)
 
 
+def fold_python(word: str) -> str:
+    """The same for a query's word."""
+    return word.lower().translate(str.maketrans(ACCENTED[: len(PLAIN)], PLAIN, MARKS))
+
+
 def tokens(text) -> Column:
     """Folded letter-digit tokens in order; empty array for null."""
     return F.filter(F.split(F.coalesce(fold(text), F.lit("")), TOKEN_SPLIT), lambda t: t != "")

@@ -1,4 +1,4 @@
-"""Keyword search: an inverted index as DataFrames, BM25 and the literal fallback.
+"""Keyword search: postings, BM25 and the literal fallback.
 
 Query grammar: words are joined by AND. A literal word (see functions.text.is_literal) is
 a phrase of its tokens; `alpha*` matches a prefix, `^alpha` a first token. Words that the
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docquarry.functions import text as T
+from docquarry.operators import literal
 
 K1, B = 1.2, 0.75
 #: Lower bound of a term's weight.
@@ -42,8 +43,7 @@ def is_literal_word(word: str) -> bool:
 
 
 def fold_word(word: str) -> list[str]:
-    low = word.lower().translate(str.maketrans(T.ACCENTED, T.PLAIN))
-    return [t for t in re.split(r"[\W_]+", low) if t]
+    return [t for t in re.split(r"[\W_]+", T.fold_python(word)) if t]
 
 
 def parse_query(query: str) -> list[Part] | None:
@@ -130,8 +130,8 @@ def score_bm25(chunks: DataFrame, parts: list[Part], id_col: str = "chunk_id", k
 
 
 def search_index(index: DataFrame, sizes: DataFrame, parts: list[Part], keep: list[str] | None = None) -> DataFrame:
-    """Like score_bm25, but off stored postings: only those of the query's words are read,
-    and `sizes` (see index_sizes) for the statistics."""
+    """Like score_bm25, but off postings: only those of the query's words are read, and `sizes`
+    (rows of n_chunks and n_tokens) for the statistics."""
     names, keep = [f"f{i}" for i in range(len(parts))], keep or []
 
     def same(part: Part, k: int) -> Column:
@@ -153,31 +153,21 @@ def search_index(index: DataFrame, sizes: DataFrame, parts: list[Part], keep: li
     return _scored(counts, found.crossJoin(F.broadcast(whole)), names, keep)
 
 
-def literal_fallback(chunks: DataFrame, words: list[str], top_k: int, id_col: str = "chunk_id") -> DataFrame:
-    """Chunks that contain every word, ASCII case ignored, % and _ being wildcards; the
-    score is the number of words contained as they are."""
-    low = F.lower("text")
-    every = reduce(Column.__and__, [F.col("text").ilike(f"%{w}%") for w in words])
-    hits = sum((F.when(F.contains(low, F.lit(w.lower())), 1).otherwise(0) for w in words[1:]), F.when(F.contains(low, F.lit(words[0].lower())), 1).otherwise(0))
-    return chunks.filter(every).select(F.col(id_col).alias("chunk_id"), hits.cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(top_k)
-
-
-def keyword_search(chunks: DataFrame, query: str, top_k: int = 10, doc_filter: str | None = None, id_col: str = "chunk_id", doc_col: str = "doc_id", index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Top chunks by BM25, by descending score, then id. The filter narrows the result,
-    not the statistics. Where BM25 finds nothing and a word is literal, the fallback's
-    chunks are the result. `index`: stored postings and sizes, in place of a scan."""
+def keyword_search(chunks: DataFrame, query: str, top_k: int = 10, doc_filter: str | None = None, id_col: str = "chunk_id", doc_col: str = "doc_id") -> DataFrame:
+    """Top chunks by BM25 over a scan of the texts, by descending score, then id. The filter
+    narrows the result, not the statistics. Where BM25 finds nothing and a word is literal, the
+    texts with all words are the result. inverted.search is the same off stored tables."""
     words = query_words(query)
     parts = parse_query(query)
     mine = F.col(doc_col) == doc_filter if doc_filter else F.lit(True)
     keep = [doc_col] if doc_filter and doc_col != id_col else []
     found = chunks.select(F.col(id_col).alias("chunk_id"), F.lit(0.0).alias("score")).limit(0)
     if parts:
-        scored = search_index(*index, parts, keep) if index else score_bm25(chunks, parts, id_col, keep)
-        found = scored.filter(mine).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
+        found = score_bm25(chunks, parts, id_col, keep).filter(mine).select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(top_k)
     if not any(map(is_literal_word, words)):
         return found
-    literal = literal_fallback(chunks.filter(mine), words, top_k, id_col)
-    both = found.withColumn("way", F.lit(0)).unionByName(literal.withColumn("way", F.lit(1)))
+    rest = literal.scan(chunks.filter(mine), words, top_k, id_col)
+    both = found.withColumn("way", F.lit(0)).unionByName(rest.withColumn("way", F.lit(1)))
     first = F.min("way").over(Window.partitionBy(F.lit(0)))  # over two top-k tables
     return both.withColumn("first", first).filter("way = first").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id")
 

@@ -12,7 +12,8 @@ from docquarry.functions import grids as G
 from docquarry.functions import registers as R
 from docquarry.functions import text as T
 from docquarry.functions import vectors as V
-from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, semantic, sections as S
+from docquarry.log import LogTables, Table
+from docquarry.operators import catalog_ops, chunks as C, hybrid, inverted, keyword, literal, render, semantic, sections as S
 from docquarry.plans import inputs as I
 from docquarry.sources import embedder
 from docquarry.sources.files import chunks_of_documents, page_range, table, vectors_of_embeddings, work_dir
@@ -98,6 +99,40 @@ def _top(hits):
     return hits.select("chunk_id", r6("score").alias("score"))
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark, d, name, make):
+    """What a query has stored below the shared folder, made once per application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = make(f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _STORED[key]
+
+
+def stored_index(spark, d):
+    """The inverted index of the documents: blocks, dictionary, sizes and trigrams."""
+
+    def make(folder):
+        rows = chunks(spark, d)
+        keyword.postings(rows, keep=["doc_id"]).write.parquet(f"{folder}/postings")
+        postings = spark.read.parquet(f"{folder}/postings")
+        literal.gram_rows(rows, keep=["doc_id"]).write.parquet(f"{folder}/found")
+        grams = spark.read.parquet(f"{folder}/found")
+        sorted_files = [("blocks", inverted.block_rows(postings), ["term", "block"], 64), ("terms", inverted.term_counts(postings), ["term"], 2048), ("grams", grams, ["gram", "chunk_id"], 2048), ("gram_counts", literal.gram_counts(grams), ["gram"], 2048)]
+        for name, made, order, page in sorted_files:
+            made.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", str(page)).parquet(f"{folder}/{name}")
+        inverted.size_counts(rows).write.parquet(f"{folder}/sizes")
+        return folder
+
+    folder = kept(spark, d, "keyword-index", make)
+    return inverted.Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "terms", "sizes", "grams", "gram_counts")])
+
+
+def search_stored(spark, d, query, top_k, doc_filter=None):
+    return inverted.search(stored_index(spark, d), chunks(spark, d), query, top_k, doc_filter)
+
+
 @query(f"WITH {I.bm25_sql([I.term('with')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def keyword_bm25_single(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
@@ -113,6 +148,20 @@ def keyword_bm25_doc_filter(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "was", 10, "src3"))
 
 
+SINGLE = f"WITH {I.bm25_sql([I.term('with')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20"
+
+
+@query(SINGLE)
+def keyword_scan(spark, d):
+    """The same search without an index."""
+    return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
+
+
+@query(f"WITH {I.bm25_sql([I.term("with"), I.term("thereing")])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 5")
+def keyword_common_and_rare(spark, d):
+    return _top(search_stored(spark, d, "with thereing", 5))
+
+
 PHRASE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'with' AND ws[i + 1] = 'the'))"
 
 
@@ -126,39 +175,44 @@ def keyword_prefix(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "anth* ^the", 20))
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def stored_index(spark, d):
-    """Postings and sizes of the documents, written once per application."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        folder = f"{work_dir(spark)}/keyword-index-{uuid.uuid4().hex}"
-        keyword.postings(chunks(spark, d), keep=["doc_id"]).repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
-        keyword.index_sizes(chunks(spark, d)).write.parquet(f"{folder}/sizes")
-        _INDEXES[key] = folder
-    return tuple(spark.read.parquet(f"{_INDEXES[key]}/{name}") for name in ("postings", "sizes"))
-
-
 @query(f"WITH {I.TOKENS} SELECT doc_id AS chunk_id, len(ws) AS dl, count(DISTINCT t)::BIGINT AS n_terms FROM (SELECT doc_id, ws, unnest(ws) AS t FROM tok) GROUP BY doc_id, len(ws)")
 def keyword_index_build(spark, d):
-    return stored_index(spark, d)[0].groupBy("chunk_id", F.col("dl").cast("long").alias("dl")).agg(F.count("*").alias("n_terms"))
+    return stored_index(spark, d).postings().groupBy("chunk_id", F.col("dl").cast("long").alias("dl")).agg(F.count("*").alias("n_terms"))
 
 
 @query(f"WITH {I.bm25_sql([I.term('with'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm")
 def keyword_stored_index(spark, d):
-    return _top(keyword.search_index(*stored_index(spark, d), keyword.parse_query("with that")))
+    return _top(inverted.scores(stored_index(spark, d), keyword.parse_query("with that")))
 
 
 @query(f"""WITH {I.bm25_sql([PHRASE, "len(list_filter(ws, lambda t: starts_with(t, 'anth')))"], "source = 'src3'")} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20""")
 def keyword_stored_phrase(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "with-the anth*", 20, "src3", index=stored_index(spark, d)))
+    return _top(search_stored(spark, d, "with-the anth*", 20, "src3"))
 
 
 @query("""SELECT doc_id AS chunk_id, (CASE WHEN contains(lower(text), 'the.') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'w_th') THEN 1 ELSE 0 END)::DOUBLE AS score
 FROM documents WHERE text ILIKE '%the.%' AND text ILIKE '%w_th%' ORDER BY score DESC, chunk_id LIMIT 25""")
 def keyword_literal_fallback(spark, d):
-    return keyword.literal_fallback(chunks(spark, d), ["the.", "W_th"], 25)
+    return _top(literal.scan(chunks(spark, d), ["the.", "W_th"], 25))
+
+
+@query("""SELECT doc_id AS chunk_id, 3.0::DOUBLE AS score FROM documents WHERE text ILIKE '%(c)%' AND text ILIKE '%2_0_%' AND text ILIKE '%in%' ORDER BY chunk_id LIMIT 25""".replace("3.0::DOUBLE", "(CASE WHEN contains(lower(text), '(c)') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), '2_0_') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'in') THEN 1 ELSE 0 END)::DOUBLE"))
+def keyword_literal_stored(spark, d):
+    """Off the trigrams: a word of two characters, one with wildcards."""
+    index = stored_index(spark, d)
+    return _top(literal.search(chunks(spark, d), index.grams, index.gram_counts, ["(C)", "2_0_", "in"], 25))
+
+
+@query("SELECT doc_id AS chunk_id, 1.0::DOUBLE AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the.') ORDER BY chunk_id LIMIT 500")
+def keyword_literal_common(spark, d):
+    """A word of many texts: candidates are joined, not named."""
+    index = stored_index(spark, d)
+    return _top(literal.search(chunks(spark, d), index.grams, index.gram_counts, ["The."], 500))
+
+
+@query(f"WITH {I.TOKENS} SELECT t AS term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM tok) WHERE starts_with(t, 'than') GROUP BY t")
+def term_prefix_range(spark, d):
+    return inverted.prefix_terms(stored_index(spark, d), "than")
 
 
 @query(f"WITH {I.bm25_sql([I.term('with')])}, top AS (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20) SELECT chunk_id, round(score / (SELECT max(score) FROM top), 6) AS score FROM top")
@@ -178,6 +232,24 @@ def vector_nearest(spark, d):
     return semantic.nearest(vectors(spark, d), first_vector(spark, d), 20).select("chunk_id", r6("distance").alias("distance"))
 
 
+def stored_vectors(spark, d):
+    """The vectors by cluster and distance to its pivot, and the pivots."""
+
+    def make(folder):
+        rows = vectors(spark, d)
+        pivots = semantic.pick_pivots(rows)
+        semantic.clustered(rows, pivots).repartitionByRange("cluster", "radius").sortWithinPartitions("cluster", "radius").write.option("parquet.page.row.count.limit", "256").parquet(folder)
+        return folder, pivots
+
+    folder, pivots = kept(spark, d, "vectors", make)
+    return spark.read.parquet(folder), pivots
+
+
+@query(f"WITH {VEC} SELECT chunk_id, round(distance, 6) AS distance FROM dist ORDER BY dist.distance, chunk_id LIMIT 20")
+def vector_nearest_stored(spark, d):
+    return semantic.nearest_clustered(*stored_vectors(spark, d), first_vector(spark, d), 20).select("chunk_id", r6("distance").alias("distance"))
+
+
 @query(f"WITH {VEC} SELECT chunk_id, round({SCORE}, 6) AS score FROM dist ORDER BY distance, chunk_id LIMIT 20")
 def semantic_topk(spark, d):
     return _top(semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 20))
@@ -217,7 +289,8 @@ def hybrid_fusion(spark, d):
 
 @query(f"WITH {HYBRID} SELECT chunk_id, round(score, 6) AS score, lang, source AS doc_id, n_chars FROM f JOIN documents ON documents.doc_id = chunk_id ORDER BY f.score DESC, chunk_id LIMIT 10")
 def hybrid_search_top10(spark, d):
-    found = hybrid.hybrid_search(chunks(spark, d), vectors(spark, d), "with", first_vector(spark, d), 10)
+    index, pivots = stored_vectors(spark, d)
+    found = hybrid.hybrid_search_stored(chunks(spark, d), index, stored_index(spark, d), pivots, "with", first_vector(spark, d), 10)
     return found.select("chunk_id", r6("score").alias("score"), "lang", "doc_id", "n_chars")
 
 
@@ -487,9 +560,23 @@ def sentence_boundaries(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?<=[.!?])\s+|\n\n+")).cast("long").alias("n_boundaries"))
 
 
-@query()
+TRIM = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+SPLIT_STEP = """SELECT *, list_transform(list_filter(inside, lambda e: e.stop <= stop AND (e.gap >= greatest(start, stop - 100) OR least(e.blank, e.stop - greatest(start, stop - 100)) >= 2)), lambda e: e.stop) AS near FROM (
+  SELECT *, CASE WHEN start + room >= length(body) THEN length(body) WHEN len(inside) > 0 THEN inside[-1].stop WHEN blank > 0 AND blank < room THEN start + room - blank + 1 ELSE start + room END AS stop FROM (
+    SELECT r.doc_id, n, start, prefix, body, room, list_filter(ends, lambda e: e.stop > start AND e.stop <= start + room) AS inside, strpos(reverse(substr(body, start + 1, room)), ' ') AS blank
+    FROM r JOIN p ON r.doc_id = p.doc_id WHERE start < length(body)))"""
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, concat('[', source, ']', chr(10)) AS prefix, {TRIM.format("coalesce(text, '')")} AS body FROM documents),
+s AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(body, '(?s).*?(?:[.!?]\s+|\n\n+)') AS ss FROM d)),
+e AS (SELECT doc_id, pos, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS stop FROM s),
+k AS (SELECT doc_id, list(struct_pack(gap := stop - length(coalesce(nullif(regexp_extract(s, '[.!?](\s+)$', 1), ''), regexp_extract(s, '(\n\n+)$', 1))), stop := stop, blank := length(regexp_extract(s, '(\n*)$', 1))) ORDER BY pos) AS ends FROM e GROUP BY doc_id),
+p AS (SELECT d.doc_id, prefix, body, greatest(1000 - length(prefix), 64) AS room, coalesce(ends, []) AS ends FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+r AS (SELECT doc_id, 0 AS n, 0::BIGINT AS start FROM p UNION ALL
+SELECT doc_id, n + 1, CASE WHEN len(near) > 1 THEN near[-2] WHEN len(near) = 1 THEN near[1] ELSE stop END FROM ({SPLIT_STEP}))
+SELECT doc_id, n AS part, md5(concat(prefix, {TRIM.format("substr(body, start + 1, stop - start)")})) AS text_md5, length(concat(prefix, {TRIM.format("substr(body, start + 1, stop - start)")}))::INT AS n_chars FROM ({SPLIT_STEP})""")
 def split_chunks(spark, d):
-    """The sequential splitter over whole documents; tests hold it against a plain one."""
+    """The splitter over whole documents."""
     rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("section_id"), F.concat(F.lit("["), "source", F.lit("]\n")).alias("prefix"), F.col("text").alias("content"))
     return C.split_sections(rows, 1000, 100).select("doc_id", "part", F.md5("text").alias("text_md5"), F.length("text").alias("n_chars"))
 
@@ -568,6 +655,52 @@ def best_registers(spark, d):
 
 # -- lifecycle and rendering ------------------------------------------------------------------------
 
+LIVE = """live AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS version,
+CASE WHEN doc_id % 5 = 0 THEN concat(text, ' third') WHEN doc_id % 3 = 0 THEN concat(text, ' again') ELSE text END AS text
+FROM documents WHERE doc_id % 5 = 0 OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1))"""
+
+
+def live_store(spark, d):
+    """Documents in log-structured tables: ingested in two parts, every third one again with
+    another text, the toxic ones removed, every fifth one ingested once more; compacted once
+    in between."""
+
+    def make(folder):
+        spec = {"chunks": Table("chunk_id long, doc_id long, source string, version int, text string", ("doc_id",)), "terms": Table(inverted.TERMS, ("term",), summed=("df", "tf"))}
+        log = LogTables(spark, folder, spec)
+        docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "source", "text")
+        toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct()
+
+        def change(new, version, end, gone=None):
+            gone = new.select("doc_id") if gone is None else gone
+            rows = new.withColumn("version", F.lit(version)).withColumn("text", F.concat("text", F.lit(end)))
+            old = log.table("chunks").join(gone, "doc_id", "left_semi")
+            terms = inverted.term_counts(keyword.postings(rows)).unionByName(inverted.term_counts(keyword.postings(old), -1))
+            log.commit({"chunks": rows, "terms": terms}, gone)
+
+        change(docs.filter("doc_id % 2 = 0"), 1, "")
+        change(docs.filter("doc_id % 2 = 1"), 1, "")
+        change(docs.filter("doc_id % 3 = 0"), 2, " again")
+        log.compact(log.snapshot().segments[1:])
+        change(docs.limit(0), 9, "", toxic)
+        change(docs.filter("doc_id % 5 = 0"), 3, " third")
+        return log
+
+    return kept(spark, d, "live", make)
+
+
+@query(f"WITH {LIVE} SELECT doc_id, source, version, md5(text) AS text_md5 FROM live")
+def store_live_view(spark, d):
+    return live_store(spark, d).table("chunks").select("doc_id", "source", "version", F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {LIVE}, {I.TOKENS.replace('FROM documents', 'FROM live')} SELECT t AS term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM tok) GROUP BY t")
+def store_live_terms(spark, d):
+    """The dictionary's signed counts after replacements and removals."""
+    terms = live_store(spark, d).table("terms")
+    return terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).filter("df > 0")
+
+
 
 @query("""SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 3 = 0""")
 def upsert_documents(spark, d):

@@ -3,8 +3,6 @@ DuckDB both run."""
 
 from __future__ import annotations
 
-from docquarry.functions.text import ACCENTED, PLAIN
-
 #: Register prose per part: title, section text, caption, contents lines.
 TITLE = "concat(p_name, ' control register (', upper(substr(p_type, 1, 4)), '_R', p_partkey % 97, ')')"
 CONTENT = """concat('Address offset:  0x0', p_size % 10, ' or 0x1', p_size % 10, chr(10), 'Reset value: 0x0000  00', 10 + p_partkey % 80, chr(10),
@@ -23,7 +21,7 @@ LEADERS = """concat('[Doc > Contents]', chr(10), '1 ', p_name, CASE WHEN p_partk
 '2 ', p_type, CASE WHEN p_partkey % 3 = 0 THEN ' ....... 9' ELSE '' END, chr(10), chr(10), '3 ', p_brand, chr(10), '4 last', CASE WHEN p_partkey % 5 = 0 THEN ' . . .' ELSE '' END)"""
 
 #: DuckDB: folded tokens of documents.
-TOKENS = rf"""tok AS (SELECT doc_id, source, list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{ACCENTED}', '{PLAIN}'), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '') AS ws FROM documents)"""
+TOKENS = r"""tok AS (SELECT doc_id, source, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS ws FROM documents)"""
 
 
 def bm25_sql(counts: list[str], filters: str = "true") -> str:

@@ -16,7 +16,6 @@ BIT_FIELD, REGISTER_ROW, REGISTER_TABLE = FIELD, REGISTER, TABLE
 DOCUMENTS = "doc_id string, filename string, title string, version string, index_date timestamp"
 CHUNKS = CHUNK_SCHEMA
 REGISTERS = "chunk_id string, doc_id string, chunk_type string, peripheral string, name string, address string, offset string"
-POSTINGS = "chunk_id string, doc_id string, term string, dl int, positions array<int>"
-SIZES = "doc_id string, n_chunks long, n_tokens long"
-VECTORS = "chunk_id string, doc_id string, embedding array<float>"
+VECTORS = "chunk_id string, doc_id string, content string, cluster int, radius double, embedding array<float>"
+GRAMS = "gram string, chunk_id string, doc_id string"
 RESULTS = f"chunk_id string, score double, text string, structured_data {TABLE}, section_title string, doc_id string, page_start int, page_end int"

@@ -74,7 +74,13 @@ def check_paths(spark: SparkSession, paths: list[str], pattern: str) -> None:
 def binary_documents(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
     either = "".join(f"[{ch.lower()}{ch.upper()}]" if ch.isalpha() else ch for ch in pattern)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", either).load(paths)
-    return files.select(document_id("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("filename"), "content")
+    return files.select(document_id("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("filename"), "path", "content")
+
+
+def last_paths(documents: DataFrame) -> DataFrame:
+    """(doc_id, path, hidden): of files with one doc_id, that is one name, the last path, and
+    how many others there are. Contents are not read."""
+    return documents.groupBy("doc_id").agg(F.max("path").alias("path"), (F.count("*") - 1).alias("hidden"))
 
 
 def parse_documents(files: DataFrame, parser: Parser, what: str) -> DataFrame:

@@ -1,18 +1,19 @@
-"""DocStore: ingest, search, look up, list, remove and rebuild over Parquet tables.
+"""DocStore: ingest, search, look up, list, remove and rebuild over log-structured tables.
 
-`chunks` is the single source of truth; registers are derived from it, and vectors, postings
-and sizes follow it, so a re-ingested or removed document leaves nothing stale behind.
+`chunks` is the single source of truth; registers, vectors, postings, trigrams and counts are
+derived from it and committed with it, so a re-ingested or removed document leaves nothing
+stale behind. A change writes one segment with its own rows and the counts it takes away (see
+log.LogTables); every query reads one snapshot.
 
-Every table is dealt into parts by a hash of the doc_id. A change writes anew only the parts
-that its documents fall into, and then a line per part that names the part's new folder (the
-manifest); readers take the newest line of each part, so a lost job leaves the old state. The
-folders that a change has replaced are deleted after it.
+Vectors are kept by the hash of the text they belong to: a text that the store has had before
+is not embedded again.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,100 +21,126 @@ from pyspark.sql import functions as F
 from docquarry import schemas
 from docquarry.config import Config
 from docquarry.functions.grids import extract_table
-from docquarry.operators import catalog_ops, chunks as C, hybrid, keyword, render, sections as S
+from docquarry.log import LogTables, Snapshot, Table
+from docquarry.operators import catalog_ops, chunks as C, hybrid, inverted, keyword, literal, render, sections as S, semantic
 from docquarry.sources import embedder, files
 from docquarry.sources.pdf import pdf_parser
 
-_TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "postings": schemas.POSTINGS, "sizes": schemas.SIZES}
-_MANIFEST = "version long, name string, part int, folder string"
+TABLES = {
+    "documents": Table(schemas.DOCUMENTS, ("doc_id",)),
+    "chunks": Table(schemas.CHUNKS, ("doc_id", "chunk_id"), rows=256),
+    "registers": Table(schemas.REGISTERS, ("name", "chunk_id"), bloom=("name",), rows=2048),
+    "vectors": Table(schemas.VECTORS, ("cluster", "radius"), rows=256),
+    "blocks": Table(inverted.blocks_schema(), ("term", "block"), bloom=("term",), rows=64, unpack=inverted.postings_of, pack=inverted.block_rows),
+    "terms": Table(inverted.TERMS, ("term",), summed=("df", "tf"), rows=2048),
+    "sizes": Table(inverted.SIZES, ("n_chunks",), summed=("n_chunks", "n_tokens")),
+    "grams": Table(schemas.GRAMS, ("gram", "chunk_id"), rows=2048),
+    "gram_counts": Table(inverted.GRAM_COUNTS, ("gram",), summed=("n",), rows=2048),
+}
+REPORT = "filename string, doc_id string, pages long, sections long, tables long"
 
 
 class DocStore:
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, load_model: Callable = embedder.HashingModel, parts: int = 32):
-        """parts: into how many each table is dealt; the same for the life of a store."""
-        self.spark, self.path, self.config, self.load_model, self.parts = spark, path.rstrip("/"), config or Config(), load_model, parts
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, load_model: Callable = embedder.HashingModel, fan: int = 4, retention: float = 3600.0):
+        """fan, retention: see log.LogTables."""
+        self.spark, self.path, self.config, self.load_model = spark, path.rstrip("/"), config or Config(), load_model
+        self.log = LogTables(spark, path, TABLES, "doc_id", fan, retention)
 
     # -- tables ------------------------------------------------------------------
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def table(self, name: str, snapshot: Snapshot | None = None) -> DataFrame:
+        return self.log.table(name, snapshot)
 
-    def _manifest(self) -> dict[tuple[str, int], tuple[int, str]]:
-        """(table, part) to (version, folder), the newest of each; as many as parts."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return {}
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
-        newest = rows.groupBy("name", "part").agg(F.max(F.struct("version", "folder")).alias("last"))
-        return {(r["name"], r["part"]): (r["last"]["version"], r["last"]["folder"]) for r in newest.collect()}
-
-    def table(self, name: str, parts: list[int] | None = None) -> DataFrame:
-        """A table, or some of its parts."""
-        found = [folder for (n, part), (_, folder) in sorted(self._manifest().items()) if n == name and (parts is None or part in parts)]
-        if not found:
-            return self.spark.createDataFrame([], _TABLES[name])
-        return self.spark.read.schema(_TABLES[name]).parquet(*[f"{self.path}/{folder}" for folder in found])
-
-    def _part(self, doc_id="doc_id"):
-        return F.pmod(F.xxhash64(doc_id), F.lit(self.parts)).cast("int")
-
-    def _replace(self, gone: DataFrame, new: dict[str, DataFrame]) -> None:
-        """Take the documents `gone` (doc_id) out of every table and put the rows of `new`
-        in, in the parts that hold them."""
-        before = self._manifest()
-        touched = sorted(r["part"] for r in gone.select(self._part().alias("part")).distinct().collect())  # at most all parts
-        version = max((v for v, _ in before.values()), default=0) + 1
-        lines = []
-        for name, ddl in _TABLES.items():
-            kept = catalog_ops.remove(self.table(name, touched), gone)
-            rows = kept.unionByName(new[name]) if name in new else kept
-            names = [f.name for f in self.spark.createDataFrame([], ddl).schema]
-            folder = f"{name}/{uuid.uuid4().hex}"
-            dealt = rows.select(*names, self._part().alias("part")).repartition(max(1, len(touched)), "part")
-            order = ["part", "term", "chunk_id"] if name == "postings" else ["part"]
-            dealt.sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{self.path}/{folder}")
-            held = {r["part"] for r in self.spark.read.schema(f"{ddl}, part int").parquet(f"{self.path}/{folder}").select("part").distinct().collect()}
-            for part in touched:
-                if part not in held:  # an empty part still has a folder to name
-                    self.spark.createDataFrame([], ddl).write.mode("ignore").parquet(f"{self.path}/{folder}/part={part}")
-                lines.append((version, name, part, f"{folder}/part={part}"))
-        self.spark.createDataFrame(lines, _MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
-        for name, part in before:
-            if part in touched:
-                self._delete(before[name, part][1])
-
-    def _staged(self, df: DataFrame, name: str) -> DataFrame:
-        """df written below the store's folder and read back: parsed once, planned once.
-        The staging folder goes when the ingest is done."""
-        path = f"{self.path}/staging/{name}-{uuid.uuid4().hex}"
+    def _staged(self, df: DataFrame, folder: str, name: str) -> DataFrame:
+        """df written below the store's folder and read back: parsed once, planned once. The
+        folder goes when the change is done."""
+        path = f"{self.path}/staging/{folder}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _unstage(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/staging/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def index(self, snapshot: Snapshot) -> inverted.Index:
+        raw = {name: self.log.table(name, snapshot, raw=True) for name in ("blocks", "terms", "sizes", "gram_counts")}
+        return inverted.Index(raw["blocks"], raw["terms"], raw["sizes"], self.log.table("grams", snapshot), raw["gram_counts"], partial(self.log.visible, snapshot=snapshot))
+
     # -- lifecycle ---------------------------------------------------------------
 
-    def _derived(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        """The tables that follow the chunks."""
-        vectors = embedder.embed(chunks, self.load_model).select("chunk_id", "doc_id", "embedding")
-        return {"vectors": vectors, "postings": keyword.postings(chunks, keep=["doc_id"]), "sizes": keyword.index_sizes(chunks)}
+    def _vectors(self, chunks: DataFrame, base: Snapshot, folder: str) -> tuple[DataFrame, dict]:
+        """Vectors of the chunks, those of known texts taken over, and the store's properties
+        with the pivots of the vector index, which the first vectors settle."""
+        dimension = base.properties.get("dimension") or len(embedder.embed_query("", self.load_model))
+        wanted = chunks.select("chunk_id", "doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("content"))
+        known = self.log.table("vectors", base, raw=True).select("content", "embedding")
+        once = wanted.select("content").distinct()
+        kept = known.join(once, "content", "left_semi").groupBy("content").agg(F.min("embedding").alias("embedding"))
+        unseen = wanted.join(kept, "content", "left_anti").groupBy("content").agg(F.min("text").alias("text"))
+        new = semantic.checked(embedder.embed(unseen.repartition("content"), self.load_model), dimension).select("content", "embedding")
+        every = self._staged(wanted.drop("text").join(kept.unionByName(new), "content"), folder, "vectors")
+        pivots = base.properties.get("pivots") or semantic.pick_pivots(every)
+        return semantic.clustered(every, pivots), {"dimension": dimension, "pivots": pivots}
+
+    def _counts(self, chunks: DataFrame, sign: int) -> dict[str, DataFrame]:
+        """What chunks add to the summed tables, or take away."""
+        words = inverted.term_counts(keyword.postings(chunks), sign)
+        return {"terms": words, "sizes": inverted.size_counts(chunks, sign), "gram_counts": literal.gram_counts(literal.gram_rows(chunks)).withColumn("n", F.col("n") * sign)}
+
+    def _change(self, gone: DataFrame, documents: DataFrame | None = None, chunks: DataFrame | None = None, base: Snapshot | None = None) -> None:
+        """Commit: the documents `gone` (doc_id) go, with all that follows from them, the new
+        ones come."""
+        base, folder = base or self.log.snapshot(), uuid.uuid4().hex
+        try:
+            old = self._staged(literal.only(self.table("chunks", base), "doc_id", gone), folder, "old")
+            new, properties = {}, {}
+            counts = [self._counts(old, -1)]
+            if chunks is not None:
+                postings = self._staged(keyword.postings(chunks, keep=["doc_id"]), folder, "postings")
+                vectors, properties = self._vectors(chunks, base, folder)
+                new = {"documents": documents, "chunks": chunks, "registers": hybrid.explode_registers(chunks), "vectors": vectors, "blocks": inverted.block_rows(postings), "grams": literal.gram_rows(chunks, keep=["doc_id"])}
+                counts.append(self._counts(chunks, 1))
+            for name in counts[0]:
+                spec = TABLES[name]
+                keys = [c for c in spec.columns if c not in spec.summed]
+                rows = counts[0][name] if len(counts) == 1 else counts[0][name].unionByName(counts[1][name])
+                new[name] = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in spec.summed]).filter(" OR ".join(f"{c} <> 0" for c in spec.summed))
+            done = self.log.commit(new, gone, base, properties)
+        finally:
+            self._unstage(folder)
+        if self.log.due(done):
+            self.log.compact()
 
     def ingest_sections(self, documents: DataFrame, sections: DataFrame, tables: DataFrame | None = None) -> None:
         """documents: (doc_id, filename, title, version); sections: flattened trees with
-        doc_title. All former chunks and vectors of these documents are replaced."""
+        doc_title. All that these documents had brought before is replaced."""
+        base, folder = self.log.snapshot(), uuid.uuid4().hex
         options = {"target": self.config.chunking.target_size, "overlap": self.config.chunking.overlap}
-        made = self._staged(C.chunk_documents(sections, tables, **options), "chunks")
-        stamped = documents.select("doc_id", "filename", "title", "version", F.current_timestamp().alias("index_date"))
-        self._replace(documents.select("doc_id").distinct(), {"documents": stamped, "chunks": made, **self._derived(made)})
-        self._delete("staging")
+        try:
+            made = self._staged(C.chunk_documents(sections, tables, **options), folder, "chunks")
+            stamped = self._staged(documents.dropDuplicates(["doc_id"]).select("doc_id", "filename", "title", "version", F.current_timestamp().alias("index_date")), folder, "documents")
+            self._change(stamped.select("doc_id"), stamped, made, base)
+        finally:
+            self._unstage(folder)
 
     def ingest_files(self, paths: list[str], parser: files.Parser = pdf_parser, pattern: str = "*.pdf", title: str | None = None, version: str | None = None, with_tables: bool = True) -> DataFrame:
         """Parse files, each once, and ingest them: outline sections where there is an
         outline, heading sections elsewhere, register tables of all pages. 'Table N.'
-        sections carry the header of a table on their first two pages. Returns the report:
-        filename, doc_id, pages, sections, tables and chunks of each file."""
+        sections carry the header of a table on their first two pages. A document is known by
+        its file's name: of files of one name in different folders the one of the last path is
+        ingested. Returns the report: filename, doc_id, pages, sections, tables and chunks of
+        each file, and `hidden`, how many others of its name were left out."""
         files.check_paths(self.spark, paths, pattern)
-        raw = files.binary_documents(self.spark, paths, pattern)
-        parsed = self._staged(files.parse_all(raw, parser), "parsed")
+        folder = uuid.uuid4().hex
+        try:
+            raw = files.binary_documents(self.spark, paths, pattern)
+            last = self._staged(files.last_paths(raw), folder, "paths")
+            parsed = self._staged(files.parse_all(raw.join(last.select("path"), "path", "left_semi"), parser), folder, "parsed")
+            return self._ingest_parsed(parsed, last, folder, title, version, with_tables)
+        finally:
+            self._unstage(folder)
+
+    def _ingest_parsed(self, parsed: DataFrame, last_path: DataFrame, folder: str, title: str | None, version: str | None, with_tables: bool) -> DataFrame:
         pages = files.parsed_rows(parsed, "pages")
         texts = pages.select("doc_id", "page_num", "raw_text")
         last = texts.groupBy("doc_id").agg(F.max("page_num").alias("last_page"))
@@ -123,8 +150,8 @@ class DocStore:
         blocks = pages.select("doc_id", "page_num", F.posexplode("blocks").alias("block_idx", "b")).select("doc_id", "page_num", "block_idx", "b.text", "b.font_size", F.col("b.bbox.y0").alias("y0"), F.col("b.bbox.y1").alias("y1"))
         headed = S.heading_sections(blocks.join(toc.select("doc_id").distinct(), "doc_id", "left_anti"), texts.join(toc.select("doc_id").distinct(), "doc_id", "left_anti"))
         names = ["doc_id", "section_id", "title", "level", "start_page", "end_page", "content"]
-        flat = self._staged(outline.select(*names).unionByName(headed.select(*names)), "flat")
-        tree = self._staged(S.outline_tree(flat), "sections")
+        flat = self._staged(outline.select(*names).unionByName(headed.select(*names)), folder, "flat")
+        tree = self._staged(S.outline_tree(flat), folder, "sections")
         shown = F.lit(title) if title else F.col("filename")
         documents = parsed.select("doc_id", "filename", shown.alias("title"), F.lit(version).cast("string").alias("version"))
         found = files.parsed_rows(parsed, "tables") if with_tables else files.parsed_rows(parsed, "tables").limit(0)
@@ -134,25 +161,28 @@ class DocStore:
         tables = kept.join(near, ["doc_id", "page_num", "table_index"], "left").select("doc_id", extract_table("table_type", "grid", F.coalesce("context", F.lit(""))).alias("table"), F.col("page_num").alias("page")).join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
         counts = [F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in ("pages", "tables")]
         sections = tree.groupBy("doc_id").agg(F.count("*").alias("sections"))
-        report = parsed.select("filename", "doc_id", *counts).join(sections, "doc_id", "left").select("filename", "doc_id", "pages", F.coalesce("sections", F.lit(0)).alias("sections"), "tables").collect()  # a row per file of the call
+        report = parsed.select("filename", "doc_id", *counts).join(last_path, "doc_id").join(sections, "doc_id", "left").select("filename", "doc_id", "pages", F.coalesce("sections", F.lit(0)).alias("sections"), "tables", "hidden").collect()  # a row per file of the call
         self.ingest_sections(documents, tree.join(documents.select("doc_id", F.col("title").alias("doc_title")), "doc_id"), tables)
-        told = self.spark.createDataFrame(report, "filename string, doc_id string, pages long, sections long, tables long")
-        return told.join(self.stats().select("doc_id", F.col("n_chunks").alias("chunks")), "doc_id", "left").select("filename", "doc_id", "pages", "sections", "tables", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+        told = self.spark.createDataFrame(report, f"{REPORT}, hidden long")
+        return told.join(self.stats().select("doc_id", F.col("n_chunks").alias("chunks")), "doc_id", "left").select("filename", "doc_id", "pages", "sections", "tables", F.coalesce("chunks", F.lit(0)).alias("chunks"), "hidden")
 
     def remove(self, doc_id: str) -> bool:
         """False if the document is not there."""
-        gone = self.spark.createDataFrame([(doc_id,)], "doc_id string")
-        part = [r[0] for r in gone.select(self._part()).collect()]
-        if self.table("documents", part).filter(F.col("doc_id") == doc_id).isEmpty():
+        base = self.log.snapshot()
+        if self.table("documents", base).filter(F.col("doc_id") == doc_id).isEmpty():
             return False
-        self._replace(gone, {})
+        self._change(self.spark.createDataFrame([(doc_id,)], "doc_id string"), base=base)
         return True
 
     def rebuild(self) -> None:
-        """Vectors, postings and sizes of all chunks anew."""
-        documents, chunks = (self._staged(self.table(name), name) for name in ("documents", "chunks"))
-        self._replace(documents.select("doc_id").distinct(), {"documents": documents, "chunks": chunks, **self._derived(chunks)})
-        self._delete("staging")
+        """All that follows from the chunks anew, in one segment; texts keep their vectors."""
+        base, folder = self.log.snapshot(), uuid.uuid4().hex
+        try:
+            documents, chunks = (self._staged(self.table(name, base), folder, name) for name in ("documents", "chunks"))
+            self._change(documents.select("doc_id"), documents, chunks, base)
+        finally:
+            self._unstage(folder)
+        self.log.compact(self.log.snapshot().segments)
 
     def size(self) -> int:
         """Number of vectors."""
@@ -161,23 +191,31 @@ class DocStore:
     # -- queries -----------------------------------------------------------------
 
     def registers(self) -> DataFrame:
-        return hybrid.explode_registers(self.table("chunks"))
+        return self.table("registers")
 
     def search(self, query: str, top_k: int | None = None, doc_filter: str | None = None) -> DataFrame:
-        options = self.config.search
+        options, now = self.config.search, self.log.snapshot()
         vector = embedder.embed_query(query, self.load_model)
-        return hybrid.hybrid_search(self.table("chunks"), self.table("vectors"), query, vector, top_k or options.top_k, doc_filter, options.keyword_weight, options.semantic_weight, index=(self.table("postings"), self.table("sizes")))
+        chunks, vectors = self.table("chunks", now), self.table("vectors", now)
+        return hybrid.hybrid_search_stored(chunks, vectors, self.index(now), now.properties.get("pivots", []), query, vector, top_k or options.top_k, doc_filter or None, options.keyword_weight, options.semantic_weight)
 
     def search_markdown(self, query: str, top_k: int | None = None, doc_filter: str | None = None) -> str:
         return render.format_results(self.search(query, top_k, doc_filter), top_k or self.config.search.top_k)
 
     def find_register(self, name: str, peripheral: str | None = None) -> DataFrame:
-        hit = hybrid.find_register(self.registers(), name, peripheral).select("chunk_id")
-        return self.table("chunks").join(F.broadcast(hit), "chunk_id").withColumn("score", F.lit(1.0))
+        """The best chunk of a register, off the registers table: sorted by name, with a Bloom
+        filter per file, so only files that may hold the name are read."""
+        now = self.log.snapshot()
+        hit = hybrid.find_register(self.table("registers", now), name, peripheral).select("chunk_id", F.lit(1.0).alias("score"))
+        return hybrid.hydrated(self.table("chunks", now), hit)
 
     def get_chunk(self, chunk_id: str) -> DataFrame:
         return self.table("chunks").filter(F.col("chunk_id") == chunk_id)
 
+    def terms(self, prefix: str = "") -> DataFrame:
+        """(term, df, tf) of the live chunks, those that begin with `prefix`."""
+        return inverted.prefix_terms(self.index(self.log.snapshot()), prefix)
+
     def list_documents(self) -> DataFrame:
         return self.table("documents").orderBy(F.desc("index_date"), "doc_id")
 

@@ -104,21 +104,28 @@ def test_deep_levels_have_their_parents(spark):
     assert S.hierarchy(df.limit(0)).count() == S.outline_tree(df.limit(0)).count() == 0
 
 
-def test_splitter_covers_and_advances():
-    rng = random.Random(7)
-    for _ in range(200):
-        text = "".join(rng.choice(["word ", "End. ", "Why? ", "\n\n", "longwordwithoutblank", "x"]) for _ in range(rng.randint(1, 120)))
-        spans = C.split_spans(text, rng.randint(1, 200), rng.randint(0, 80))
+def spans_of(spark, rows):
+    """Spans of (text, budget, overlap) rows, in their order; one overlap for all."""
+    df = spark.createDataFrame([(i, t, b) for i, (t, b, _) in enumerate(rows)], "i int, t string, b int")
+    found = df.select("i", C.split_spans(F.col("t"), F.col("b"), rows[0][2]).alias("s")).orderBy("i").collect()
+    return [[(x.start, x.end) for x in r.s] for r in found]
+
+
+@pytest.mark.parametrize("overlap", [0, 13, 30, 80])
+def test_spans_equal_plain_ones(spark, overlap):
+    rng = random.Random(overlap)
+    rows = [("".join(rng.choice(["word ", "End. ", "Why?  ", "\n\n", "longwordwithoutblank", "x", "!\n", "\u00e9\U0001f600. "]) for _ in range(rng.randint(0, 120))).strip(), rng.randint(1, 200), overlap) for _ in range(150)]
+    for (text, budget, _), spans in zip(rows, spans_of(spark, rows), strict=True):
+        assert [text[a:b] for a, b in spans] == plain_split(text, max(budget, 64), overlap)
         starts = [a for a, _ in spans]
-        assert starts == sorted(set(starts)) and spans[0][0] == 0 and spans[-1][1] == len(text)
+        assert starts == sorted(set(starts)) and (not text or spans[0][0] == 0 and spans[-1][1] == len(text))
         assert all(b >= c for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
-def test_splitter_echoes_and_long_prefixes():
-    text = "One sentence here. Two sentence here. Three is the last."
-    spans = C.split_spans(text, 64 if len(text) > 64 else 64, 30)
-    assert [text[a:b] for a, b in spans] == [text[: spans[0][1]]] + [text[a:b] for a, b in spans[1:]]
-    assert all(len(c) > 0 for c in C.split_text("p" * 500, "word " * 100, target=300))
+def test_splitter_long_prefixes_and_nulls(spark):
+    rows = spark.createDataFrame([("d", 1, "p" * 500, "word " * 100), ("d", 2, None, None), ("d", 3, "p", "")], "doc_id string, section_id int, prefix string, content string")
+    found = C.split_sections(rows, target=300).collect()
+    assert {r.section_id for r in found} == {1} and len(found) > 5 and all(r.text.startswith("p" * 500 + "word") for r in found)
 
 
 @pytest.mark.parametrize("n, want", [(499, 499), (500, 500), (501, 503)])
@@ -257,28 +264,6 @@ def test_store_lifecycle(store):
     assert db.table("chunks").count() == db.table("vectors").count() == db.list_documents().count() == 0
 
 
-def test_ingest_reports_and_touches_only_what_changed(spark, tmp_path):
-    (tmp_path / "docs").mkdir()
-    for k in range(6):
-        (tmp_path / f"docs/d{k}.txt").write_text(DOC.replace("fast", f"fast{k}"))
-    db = DocStore(spark, f"file://{tmp_path}/index")
-    report = {r.filename: r for r in db.ingest_files([str(tmp_path / "docs")], text_parser, "*.txt", title="Guide", version="2").collect()}
-    assert len(report) == 6 and {(r.pages, r.sections, r.tables, r.chunks) for r in report.values()} == {(2, 2, 0, 2)}
-    assert {(r.title, r.version) for r in db.list_documents().collect()} == {("Guide", "2")}
-    before = db._manifest()
-    (tmp_path / "docs/d3.txt").write_text("1. Other Guide\nzeta text.")
-    db.ingest_files([str(tmp_path / "docs/d3.txt")], text_parser, "*.txt")
-    after = db._manifest()
-    changed = {part for key, part in after if before.get((key, part)) != after[key, part]}
-    assert len(changed) == 1 and db.table("chunks").count() == 11 and db.search("zeta", 3).first().section_title == "1. Other Guide"
-    assert db.search("fast3", 3).filter("text like '%fast3%'").count() == 0
-    folders = {str(p.relative_to(tmp_path / "index")) for p in (tmp_path / "index").glob("*/*/part=*")}
-    assert folders == {folder for _, folder in after.values()} and not (tmp_path / "index/staging").exists()
-    for bad, pattern in ((f"{tmp_path}/docs/none.txt", "*.txt"), (f"{tmp_path}/docs/d1.txt", "*.pdf")):
-        with pytest.raises(ValueError):
-            db.ingest_files([bad], text_parser, pattern)
-
-
 def test_ingested_table_sections_carry_their_header(spark, tmp_path):
     def parser(content):
         pages = [{"page_num": n, "width": 612.0, "height": 792.0, "blocks": [], "raw_text": t} for n, t in enumerate(["Table 3. Codes\n" + "Row of codes. " * 40, "more", "Table 4. Late\nlate rows", "still", "Table 5. None\nplain", "Prose\nprose text", "end"])]

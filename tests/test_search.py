@@ -8,7 +8,8 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.operators import hybrid, keyword, semantic
+from docquarry.functions import text as T
+from docquarry.operators import hybrid, inverted, keyword, literal, semantic
 
 WORDS = "alpha beta gamma delta Café reg_a1 0x1F base/address x".split()
 
@@ -56,11 +57,117 @@ def test_literal_falls_back(spark):
     assert [(r.chunk_id, r.score) for r in keyword.keyword_search(rows, "(AB").collect()] == [("a", 1.0)]
 
 
+def index_of(chunks, block=inverted.BLOCK):
+    postings = keyword.postings(chunks, keep=["doc_id"])
+    grams = literal.gram_rows(chunks, keep=["doc_id"])
+    return inverted.Index(inverted.block_rows(postings, block), inverted.term_counts(postings), inverted.size_counts(chunks), grams, literal.gram_counts(grams))
+
+
 def test_stored_index_equals_scan(chunks):
-    parts = keyword.parse_query("alpha beta")
-    scan = {r.chunk_id: r.score for r in keyword.score_bm25(chunks, parts).collect()}
-    stored = {r.chunk_id: r.score for r in keyword.search_index(keyword.postings(chunks), keyword.index_sizes(chunks), parts).collect()}
-    assert stored == pytest.approx(scan)
+    index = inverted.Index(*[t.cache() for t in list(vars(index_of(chunks)).values())[:5]])
+    for query in ("alpha beta", "alpha beta alpha", "0x1f gamma", "alph* ^delta", "zz-z", "(a", "what's", ""):
+        for doc in (None, "d1") if query.startswith("alpha b") else (None,):
+            scan = [(r.chunk_id, round(r.score, 9)) for r in keyword.keyword_search(chunks, query, 7, doc).collect()]
+            assert [(r.chunk_id, round(r.score, 9)) for r in inverted.search(index, chunks, query, 7, doc).collect()] == scan, query
+
+
+def test_blocks_bound_their_scores_and_few_are_read(spark, monkeypatch):
+    """One short text repeats the word; the blocks of the long ones cannot reach it."""
+    rng = random.Random(4)
+    rows = [(f"c{i:04}", "d", " ".join(["alpha", *rng.choices(["beta", "gamma", "delta"], k=rng.randint(50, 400))])) for i in range(400)]
+    rows += [(f"s{i}", "d", "alpha alpha alpha") for i in range(3)] + [("t", "d", "other words")] * 1 + [(f"u{i:03}", "d", "none of it") for i in range(900)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string")
+    index, told = index_of(chunks, 8), {}
+    found = inverted.top_words(index, ["alpha"], 3, told=told, first=2)
+    assert [c for c, _ in found] == ["s0", "s1", "s2"] and told["blocks"] > 40 and told["read"] <= 10
+    scan = keyword.keyword_search(chunks, "alpha", 20).collect()
+    for first, heads in ((1, 4096), (4, 10), (500, 4096)):
+        monkeypatch.setattr(inverted, "HEADS", heads)
+        assert [(c, round(v, 9)) for c, v in inverted.top_words(index, ["alpha"], 20, first=first)] == [(r.chunk_id, round(r.score, 9)) for r in scan]
+    assert inverted.top_words(index, ["alpha", "none"], 5) == []
+
+
+def test_dictionary_equals_scan(chunks):
+    index = index_of(chunks)
+    terms = {(r.term, r.df, r.tf) for r in keyword.term_table(chunks).collect()}
+    assert {(r.term, r.df, r.tf) for r in inverted.dictionary(index).collect()} == terms
+    assert {r.term for r in inverted.prefix_terms(index, "a").collect()} == {t for t, _, _ in terms if t.startswith("a")}
+
+
+LITERALS = ["plain text", "A% b_c 100%", "C:\\foo\\bar and \\", "caf\u00e9 CAF\u00c9 x", "", None, "ab", "\U0001f600\U0001f600z", "x" * 3000 + "needle", "a\\%", "0x40020000 [31:0]", "tail(ab"]
+
+
+def like(text, word):
+    """SQL's LIKE with ASCII case folded."""
+    import re
+
+    fold = lambda x: "".join(ch.lower() if ch.isascii() else ch for ch in x)
+    body = "".join({"%": ".*", "_": "."}.get(ch, re.escape(ch)) for ch in fold(word))
+    return re.search(body, fold(text), re.S) is not None
+
+
+@pytest.mark.parametrize("words", [["C:\\foo"], ["\\"], ["bar\\"], ["foo\\"], ["ab"], ["b"], ["%"], ["_"], ["a%c"], ["1_0%"], ["CAF\u00e9"], ["\U0001f600z"], ["NEEDLE"], ["needle", "xxx"], ["0X4002", "[31"], ["zzz"], ["a", "%", "plain"], ["(AB"]])
+def test_literal_search_equals_like(spark, words):
+    rows = spark.createDataFrame([(f"c{i:02}", t) for i, t in enumerate(LITERALS)], "chunk_id string, text string")
+    want = sorted(((f"c{i:02}", float(sum(w.lower() in t.lower() for w in words))) for i, t in enumerate(LITERALS) if t is not None and all(like(t, w) for w in words)), key=lambda x: (-x[1], x[0]))
+    grams = literal.gram_rows(rows)
+    assert [tuple(r) for r in literal.scan(rows, words, 50).collect()] == want
+    assert [tuple(r) for r in literal.search(rows, grams, literal.gram_counts(grams), words, 50).collect()] == want
+    literal_named = literal.NAMED
+    try:
+        literal.NAMED = 0  # all candidates are joined
+        assert [tuple(r) for r in literal.search(rows, grams, literal.gram_counts(grams), words, 50).collect()] == want
+    finally:
+        literal.NAMED = literal_named
+
+
+def scanned_rows(df, column):
+    """Rows that the scans with a column gave while df was collected."""
+    df.collect()
+    plan, out, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo.append(plan)
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name.startswith("Scan parquet") and column in node.schema().fieldNames():
+            out += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_stored_literal_search_reads_only_candidates(spark, tmp_path):
+    rows = [(f"c{i:05}", "d", f"text {i} of many " + ("reg[7:4] holds" if i in (17, 4000) else "plain")) for i in range(6000)]
+    spark.createDataFrame(rows, "chunk_id string, doc_id string, text string").coalesce(1).sortWithinPartitions("chunk_id").write.option("parquet.page.row.count.limit", "64").parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    literal.gram_rows(chunks).write.parquet(str(tmp_path / "g"))
+    grams = spark.read.parquet(str(tmp_path / "g"))
+    found = literal.search(chunks, grams, literal.gram_counts(grams), ["REG[7:4]"], 10)
+    assert [r.chunk_id for r in found.collect()] == ["c00017", "c04000"] and scanned_rows(found, "text") <= 256
+    assert literal.candidates(grams, literal.gram_counts(grams), ["%"]) is None
+
+
+def test_no_text_is_scanned_where_words_have_hits(chunks):
+    index = index_of(chunks)
+    plan = inverted.search(index, chunks, "reg_a1 alpha", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+
+
+@pytest.mark.parametrize("text, want", [("Dvo\u0159\u00e1k", ["dvorak"]), ("Dvor\u030ca\u0301k", ["dvorak"]), ("re\u0301sume\u0301 \u0160imon", ["resume", "simon"]), ("\u0151 \u01d6 \u0439 \u0386\u03bb\u03c6\u03b1", ["o", "u", "\u0438", "\u03b1\u03bb\u03c6\u03b1"]), ("stra\u00dfe \u00f8l \u0130x", ["stra\u00dfe", "\u00f8l", "ix"]), ("\ud55c\uae00 \u4e2d\u6587", ["\ud55c\uae00", "\u4e2d\u6587"])])
+def test_folding(one, text, want):
+    assert one(T.tokens(F.lit(text))) == want == keyword.fold_word(text)
+
+
+def test_accents_are_found_either_way(spark):
+    chunks = spark.createDataFrame([("a", "d", "Dvo\u0159\u00e1k"), ("b", "d", "Dvor\u030ca\u0301k"), ("c", "d", "dvor"), ("e", "d", "x"), ("f", "d", "y"), ("g", "d", "z")], "chunk_id string, doc_id string, text string")
+    for query in ("dvorak", "Dvo\u0159\u00e1k", "Dvor\u030ca\u0301k"):
+        assert {r.chunk_id for r in keyword.keyword_search(chunks, query).collect()} == {r.chunk_id for r in inverted.search(index_of(chunks), chunks, query).collect()} == {"a", "b"}
 
 
 @pytest.fixture
@@ -89,6 +196,32 @@ def test_new_vectors_win(vectors, spark):
     assert {r.chunk_id: list(r.embedding) for r in semantic.add_vectors(vectors, new).collect()}["a"] == [0.5, 0.5]
 
 
+def test_vectors_of_another_length_are_refused(vectors, spark):
+    new = spark.createDataFrame([("d", [0.5, 0.5, 0.5])], vectors.schema)
+    with pytest.raises(Exception, match="vector of 3 numbers; the index holds 2"):
+        semantic.add_vectors(vectors, new, 2).collect()
+    assert semantic.add_vectors(vectors, vectors.limit(1), 2).count() == 3
+
+
+def test_clustered_vectors_equal_the_flat_scan(spark):
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    points = [[c + rng.gauss(0, 0.1) for c in rng.choice(centres)] for _ in range(3000)]
+    points += [points[0]] * 40  # ties
+    rows = spark.createDataFrame([(f"v{i:04}", [float(x) for x in p]) for i, p in enumerate(points)] + [("none", None)], "chunk_id string, embedding array<float>")
+    pivots = semantic.pick_pivots(rows, 24)
+    index = semantic.clustered(rows, pivots).cache()
+    for query in (points[0], points[77], centres[3], [9.0] * 8):
+        for k in (1, 10, 45):
+            told = {}
+            want = [tuple(r) for r in semantic.nearest(rows, query, k).collect()]
+            assert [tuple(r) for r in semantic.nearest_clustered(index, pivots, query, k, told=told).collect()] == want
+            if query in (points[77], centres[3]):
+                assert told["read"] < 0.3 * told["vectors"]
+    assert semantic.nearest_clustered(index, pivots, points[0], 9999).count() == 3040
+    assert semantic.nearest_clustered(semantic.clustered(rows.limit(0), []), [], points[0], 3).count() == 0
+
+
 def test_fusion(spark):
     scores = lambda rows: spark.createDataFrame(rows, "chunk_id string, score double")
     found = {r.chunk_id: r.score for r in hybrid.fuse(scores([("k", 1.0), ("b", 0.5), ("z", 0.2)]), scores([("s", 1.0), ("b", 0.5), ("z", 0.0)])).collect()}
