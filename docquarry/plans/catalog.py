@@ -135,17 +135,17 @@ def search_stored(spark, d, query, top_k, doc_filter=None):
 
 @query(f"WITH {I.bm25_sql([I.term('with')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def keyword_bm25_single(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
+    return _top(search_stored(spark, d, "With", 20))
 
 
 @query(f"WITH {I.bm25_sql([I.term('was'), I.term('that')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def keyword_bm25_and(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "was that", 20))
+    return _top(search_stored(spark, d, "was that", 20))
 
 
 @query(f"WITH {I.bm25_sql([I.term('was')], "source = 'src3'")} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 10")
 def keyword_bm25_doc_filter(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "was", 10, "src3"))
+    return _top(search_stored(spark, d, "was", 10, "src3"))
 
 
 SINGLE = f"WITH {I.bm25_sql([I.term('with')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20"
@@ -157,9 +157,9 @@ def keyword_scan(spark, d):
     return _top(keyword.keyword_search(chunks(spark, d), "With", 20))
 
 
-@query(f"WITH {I.bm25_sql([I.term("with"), I.term("thereing")])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 5")
+@query(f"WITH {I.bm25_sql([I.term('the'), I.term('attion')])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 5")
 def keyword_common_and_rare(spark, d):
-    return _top(search_stored(spark, d, "with thereing", 5))
+    return _top(search_stored(spark, d, "The attion", 5))
 
 
 PHRASE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'with' AND ws[i + 1] = 'the'))"
@@ -167,12 +167,12 @@ PHRASE = "len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'with' AND ws[i +
 
 @query(f"WITH {I.bm25_sql([PHRASE])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def keyword_phrase(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "with-the", 20))
+    return _top(search_stored(spark, d, "with-the", 20))
 
 
 @query(f"""WITH {I.bm25_sql(["len(list_filter(ws, lambda t: starts_with(t, 'anth')))", "CASE WHEN ws[1] = 'the' THEN 1 ELSE 0 END"])} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20""")
 def keyword_prefix(spark, d):
-    return _top(keyword.keyword_search(chunks(spark, d), "anth* ^the", 20))
+    return _top(search_stored(spark, d, "anth* ^the", 20))
 
 
 @query(f"WITH {I.TOKENS} SELECT doc_id AS chunk_id, len(ws) AS dl, count(DISTINCT t)::BIGINT AS n_terms FROM (SELECT doc_id, ws, unnest(ws) AS t FROM tok) GROUP BY doc_id, len(ws)")
@@ -196,11 +196,11 @@ def keyword_literal_fallback(spark, d):
     return _top(literal.scan(chunks(spark, d), ["the.", "W_th"], 25))
 
 
-@query("""SELECT doc_id AS chunk_id, 3.0::DOUBLE AS score FROM documents WHERE text ILIKE '%(c)%' AND text ILIKE '%2_0_%' AND text ILIKE '%in%' ORDER BY chunk_id LIMIT 25""".replace("3.0::DOUBLE", "(CASE WHEN contains(lower(text), '(c)') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), '2_0_') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'in') THEN 1 ELSE 0 END)::DOUBLE"))
+@query("""SELECT doc_id AS chunk_id, 3.0::DOUBLE AS score FROM documents WHERE text ILIKE '%by-nc%' AND text ILIKE '%4_0%' AND text ILIKE '%un%' ORDER BY chunk_id LIMIT 25""".replace("3.0::DOUBLE", "(CASE WHEN contains(lower(text), 'by-nc') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), '4_0') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'un') THEN 1 ELSE 0 END)::DOUBLE"))
 def keyword_literal_stored(spark, d):
     """Off the trigrams: a word of two characters, one with wildcards."""
     index = stored_index(spark, d)
-    return _top(literal.search(chunks(spark, d), index.grams, index.gram_counts, ["(C)", "2_0_", "in"], 25))
+    return _top(literal.search(chunks(spark, d), index.grams, index.gram_counts, ["BY-NC", "4_0", "un"], 25))
 
 
 @query("SELECT doc_id AS chunk_id, 1.0::DOUBLE AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the.') ORDER BY chunk_id LIMIT 500")
@@ -217,7 +217,7 @@ def term_prefix_range(spark, d):
 
 @query(f"WITH {I.bm25_sql([I.term('with')])}, top AS (SELECT * FROM bm ORDER BY score DESC, chunk_id LIMIT 20) SELECT chunk_id, round(score / (SELECT max(score) FROM top), 6) AS score FROM top")
 def score_normalize(spark, d):
-    return _top(keyword.normalise_scores(keyword.keyword_search(chunks(spark, d), "with", 20)))
+    return _top(keyword.normalise_scores(search_stored(spark, d, "with", 20)))
 
 
 # -- semantic and hybrid search -----------------------------------------------------------
@@ -283,7 +283,7 @@ f AS (SELECT coalesce(k.chunk_id, s.chunk_id) AS chunk_id, (0.4 * coalesce(k.sco
 
 @query(f"WITH {HYBRID} SELECT chunk_id, round(score, 6) AS score FROM f")
 def hybrid_fusion(spark, d):
-    k = keyword.normalise_scores(keyword.keyword_search(chunks(spark, d), "with", 20))
+    k = keyword.normalise_scores(search_stored(spark, d, "with", 20))
     return _top(hybrid.fuse(k, semantic.semantic_search(vectors(spark, d), first_vector(spark, d), 20)))
 
 
