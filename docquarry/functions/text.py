@@ -37,7 +37,12 @@ def col(c) -> Column:
 
 def fold(text) -> Column:
     """Lower case without diacritics, composed or as combining marks."""
-    return F.translate(F.lower(col(text)), ACCENTED, PLAIN)
+    low = F.lower(col(text))
+    return F.when(is_ascii(text), low).otherwise(F.translate(low, ACCENTED, PLAIN))
+
+
+def is_ascii(text) -> Column:
+    return ~col(text).rlike(r"[^\x00-\x7F]")
 
 
 def fold_python(word: str) -> str:

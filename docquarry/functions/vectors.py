@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,7 +11,12 @@ from docquarry.functions.text import col
 
 
 def literal(vector) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    return F.expr(f"array({', '.join(number(x) for x in vector)})")
+
+
+def number(x) -> str:
+    """A double as SQL."""
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')"
 
 
 def dot(a, b) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,8 +94,7 @@ def near_rows(pivot_distance: list[float], reach: float) -> Column:
     query's distance to it, and no cluster whose border to the nearest pivot is farther."""
     least = min(pivot_distance)
     open_ones = [(c, d) for c, d in enumerate(pivot_distance) if (d - least) / 2 <= reach + SLACK]
-    parts = [(F.col("cluster") == c) & F.col("radius").between(d - reach - SLACK, d + reach + SLACK) for c, d in open_ones]
-    return reduce(Column.__or__, parts, F.lit(False))
+    return F.expr(" OR ".join(f"(cluster = {c} AND radius BETWEEN {V.number(d - reach - SLACK)} AND {V.number(d + reach + SLACK)})" for c, d in open_ones))
 
 
 def nearest_clustered(index: DataFrame, pivots: list[list[float]], query, top_k: int, id_col: str = "chunk_id", told: dict | None = None) -> DataFrame:

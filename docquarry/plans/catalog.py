@@ -117,16 +117,21 @@ def stored_index(spark, d):
         rows = chunks(spark, d)
         keyword.postings(rows, keep=["doc_id"]).write.parquet(f"{folder}/postings")
         postings = spark.read.parquet(f"{folder}/postings")
-        literal.gram_rows(rows, keep=["doc_id"]).write.parquet(f"{folder}/found")
-        grams = spark.read.parquet(f"{folder}/found")
-        sorted_files = [("blocks", inverted.block_rows(postings), ["term", "block"], 64), ("terms", inverted.term_counts(postings), ["term"], 2048), ("grams", grams, ["gram", "chunk_id"], 2048), ("gram_counts", literal.gram_counts(grams), ["gram"], 2048)]
-        for name, made, order, page in sorted_files:
-            made.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", str(page)).parquet(f"{folder}/{name}")
-        inverted.size_counts(rows).write.parquet(f"{folder}/sizes")
-        return folder
 
-    folder = kept(spark, d, "keyword-index", make)
-    return inverted.Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "terms", "sizes", "grams", "gram_counts")])
+        def write(name, made, order, page, *deal):
+            made.repartition(*deal).sortWithinPartitions(*order).write.option("parquet.page.row.count.limit", str(page)).parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        # a word or trigram lies in a few files, however common
+        eighth = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+        blocks = write("blocks", inverted.block_rows(postings), ["term", "block"], 64, "term", F.pmod("block", F.lit(8)))
+        terms = write("terms", inverted.term_counts(postings), ["term"], 2048, "term")
+        grams = write("grams", literal.gram_rows(rows, keep=["doc_id"]), ["gram", "chunk_id"], 2048, "gram", eighth)
+        sizes = write("sizes", inverted.size_counts(rows), ["n_chunks"], 20, "n_chunks")
+        counts = write("gram_counts", literal.gram_counts(grams), ["gram"], 2048, "gram")
+        return inverted.Index(blocks, terms, sizes, grams, counts)
+
+    return kept(spark, d, "keyword-index", make)
 
 
 def search_stored(spark, d, query, top_k, doc_filter=None):
@@ -239,10 +244,9 @@ def stored_vectors(spark, d):
         rows = vectors(spark, d)
         pivots = semantic.pick_pivots(rows)
         semantic.clustered(rows, pivots).repartitionByRange("cluster", "radius").sortWithinPartitions("cluster", "radius").write.option("parquet.page.row.count.limit", "256").parquet(folder)
-        return folder, pivots
+        return spark.read.parquet(folder), pivots
 
-    folder, pivots = kept(spark, d, "vectors", make)
-    return spark.read.parquet(folder), pivots
+    return kept(spark, d, "vectors", make)
 
 
 @query(f"WITH {VEC} SELECT chunk_id, round(distance, 6) AS distance FROM dist ORDER BY dist.distance, chunk_id LIMIT 20")
