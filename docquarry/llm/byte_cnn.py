@@ -37,7 +37,7 @@ SYMBOLS, DIM, FILTERS, HIDDEN = 257, 8, 32, 16
 #: Bytes scored side by side.
 BATCH = 500_000
 #: Share of the training examples that are cut to a short text, which has few answers.
-SHORTENED = 0.15
+SHORTENED = 0.1
 PARAMETERS = ("byte", "filter", "filter_bias", "hidden", "hidden_bias", "out", "out_bias")
 
 
@@ -48,30 +48,34 @@ class Network:
     share: float = 0.5
 
 
-def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' symbols, each text padded by 0 to whole halves of a chunk (two at least),
-    with a window's end behind the last; and where each text's halves begin (and the end)."""
+def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' symbols, each text padded by 0 to whole halves of a chunk (two at least) and
+    one window more, so that no window meets two texts; where each text's halves begin (and the
+    end); and which windows begin within halves."""
     halves = np.array([max(2, -(-len(t) // HALF)) for t in texts], np.int64)
     edge = np.concatenate([[0], np.cumsum(halves)])
-    flat = np.zeros(edge[-1] * HALF + WIDTH, np.int16)
-    for t, e in zip(texts, edge, strict=False):
-        flat[e * HALF : e * HALF + len(t)] = np.frombuffer(t, np.uint8)
-    for t, e in zip(texts, edge, strict=False):
-        flat[e * HALF : e * HALF + len(t)] += 1
-    return flat, edge
+    flat = np.zeros(edge[-1] * HALF + len(texts) * WIDTH, np.int16)
+    for i, t in enumerate(texts):
+        at = edge[i] * HALF + i * WIDTH
+        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
+        flat[at : at + len(t)] += 1
+    inside = np.ones(len(flat) // WIDTH, bool)
+    inside[edge[1:] * (HALF // WIDTH) + np.arange(len(texts))] = False
+    return flat, edge, np.flatnonzero(inside)
 
 
-def answers(w: dict[str, np.ndarray], flat: np.ndarray) -> list[np.ndarray]:
+def answers(w: dict[str, np.ndarray], flat: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
     """For each offset the filters' answers, (halves, windows of a half, filters)."""
     x = w["byte"][flat]
-    rows = (len(flat) - WIDTH) // WIDTH
-    return [(x[o : o + rows * WIDTH].reshape(rows, WIDTH * DIM) @ w["filter"]).reshape(-1, HALF // WIDTH, FILTERS) for o in OFFSETS]
+    rows = len(flat) // WIDTH - 1
+    found = [x[o : o + rows * WIDTH].reshape(rows, WIDTH * DIM) @ w["filter"] for o in OFFSETS]
+    return [(f if len(inside) == rows else f[inside]).reshape(-1, HALF // WIDTH, FILTERS) for f in found]
 
 
-def pooled(w: dict[str, np.ndarray], flat: np.ndarray) -> np.ndarray:
+def pooled(w: dict[str, np.ndarray], flat: np.ndarray, inside: np.ndarray) -> np.ndarray:
     """The largest answer of each filter in each half, rectified."""
     best = None
-    for found in answers(w, flat):
+    for found in answers(w, flat, inside):
         top = found.max(1)
         best = top if best is None else np.maximum(best, top)
     return np.maximum(best + w["filter_bias"], 0)
@@ -89,13 +93,14 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
         if len(part) == 1:  # one text of any length, piece by piece; pieces share a half
             size = BATCH // HALF * HALF
             for at in range(0, max(len(part[0]) - HALF, 1), size):
-                flat, _ = symbols([part[0][at : at + size + HALF + WIDTH - 1]])
+                # with the next piece's first bytes, for the windows that reach into it
+                flat, _, inside = symbols([part[0][at : at + size + HALF + WIDTH]])
                 halves = max(2, -(-min(len(part[0]) - at, size + HALF) // HALF))
-                p = pooled(w, flat[: halves * HALF + WIDTH])
+                p = pooled(w, flat[: halves * HALF + WIDTH], inside[: halves * HALF // WIDTH])
                 sums[0] += np.maximum(np.maximum(p[:-1], p[1:]) @ w["hidden"] + w["hidden_bias"], 0).sum(0)
         else:
-            flat, edge = symbols(part)
-            p = pooled(w, flat)
+            flat, edge, inside = symbols(part)
+            p = pooled(w, flat, inside)
             chunk = np.setdiff1d(np.arange(len(p)), edge[1:] - 1)  # all halves but each text's last
             h = np.maximum(np.maximum(p[chunk], p[chunk + 1]) @ w["hidden"] + w["hidden_bias"], 0)
             sums = np.add.reduceat(h, edge[:-1] - np.arange(len(part)), axis=0)
@@ -116,12 +121,12 @@ def initial(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def gradients(w: dict[str, np.ndarray], flat: np.ndarray, bag: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted mean log loss of bags of chunks; flat holds the chunks one after the
-    other, two halves each; bag says to which of the labels a chunk belongs."""
+def gradients(w: dict[str, np.ndarray], flat: np.ndarray, inside: np.ndarray, bag: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean log loss of bags of chunks; flat holds the chunks as texts of two
+    halves each; bag says to which of the labels a chunk belongs."""
     n = len(bag)
     per = HALF // WIDTH * 2
-    found = np.stack([a.reshape(n, per, FILTERS) for a in answers(w, flat)], 1).reshape(n, -1, FILTERS)
+    found = np.stack([a.reshape(n, per, FILTERS) for a in answers(w, flat, inside)], 1).reshape(n, -1, FILTERS)
     at = found.argmax(1)  # (chunks, filters): offset number * windows + window
     best = np.take_along_axis(found, at[:, None], 1)[:, 0] + w["filter_bias"]
     p = np.maximum(best, 0)
@@ -137,7 +142,7 @@ def gradients(w: dict[str, np.ndarray], flat: np.ndarray, bag: np.ndarray, label
     d_hidden = (slope @ w["out"].T / size)[bag] * (hidden > 0)
     back |= {"hidden": p.T @ d_hidden, "hidden_bias": d_hidden.sum(0)}
     d_best = (d_hidden @ w["hidden"].T) * (best > 0)
-    start = np.arange(n)[:, None] * 2 * HALF + np.array(OFFSETS)[at // per] + at % per * WIDTH
+    start = np.arange(n)[:, None] * (2 * HALF + WIDTH) + np.array(OFFSETS)[at // per] + at % per * WIDTH
     seen = flat[start[:, :, None] + np.arange(WIDTH)]  # symbols of the windows that answered
     x = w["byte"][seen].reshape(n, FILTERS, WIDTH * DIM)
     back |= {"filter": np.einsum("nf,nfx->xf", d_best, x), "filter_bias": d_best.sum(0)}
@@ -154,6 +159,35 @@ def _part(bag: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return [piece[start : start + int(12 * (400 / 12) ** rng.random())]]
 
 
+def _bag_logits(w: dict[str, np.ndarray], bags: list[list[bytes]], size: int = 100) -> np.ndarray:
+    """Of the training examples as they are, not cut."""
+    out = []
+    for at in range(0, len(bags), size):
+        part = bags[at : at + size]
+        flat, _, inside = symbols([p[: 2 * HALF] for b in part for p in b])
+        halves = pooled(w, flat, inside).reshape(-1, 2, FILTERS)
+        h = np.maximum(halves.max(1) @ w["hidden"] + w["hidden_bias"], 0)
+        count = np.array([len(b) for b in part])
+        mean = np.add.reduceat(h, np.cumsum(count) - count, axis=0) / count[:, None]
+        out.append((mean @ w["out"] + w["out_bias"])[:, 0])
+    return np.concatenate(out).astype(np.float64)
+
+
+def curve(logit: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve by penalised Newton steps: the last unit once more,
+    on whole examples, as training sees many that are cut."""
+    x, a = np.stack([logit, np.ones(len(logit))], 1), np.array([1.0, 0.0])
+    weight = weight / weight.sum() * len(label)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+        slope = x.T @ (weight * (p - label)) + 0.1 * (a - [1.0, 0.0])
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.1 * np.eye(2), slope)
+        a -= np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(max(a[0], 0.1)), float(a[1])
+
+
 def train(bags: list[list[bytes]], label: np.ndarray, weight: np.ndarray, steps: int = 450, size: int = 48, seed: int = 7) -> Network:
     """Adam over `steps` batches of `size` bags, half of each label, weighted."""
     share = float((label * weight).sum() / weight.sum()) if len(label) else 0.5
@@ -169,14 +203,16 @@ def train(bags: list[list[bytes]], label: np.ndarray, weight: np.ndarray, steps:
         shown = [bags[i] if rng.random() > SHORTENED else _part(bags[i], rng) for i in picked]
         pieces = [p for b in shown for p in b]
         bag = np.repeat(np.arange(size), [len(b) for b in shown])
-        flat, _ = symbols([p[: 2 * HALF] for p in pieces])
-        back = gradients(w, flat, bag, label[picked], mass[picked])
+        flat, _, inside = symbols([p[: 2 * HALF] for p in pieces])
+        back = gradients(w, flat, inside, bag, label[picked], mass[picked])
         rate = 0.01 * min(1, step / 20) * (1 - step / (steps + 1))
         for k in PARAMETERS:
             g = back[k] + 1e-5 * w[k]
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g**2 - second[k])
             w[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    slope, shift = curve(_bag_logits(w, bags), label, weight)
+    w["out"], w["out_bias"] = w["out"] * np.float32(slope), w["out_bias"] * np.float32(slope) + np.float32(shift)
     return Network(w, share)
 
 

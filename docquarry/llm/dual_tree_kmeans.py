@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Scratch
 
 #: Vectors of a block, and of a leaf on average.
-BLOCK, LEAF, CENTROID_LEAF = 4096, 32, 2
+BLOCK, LEAF, CENTROID_LEAF = 4096, 32, 1
 #: Largest component whose squares sum exactly in doubles.
 SMALL = 1 << 20
 #: Integers are summed by Spark in limbs of 32 bits.
