@@ -14,9 +14,14 @@ a link of similarity s is found there with probability 1 - (1 - s**depth)**TREES
 stands for as many missing ones, and one link at the threshold is taken to be missing. A
 node with many close links thus stops early, one without goes up to the floor.
 
-A component too large for one task, by nodes or by shingles, is cut into blocks, and each
-pair of blocks is a task of its own, so no pair of rows is ever emitted: a task returns one
-row per node with its number of links and the smallest node it hangs together with.
+Texts that only share a template can hang together through many subtrees. A component of more
+than BLOCK_NODES nodes is therefore looked at by single subtrees first, with paths alone: pairs
+whose paths agree in so few values that a pair at the threshold falls below with probability
+1e-8 (six standard deviations) part, and components are formed anew from the others.
+
+A component that is still too large for one task, by nodes or by shingles, is cut into blocks,
+and each pair of blocks is a task of its own, so no pair of rows is ever emitted: a task
+returns one row per node with its number of links and the smallest node it hangs together with.
 
 Defined cases: null or empty text has no shingles: a class of its own without links. A
 text of one to four words is one shingle. Repeated rows are copies of each other. A row
@@ -131,6 +136,74 @@ def candidate_edges(nodes: DataFrame, floor: int) -> DataFrame:
     return found.select(F.col("node").alias("u"), F.col("hub").alias("v")).filter(F.col("u") != F.col("v")).distinct()
 
 
+def least_agreement(threshold: float) -> int:
+    """Of TREES * DEPTH values, as many as a pair at the threshold shares but for 1e-8."""
+    values = TREES * DEPTH
+    return int(values * threshold - 6 * (values * threshold * (1 - threshold)) ** 0.5)
+
+
+def agreeing(path: np.ndarray, side: np.ndarray, least: int) -> np.ndarray:
+    """For each path the first of those that it hangs together with by pairs that share `least`
+    values; if both sides occur only pairs between them count."""
+    root = np.arange(len(path))
+    one_side = len(set(side.tolist())) < 2
+    left, right = [], []
+    for i in range(len(path) - 1):
+        near = np.flatnonzero((path[i + 1 :] == path[i]).sum(1) >= least) + i + 1
+        near = near if one_side else near[side[near] != side[i]]
+        left.append(np.full(len(near), i))
+        right.append(near)
+    return _roots(root, np.concatenate(left), np.concatenate(right)) if left else root
+
+
+def refined(nodes: DataFrame, groups: DataFrame, threshold: float, floor: int, scratch: Scratch) -> DataFrame:
+    """groups, with the components of more than BLOCK_NODES nodes formed anew from pairs of one
+    subtree whose paths agree. Only paths are sent, at most once a trie and pair of blocks."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
+    large = scratch.stored(salted_join(groups, sizes.filter(F.col("size") > BLOCK_NODES), ["root"], ["node"]).select("node"), "large")
+    if large.isEmpty():
+        return groups
+    every = large.join(nodes.select("node", "path"), "node")
+    prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: F.xxhash64(tree, F.substr("path", tree * DEPTH * _VALUE + 1, F.lit(floor * _VALUE))))
+    leaves = every.select("node", "path", F.explode(prefixes).alias("key"))
+    blocks = F.ceil(F.count("*") / F.lit(BLOCK_NODES)).cast("int").alias("blocks")
+    shared = leaves.groupBy("key").agg(blocks, F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = salted_join(leaves, shared, ["key"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tasks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("side"), "node", "path")
+    dealt = tasks.repartition(shuffle_partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")
+    least = least_agreement(threshold)
+
+    def run(batches):
+        for (_, i, j), rows in _runs(batches, ["key", "i", "j"]):
+            names, side = rows["node"].tolist(), rows["side"].to_numpy().astype(np.int8)
+            if len(rows) < 2 or i != j and len(set(side.tolist())) < 2:
+                continue
+            path = np.frombuffer(b"".join(rows["path"]), np.uint32).reshape(len(rows), TREES * DEPTH)
+            root = agreeing(path, side, least)
+            away = np.flatnonzero(root != np.arange(len(root)))
+            yield pd.DataFrame({"u": [names[k] for k in away], "v": [names[k] for k in root[away]]})
+
+    edges = scratch.stored(dealt.mapInPandas(run, "u binary, v binary").distinct(), "agreeing")
+    rest = groups.join(large, "node", "left_anti")
+    out = scratch.stored(rest.unionByName(components(edges, scratch, "refined")), "refined-groups")
+    scratch.drop("large", "agreeing")
+    return out
+
+
+def _runs(batches, keys: list[str]):
+    """Sorted rows by key, over the borders of batches."""
+    held, key = [], None
+    for batch in batches:
+        for own, rows in batch.groupby(keys, sort=False):
+            if own != key and held:
+                yield key, pd.concat(held, ignore_index=True)
+                held = []
+            key = own
+            held.append(rows)
+    if held:
+        yield key, pd.concat(held, ignore_index=True)
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, path, shingles) of the wanted nodes, from the document `rep` of each."""
 
@@ -238,18 +311,22 @@ def linked_pairs(sets: list[np.ndarray], path: np.ndarray, side: np.ndarray, ove
     return left, right
 
 
-def _verify(nodes: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple]:
-    """Rows (node, links, root) of one task."""
-    links = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
-    root = np.arange(len(nodes))
-    while True:  # smallest row number of each connected part
+def _roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row number of each connected part."""
+    while True:
         low = root.copy()
         np.minimum.at(low, left, root[right])
         np.minimum.at(low, right, root[left])
         low = low[low]
         if (low == root).all():
-            break
+            return root
         root = low
+
+
+def _verify(nodes: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """Rows (node, links, root) of one task."""
+    links = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
+    root = _roots(np.arange(len(nodes)), left, right)
     return [(nodes[i], int(links[i]), nodes[root[i]]) for i in np.flatnonzero(links).tolist()]
 
 
@@ -304,10 +381,11 @@ def join_classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), target: f
     rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row_key")))
     nodes = scratch.stored(some.groupBy("node").agg(rep.alias("rep"), F.count("*").alias("n_copies"), F.first("path").alias("path")).select("node", "rep.doc_id", "rep.row_key", "n_copies", "path"), "nodes")
     groups = scratch.stored(components(candidate_edges(nodes, floor), scratch, "candidates"), "groups")
+    groups = refined(nodes, groups, threshold[0] / threshold[1], floor, scratch)
     wanted = nodes.join(groups, "node").select("node", F.col("doc_id").alias("rep"), F.col("row_key").alias("rep_key"), "path")
     sets = scratch.stored(sets_of(docs, wanted), "shingle-sets")
     found = scratch.stored(verify(sets, groups, threshold, target, floor), "links")
-    scratch.drop("shingle-sets", "groups")
+    scratch.drop("shingle-sets", "groups", "refined-groups")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     whole = found.filter(~F.col("cut")).select("node", "root")
     if found.filter("cut").limit(1).count():

@@ -67,6 +67,44 @@ def test_join_equals_plain(spark, monkeypatch, seed, shingles_, nodes):
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found.collect()) == plain_join(rows)
 
 
+def test_texts_of_one_template_part_before_they_are_verified(spark, monkeypatch):
+    """700 texts with a similarity of a third hang together through subtrees; the component
+    dissolves by their paths but for planted pairs, so no task gets more sets than those."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 150)
+    rng = random.Random(9)
+    template = [f"t{k}" for k in range(100)]
+    rows = [(i, " ".join([*template, *(f"u{rng.randint(0, 10**6)}" for _ in range(96))]), "s", None, 0) for i in range(700)]
+    near = [(i + 10_000, r[1].rsplit(" ", 2)[0] + f" z{i} y", "s", None, 0) for i, r in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows + near, SCHEMA)
+    sizes, verify = {}, ngram_join.verify
+
+    def seen(sets, groups, *rest):
+        sizes["sets"], sizes["most"] = sets.count(), groups.groupBy("root").count().agg(F.max("count")).first()[0]
+        return verify(sets, groups, *rest)
+
+    refined = ngram_join.refined
+
+    def before(nodes, groups, *rest):
+        sizes["before"] = groups.groupBy("root").count().agg(F.max("count")).first()[0]
+        return refined(nodes, groups, *rest)
+
+    monkeypatch.setattr(ngram_join, "refined", before)
+    monkeypatch.setattr(ngram_join, "verify", seen)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join_classes(docs).collect()}
+    assert all(found[i] == found[i + 10_000] == (i, 1) for i in range(20)) and all(found[i] == (i, 0) for i in range(20, 700))
+    assert sizes["before"] > 300 and sizes["sets"] <= 80 and sizes["most"] <= 20
+
+
+def test_agreement_keeps_pairs_at_the_threshold():
+    rng = np.random.default_rng(1)
+    least = ngram_join.least_agreement(0.8)
+    assert least < 60 and (rng.binomial(96, 0.8, 10**6) < least).sum() <= 2 and (rng.binomial(96, 0.33, 10**6) >= least).mean() < 1e-4
+    path = rng.integers(0, 2**32, (6, 96))
+    path[3, :least], path[5, : least - 1] = path[1, :least], path[2, : least - 1]
+    assert ngram_join.agreeing(path, np.zeros(6, np.int8), least).tolist() == [0, 1, 2, 1, 4, 5]
+    assert ngram_join.agreeing(path, np.array([0, 0, 0, 0, 1, 1], np.int8), least).tolist() == [0, 1, 2, 3, 4, 5]
+
+
 def test_one_of_each_class_stays(spark):
     rows = [*join_rows(4), (None, "no id", "s", "x", 0)]
     classes = {c for _, c, _, _ in plain_join(rows[:-1])}
