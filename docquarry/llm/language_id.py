@@ -3,7 +3,10 @@
 A suffix automaton per language is built over running labelled text: letters in lower
 case, everything between them one blank. A text, read in the same way, is parsed greedily
 into the longest phrases that occur in a language's text, across words; the language whose
-parse costs fewest bits per letter (phrases times log2 of its text's size) wins.
+parse costs fewest bits per letter (phrases times log2 of its text's size) wins. A letter that
+was learned in no language fits none: it is a phrase of its own everywhere. The score is the
+language's share by those bits, drawn to 1 / languages as phrases get shorter than one and a half
+letters; a text without any longer phrase has that score and the alphabetically first language.
 
 An automaton is a table of steps, state and symbol to state and phrases ended, so a batch
 of texts is parsed side by side, a symbol of each at a time; the few longest ones are then
@@ -39,7 +42,8 @@ from pyspark.sql.window import Window
 from docquarry.llm.common import chunks, held_out, map_batches
 
 UND = "und"
-#: Symbols: 0 for blanks, the commonest letters, then shared ones.
+#: Symbols: 0 for blanks, the commonest letters, then shared ones; the last one stands for all
+#: letters that were not learned, and is in no automaton.
 COMMON, SHARED = 160, 32
 #: Entries of all languages' tables (4 bytes each).
 CELLS = 25_000_000
@@ -97,21 +101,23 @@ class SuffixAutomaton:
 
 
 @lru_cache(2)
-def symbol_table(alphabet: str) -> np.ndarray:
-    """Symbol of each code point: 0 unless it is a letter."""
-    point = np.arange(0x110000)
+def symbol_table(alphabet: str, rare: str = "") -> np.ndarray:
+    """Symbol of each code point: 0 unless it is a letter. rare: learned letters that share
+    symbols."""
     letter = np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
-    table = np.where(letter, 1 + len(alphabet) + (point >> 7) % SHARED, 0).astype(np.uint8)
+    table = np.where(letter, 1 + len(alphabet) + SHARED, 0).astype(np.uint8)
+    some = np.array([ord(ch) for ch in rare], np.int64)
+    table[some] = 1 + len(alphabet) + (some >> 7) % SHARED
     table[[ord(ch) for ch in alphabet]] = np.arange(1, len(alphabet) + 1)
     return table
 
 
-def read(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read(texts: list[str], alphabet: str, rare: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts' symbols in one array, where each text begins (and the end), and the
     letters in each. Blanks never repeat and stand at no text's ends."""
     lowered = [t.lower() for t in texts]
     size = np.fromiter(map(len, lowered), np.int64, len(lowered))
-    flat = symbol_table(alphabet)[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    flat = symbol_table(alphabet, rare)[np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)]
     edge = np.concatenate([[0], np.cumsum(size)])
     begins = edge[:-1][size > 0]
     keep = flat > 0
@@ -130,22 +136,23 @@ def read(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray, np.nd
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages in order, the text each was learned from, the alphabet, and the phrases
-    per letter from which a text is noise in each language."""
+    """Languages in order, the text each was learned from, the alphabet, the phrases per letter
+    from which a text is noise in each language, and the learned letters beyond the alphabet."""
 
     langs: tuple[str, ...]
     texts: tuple[str, ...]
     alphabet: str
     noise: tuple[float, ...] = ()
+    rare: str = ""
 
 
 class Identifier:
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.symbols = 1 + len(model.alphabet) + SHARED
+        self.symbols = 2 + len(model.alphabet) + SHARED
         tables, sizes, roots = [], [], [0]  # roots: where each language's states begin in the common table
         for text in model.texts:
-            symbols = read([text], model.alphabet)[0].tolist()
+            symbols = read([text], model.alphabet, model.rare)[0].tolist()
             table = SuffixAutomaton(symbols).steps(self.symbols)
             table += 4 * roots[-1]
             tables.append(table)
@@ -193,12 +200,15 @@ class Identifier:
             return langs, scores, noise
         limit = np.array(self.model.noise or [np.inf] * len(self.model.langs))
         for a, b in chunks(list(map(len, texts)), _BATCH):
-            flat, start, letters = read(texts[a:b], self.model.alphabet)
+            flat, start, letters = read(texts[a:b], self.model.alphabet, self.model.rare)
             phrases = self.phrases(flat, start)
-            cost = phrases * self.bits
+            size = np.maximum(np.diff(start), 1)
+            longer = 1 - phrases.min(1) / size  # 0: every phrase is one symbol, in all languages
+            cost = np.where(longer[:, None] > 0, phrases * self.bits, 0.0)
             best = cost.argmin(1)
             least = cost[np.arange(len(best)), best]
-            score = 1 / np.exp2(np.maximum(least[:, None] - cost, -200)).sum(1)
+            even = 1 / len(self.model.langs)
+            score = even + np.minimum(3 * longer, 1) * (1 / np.exp2(np.maximum(least[:, None] - cost, -200)).sum(1) - even)
             for i in np.flatnonzero(letters).tolist():
                 langs[a + i], scores[a + i] = self.model.langs[best[i]], score[i]
                 noise[a + i] = phrases[i, best[i]] > limit[best[i]] * letters[i] + _SLACK
@@ -218,14 +228,12 @@ def identifier(model: LanguageModel) -> Identifier:
 def fit(docs: DataFrame, max_letters: int = 20_000, max_docs: int = 400, max_chars: int = 4_000) -> LanguageModel:
     """Learn from rows with text and lang that are not held out: of at most `max_docs`
     documents per language (the smallest hashes of their ids) the first `max_chars`
-    characters each, until there are `max_letters` characters, or fewer where CELLS is
-    shared by many languages. A language without a letter in them is not learned."""
+    characters each, until there are `max_letters` characters, or fewer where the tables of
+    all languages would pass CELLS. A language without a letter in them is not learned."""
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("doc_id"), F.substring("text", 1, max_chars).alias("text"))
     counts = rows.groupBy("lang").count().collect()  # a row per language
     if not counts:
         return LanguageModel((), (), "")
-    n_langs = len(counts)
-    limit = max(500, min(max_letters, CELLS // (2 * (1 + COMMON + SHARED) * n_langs)) if n_langs > 8 else max_letters)
     # a hash range with some four times the documents wanted of each language, so that the
     # windows see few rows however many a language has
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 4 * max_docs / r["count"])) for r in counts], "lang string, share double")
@@ -234,12 +242,12 @@ def fit(docs: DataFrame, max_letters: int = 20_000, max_docs: int = 400, max_cha
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     picked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max_docs)
     before = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
-    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * limit)  # bounded by limit and max_chars per language
+    picked = picked.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < 2 * max_letters)  # bounded by max_letters and max_chars per language
     by_lang: dict[str, list] = {}
     for row in picked.collect():
         by_lang.setdefault(row["lang"], []).append((row["nth"], row["text"]))
     texts = {lang: "\n".join(t for _, t in sorted(found)) for lang, found in sorted(by_lang.items())}
-    return learn(texts, limit)
+    return learn(texts, max_letters)
 
 
 def learn(texts: dict[str, str], limit: int) -> LanguageModel:
@@ -247,12 +255,13 @@ def learn(texts: dict[str, str], limit: int) -> LanguageModel:
     texts = {lang: text[:limit] for lang, text in sorted(texts.items()) if any(map(str.isalpha, text[:limit]))}
     letters = Counter(ch for text in texts.values() for ch in text.lower() if ch.isalpha())
     alphabet = "".join(ch for ch, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:COMMON])
-    while texts and sum(2 * len(t) for t in texts.values()) * (1 + len(alphabet) + SHARED) > CELLS:
+    while texts and sum(2 * len(t) for t in texts.values()) * (2 + len(alphabet) + SHARED) > CELLS:
         texts = {lang: text[: max(20, len(text) * 3 // 4)] for lang, text in texts.items()}
         if all(len(t) <= 20 for t in texts.values()):
             break
-    model = LanguageModel(tuple(texts), tuple(texts.values()), alphabet)
-    return LanguageModel(model.langs, model.texts, alphabet, _noise(model))
+    rare = "".join(sorted(set(letters) - set(alphabet)))
+    model = LanguageModel(tuple(texts), tuple(texts.values()), alphabet, rare=rare)
+    return LanguageModel(model.langs, model.texts, alphabet, _noise(model), rare)
 
 
 def _noise(model: LanguageModel, size: int = 4_000) -> tuple[float, ...]:
@@ -265,7 +274,7 @@ def _noise(model: LanguageModel, size: int = 4_000) -> tuple[float, ...]:
     for k, text in enumerate(model.texts):
         symbols = list(text[:size].lower())
         rng.shuffle(symbols)
-        flat, start, letters = read(["".join(symbols)], model.alphabet)
+        flat, start, letters = read(["".join(symbols)], model.alphabet, model.rare)
         out.append(0.95 * float(own.phrases(flat, start)[0, k]) / max(1, int(letters[0])))
     return tuple(out)
 

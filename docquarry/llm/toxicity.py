@@ -75,7 +75,9 @@ class Kernel:
 
     def __init__(self, alphabet: str):
         self.alphabet = alphabet
-        self.code = {ch: i + 1 for i, ch in enumerate(alphabet[: CODES - 2])}
+        self.table = np.full(0x110000, _OTHER, np.uint8)  # of every code point, in any script
+        self.table[0] = 0
+        self.table[[ord(ch) for ch in alphabet[: CODES - 2]]] = np.arange(1, min(len(alphabet), CODES - 2) + 1)
 
     def encode(self, strings: list[str]) -> np.ndarray:
         """(n, width) codes, 0 behind the end."""
@@ -84,12 +86,7 @@ class Kernel:
         flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, strings), np.int64, len(strings))
         points[np.arange(width) < size[:, None]] = flat
-        table = np.full(0x3000, _OTHER, np.uint8)
-        table[0] = 0
-        for ch, i in self.code.items():
-            if ord(ch) < len(table):
-                table[ord(ch)] = i
-        return table[np.minimum(points, len(table) - 1)]
+        return self.table[points]
 
     @staticmethod
     def triples(codes: np.ndarray):
@@ -172,7 +169,7 @@ class Scorer:
         self.model = model
         self.space = Landmarks(Kernel(model.alphabet), model.columns, model.marks) if model.weights is not None else None
         self.known: dict[str, float] = {}  # of words that are one part at most
-        self.long: dict[str, list[float]] = {}  # of the parts of others
+        self.long: dict[str, list[float]] = {}  # of the parts of others, none or several
 
     def evidence(self, parts: list[str]) -> np.ndarray:
         """The machine's sum over the landmarks for each part."""
@@ -191,6 +188,8 @@ class Scorer:
                     self.known[word] = math.nan
                 else:
                     self.known[word] = next(value) if own else 0.0
+                    if not own:
+                        self.long[word] = []
 
     def _strongest(self, found: list[list[str]]) -> float:
         """The best sum of a sentence's evidence. Words of two parts or more, and sentences
@@ -199,7 +198,7 @@ class Scorer:
         for words in found:
             total = sum(map(known.__getitem__, words)) if len(words) <= PARTS else math.nan
             if total != total:
-                values = [v for w in words if len(w) > 2 for v in (self.long.get(w) or [known[w]])]
+                values = [v for w in words for v in (self.long[w] if w in self.long else (known[w],))]
                 total = max((sum(values[i : i + PARTS]) for i in range(0, len(values), PARTS)), default=0.0)
             if total > best:
                 best = total
@@ -266,7 +265,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 96, rounds: int
         return ToxicModel()
     # landmarks: the parts of most evidence, and the commonest of clean text
     marks = sorted(worth, key=lambda w: (-worth[w], w))[: landmarks * 3 // 4]
-    alphabet = "<>" + "".join(ch for ch, _ in Counter("".join(marks)).most_common(CODES - 2) if ord(ch) < 0x3000 and ch not in "<>")
+    alphabet = "<>" + "".join(ch for ch, _ in Counter("".join(marks)).most_common(CODES - 2) if ch not in "<>")
     clean_marks = [w for w in sorted(good, key=lambda w: (-good[w], w)) if w not in set(marks)][: landmarks // 4]
     space = Landmarks.of(Kernel(alphabet), marks + clean_marks)
     root = space.root()

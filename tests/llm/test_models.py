@@ -56,15 +56,36 @@ def test_parse_score_and_language_equal_plain_ones(seed, few, monkeypatch):
             assert (lang, score) == ("und", 0)
             continue
         cost = {k: plain_phrases(plain_read(t), body) * np.log2(2 + len(plain_read(t))) for k, t in sorted(learned.items())}
+        if all(plain_phrases(plain_read(t), body) == len(body) for t in learned.values()):
+            cost = dict.fromkeys(sorted(learned), 0.0)
         assert lang == min(cost, key=lambda k: (cost[k], k))
-        assert score == pytest.approx(1 / sum(2.0 ** max(cost[lang] - c, -200) for c in cost.values()))
+        share = 1 / sum(2.0 ** max(cost[lang] - c, -200) for c in cost.values())
+        longer = 1 - min(plain_phrases(plain_read(t), body) for t in learned.values()) / len(body)
+        assert score == pytest.approx(1 / 3 + min(1, 3 * longer) * (share - 1 / 3))
+
+
+def test_unlearned_scripts_have_the_score_of_no_knowledge():
+    rng = random.Random(5)
+    model = language_id.learn({"big": words(rng, "aa", 900), "apart": words(rng, "bb", 30)}, 10_000)
+    texts = ["ことばはちがう ひらがな", "Слово и дело", "漢字 한글", "ж", "katomirane katora", "schungber"]
+    langs, scores, _ = language_id.Identifier(model).predict(texts)
+    assert langs[:4] == ["apart"] * 4 and scores[:4] == pytest.approx([0.5] * 4)
+    assert langs[4:] == ["big", "apart"] and min(scores[4:]) > 0.9
+
+
+def test_rare_learned_letters_are_told_from_unlearned_ones(monkeypatch):
+    monkeypatch.setattr(language_id, "COMMON", 4)
+    model = language_id.learn({"x": "abcd abce abcf漢字漢字", "y": "dcba"}, 1000)
+    assert len(model.alphabet) == 4 and "漢" in model.rare
+    symbols = language_id.read(["漢ж"], model.alphabet, model.rare)[0].tolist()
+    assert symbols[0] != symbols[1] == 1 + 4 + language_id.SHARED
 
 
 def test_many_languages_share_the_tables():
     rng = random.Random(3)
     texts = {f"l{k:03}": words(rng, "aa", 4000) for k in range(40)}
     model = language_id.learn(texts, 60_000)
-    cells = sum(2 * len(t) for t in model.texts) * (1 + len(model.alphabet) + language_id.SHARED)
+    cells = sum(2 * len(t) for t in model.texts) * (2 + len(model.alphabet) + language_id.SHARED)
     assert len(model.langs) == 40 and cells <= language_id.CELLS
 
 
@@ -166,10 +187,25 @@ def test_decisions_equal_plain_ones():
     rng = random.Random(4)
     texts = [". ".join(words(rng, "aa", rng.randint(1, 70)) for _ in range(rng.randint(1, 4))) for _ in range(12)]
     texts += ["kato blorfik mi. ka to", "b l o r f i k", "x" * 300 + " blorfik " + "kato" * 30, "", "a b", "vash-tok!\nkato mira"]
+    texts += [" ".join(rng.choice(["kato", "---", "...,", "blorfik", "a-b-c" * 9, "!"]) for _ in range(70)) for _ in range(8)]
     found = toxicity.Scorer(model).decisions(texts)
     assert found == pytest.approx([plain_decision(model, t) for t in texts], abs=1e-3)
 
 
+def test_insults_in_other_scripts_are_found():
+    rng = random.Random(6)
+    clean, bad = ["あいうえお", "かきくけこ", "さしすせそ", "たちつてと", "なにぬねの", "はひふへほ", "まみむめも"], ["ばぼびぶご", "ぜじゃずぞ", "漢罵詈雑言"]
+    rows = []
+    for i in range(240):
+        toxic = i % 3 == 0
+        text = [" ".join(rng.choices(clean, k=rng.randint(4, 12))) for _ in range(4)]
+        rows.append((". ".join(text[:2] + ([rng.choice(clean) + " " + rng.choice(bad)] if toxic else []) + text[2:]), int(toxic)))
+    model = toxicity.train([t for t, _ in rows[:180]], np.array([y for _, y in rows[:180]]))
+    score = model.score(toxicity.Scorer(model).decisions([t for t, _ in rows[180:]]))
+    held = np.array([y for _, y in rows[180:]])
+    assert (score[held == 1] >= 0.7).all() and (score[held == 0] < 0.7).all()
+
+
 def test_sentences():
     assert toxicity.sentence_parts("One two. Three!  four\nf-i-ve s i x") == [("<one>", "<two>"), ("<three>",), ("<four>",), ("<five>",), ("<six>",)]
     assert toxicity.sentence_parts(None) == toxicity.sentence_parts(" . ") == []
