@@ -40,7 +40,8 @@ def section_text(sections: DataFrame, pages: DataFrame) -> DataFrame:
 def title_pattern(title) -> Column:
     """A pattern that finds a title whatever white space stands between its words."""
     words = F.filter(F.split(col(title), r"(?U)\s+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), r"(?U)\s+")
+    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.array_join(quoted, r"(?U)\s+")
 
 
 def trim_to_title(content, title, next_title) -> Column:
@@ -187,3 +188,24 @@ def cluster_rows(blocks: Column | str, tolerance: float = 5.0) -> Column:
     numbers = F.aggregate(ordered, start, step)["rows"]
     placed = F.zip_with(ordered, numbers, lambda b, row: F.struct(row.alias("row"), b["x0"].alias("x0"), b["y0"].alias("y0"), b["block"].alias("block")))
     return F.array_sort(placed)
+
+
+def block_rows(blocks: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(doc_id, page_num, row, n, x0, x1, y0, y1): the clustered rows of each page's blocks
+    (doc_id, page_num, x0, x1, y0, y1), with their number of blocks and their edges."""
+    held = blocks.groupBy("doc_id", "page_num").agg(F.collect_list(F.struct("y0", "x0", "x1", "y1")).alias("blocks"))
+    flat = held.select("doc_id", "page_num", F.explode(cluster_rows("blocks", tolerance)).alias("b")).select("doc_id", "page_num", "b.row", "b.block.*")
+    return flat.groupBy("doc_id", "page_num", "row").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+
+
+def grown_regions(rows: DataFrame, is_header: Column, reach: float = 50.0, least: float = 20.0) -> DataFrame:
+    """(doc_id, page_num, head, n_rows, x0, y0, x1, y1): the table below each header row. It
+    goes on while rows have two blocks and at most two fewer than the header, and edges within
+    `reach` of the header's; it ends where its last row ends and is `least` high."""
+    page = ["doc_id", "page_num"]
+    heads = rows.filter(is_header).select(*page, F.col("row").alias("head"), F.col("n").alias("columns"), F.col("x0").alias("left"), F.col("x1").alias("right"), F.col("y0").alias("top"))
+    fits = (F.col("n") >= F.greatest(F.lit(2), F.col("columns") - 2)) & (F.abs(F.col("x0") - F.col("left")) <= reach) & (F.abs(F.col("x1") - F.col("right")) <= reach)
+    down = Window.partitionBy(*page, "head").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    below = heads.join(rows, page).filter(F.col("row") > F.col("head")).withColumn("open", F.min(fits).over(down)).filter("open")
+    found = below.groupBy(*page, "head", "left", "top", "right").agg(F.count("*").alias("n_rows"), F.max_by("y1", "row").alias("bottom"))
+    return found.filter(F.col("bottom") - F.col("top") >= least).select(*page, "head", "n_rows", F.col("left").alias("x0"), F.col("top").alias("y0"), F.col("right").alias("x1"), F.col("bottom").alias("y1"))

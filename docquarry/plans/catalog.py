@@ -453,6 +453,23 @@ def context_band_join(spark, d):
     return S.table_context(blocks.filter("event_id % 11 = 0").withColumnRenamed("event_id", "table_index"), blocks)
 
 
+GRID = "SELECT user_id AS doc_id, event_id % 2 AS page_num, CAST((event_id % 3) * 40 AS DOUBLE) AS x0, CAST((event_id % 3) * 40 + 30 AS DOUBLE) AS x1, value * 1.5 AS y0, value * 1.5 + 3 AS y1 FROM events"
+
+
+@query(f"""WITH RECURSIVE b AS ({GRID}),
+a AS (SELECT doc_id, page_num, min(y0) AS anchor, 1 AS "row" FROM b GROUP BY doc_id, page_num
+  UNION ALL SELECT a.doc_id, a.page_num, min(b.y0), any_value(a."row") + 1 FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND abs(b.y0 - a.anchor) > 5 AND b.y0 > a.anchor GROUP BY a.doc_id, a.page_num),
+r AS (SELECT a.doc_id, a.page_num, a."row", count(*) AS n, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_num = b.page_num AND b.y0 >= a.anchor AND abs(b.y0 - a.anchor) <= 5 GROUP BY a.doc_id, a.page_num, a."row"),
+o AS (SELECT h.doc_id, h.page_num, h."row" AS head, h.x0, h.y0, h.x1, r.y1, r."row" AS k, min((r.n >= greatest(2, h.n - 2) AND abs(r.x0 - h.x0) <= 50 AND abs(r.x1 - h.x1) <= 50)::INT) OVER (PARTITION BY h.doc_id, h.page_num, h."row" ORDER BY r."row") AS opened
+  FROM r h JOIN r ON h.doc_id = r.doc_id AND h.page_num = r.page_num AND r."row" > h."row" WHERE h.n >= 3)
+SELECT doc_id, page_num, head, count(*) AS n_rows, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(max_by(y1, k), 6) AS y1 FROM o WHERE opened = 1 GROUP BY doc_id, page_num, head, x0, y0, x1 HAVING max_by(y1, k) - y0 >= 20""")
+def header_region_growth(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("docquarry_events")
+    rows = S.block_rows(spark.sql(GRID.replace("FROM events", "FROM docquarry_events")))
+    found = S.grown_regions(rows, F.col("n") >= 3)
+    return found.select("doc_id", "page_num", F.col("head").cast("int").alias("head"), "n_rows", *[r6(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 TOC = "SELECT conv_id AS doc_id, turn AS toc_idx, concat(role, turn) AS title, 1 + (turn * 7 + conv_id) % 4 AS level, turn * 2 - turn % 3 - 1 AS page_num, 30 AS last_page FROM conversations"
 
 

@@ -60,7 +60,7 @@ def test_is_toc(one, text, toc):
     assert one(T.is_toc(F.lit(text))) is toc
 
 
-@pytest.mark.parametrize("content, title, after, cut", [("before A  b c text D e rest", "A b", "D e", "A  b c text "), ("nothing here", "A b", "D e", "nothing here"), ("x A b text", "A b", None, "A b text"), ("A b text D", "A b", "D", "A b text ")])
+@pytest.mark.parametrize("content, title, after, cut", [("before A  b c text D e rest", "A b", "D e", "A  b c text "), ("nothing here", "A b", "D e", "nothing here"), ("x A b text", "A b", None, "A b text"), ("A b text D", "A b", "D", "A b text "), ("x C:\\Ever (a text D", "C:\\Ever (a", "D", "C:\\Ever (a text "), ("C: Every", "C:\\Ever", None, "C: Every")])
 def test_trim(spark, content, title, after, cut):
     df = spark.createDataFrame([(content, title, after)], "c string, t string, n string")
     assert df.select(S.trim_to_title("c", "t", "n")).first()[0] == cut
@@ -290,3 +290,13 @@ def test_streaming_ingest(store, tmp_path):
     db, docs = store
     ingest_stream(db, str(docs), text_parser, str(tmp_path / "state"), "*.txt", once=True).awaitTermination()
     assert db.list_documents().count() == 1
+
+
+def test_regions_grow_while_rows_are_alike(spark):
+    """A header of four, three rows like it, one that is too far right, one like the header."""
+    rows = [(10.0, [0, 50, 100, 150]), (20.0, [0, 50, 100, 150]), (30.0, [0, 100]), (40.0, [10, 50, 160]), (50.0, [90, 150]), (60.0, [0, 50, 100, 150])]
+    blocks = [("d", 1, float(x), x + 30.0, y + (i % 2), y + 8) for y, xs in rows for i, x in enumerate(xs)] + [("e", 1, 0.0, 10.0, 5.0, 9.0)]
+    found = S.block_rows(spark.createDataFrame(blocks, "doc_id string, page_num int, x0 double, x1 double, y0 double, y1 double"))
+    assert [(r.row, r.n) for r in found.filter("doc_id = 'd'").orderBy("row").collect()] == [(1, 4), (2, 4), (3, 2), (4, 3), (5, 2), (6, 4)]
+    assert [tuple(r) for r in S.grown_regions(found, F.col("row") == 1).collect()] == [("d", 1, 1, 3, 0.0, 10.0, 180.0, 48.0)]
+    assert S.grown_regions(found, F.col("row") == 5).count() == 0 and S.grown_regions(found, F.col("row") == 6).count() == 0
