@@ -669,6 +669,21 @@ def find_register_peripheral(spark, d):
     return hybrid.find_register(register_rows(spark, d), "REG7", "PROM").select("chunk_id", "name", "peripheral")
 
 
+@query(f"SELECT chunk_id, name, peripheral FROM ({REGISTERS}) WHERE name = 'REG11' AND doc_id NOT LIKE 'ECO%' ORDER BY {RANK}, chunk_id LIMIT 1")
+def register_stored_lookup(spark, d):
+    """Off a registers table sorted by name, with Bloom filters, some documents removed."""
+
+    def make(folder):
+        schema = "chunk_id string, doc_id string, chunk_type string, peripheral string, name string"
+        log = LogTables(spark, folder, {"registers": Table(schema, ("name", "chunk_id"), bloom=("name",), rows=2048)})
+        rows = register_rows(spark, d)
+        log.commit({"registers": rows})
+        log.commit({}, rows.filter("doc_id LIKE 'ECO%'").select("doc_id"))
+        return log
+
+    return hybrid.find_register(kept(spark, d, "registers", make).table("registers"), "REG11").select("chunk_id", "name", "peripheral")
+
+
 @query(f"SELECT name, peripheral, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY name, peripheral ORDER BY {RANK}, chunk_id) AS nth FROM ({REGISTERS})) WHERE nth = 1")
 def best_registers(spark, d):
     return hybrid.best_register(register_rows(spark, d)).select("name", "peripheral", "chunk_id")
@@ -715,6 +730,18 @@ def store_live_view(spark, d):
     return live_store(spark, d).table("chunks").select("doc_id", "source", "version", F.md5("text").alias("text_md5"))
 
 
+@query(f"WITH {LIVE} SELECT source, count(*)::BIGINT AS n_documents, max(version) AS newest, sum(length(text))::BIGINT AS n_chars FROM live GROUP BY source")
+def store_live_sources(spark, d):
+    rows = live_store(spark, d).table("chunks")
+    return rows.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("version").alias("newest"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+@query(f"WITH {LIVE} SELECT chunk_id, version, md5(text) AS text_md5 FROM (SELECT doc_id AS chunk_id, version, text FROM live) WHERE chunk_id IN (15, 21, 22, 23)")
+def store_point_read(spark, d):
+    found = live_store(spark, d).table("chunks").filter(literal.named("chunk_id", [15, 21, 22, 23]))
+    return found.select("chunk_id", "version", F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {LIVE}, {I.TOKENS.replace('FROM documents', 'FROM live')} SELECT t AS term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS t FROM tok) GROUP BY t")
 def store_live_terms(spark, d):
     """The dictionary's signed counts after replacements and removals."""
