@@ -15,7 +15,7 @@ stands for as many missing ones, and one link at the threshold is taken to be mi
 node with many close links thus stops early, one without goes up to the floor.
 
 Texts that only share a template can hang together through many subtrees. A component of more
-than BLOCK_NODES nodes is therefore looked at by single subtrees first, with paths alone: pairs
+than PARTED blocks of BLOCK_NODES nodes is therefore looked at by single subtrees first, with paths alone: pairs
 whose paths agree in so few values that a pair at the threshold falls below with probability
 1e-8 (six standard deviations) part, and components are formed anew from the others.
 
@@ -45,6 +45,9 @@ TREES, DEPTH = 16, 6
 #: Shingles and nodes of a component that one task holds, or two blocks of them.
 BLOCK_SHINGLES = 400_000
 BLOCK_NODES = 2_000
+#: Blocks of nodes from which a component is parted by paths first: up to that a set is sent
+#: that often at most.
+PARTED = 8
 _VALUE = 4  # bytes of a MinHash value
 
 
@@ -157,12 +160,12 @@ def agreeing(path: np.ndarray, side: np.ndarray, least: int) -> np.ndarray:
 
 
 def refined(nodes: DataFrame, groups: DataFrame, threshold: float, floor: int, scratch: Scratch) -> DataFrame:
-    """groups, with the components of more than BLOCK_NODES nodes formed anew from pairs of one
+    """groups, with the components of more than PARTED blocks formed anew from pairs of one
     subtree whose paths agree. Only paths are sent, at most once a trie and pair of blocks."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    large = scratch.stored(salted_join(groups, sizes.filter(F.col("size") > BLOCK_NODES), ["root"], ["node"]).select("node"), "large")
-    if large.isEmpty():
+    sizes = groups.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > PARTED * BLOCK_NODES)
+    if sizes.isEmpty():
         return groups
+    large = scratch.stored(salted_join(groups, sizes, ["root"], ["node"]).select("node"), "large")
     every = large.join(nodes.select("node", "path"), "node")
     prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda tree: F.xxhash64(tree, F.substr("path", tree * DEPTH * _VALUE + 1, F.lit(floor * _VALUE))))
     leaves = every.select("node", "path", F.explode(prefixes).alias("key"))

@@ -62,6 +62,7 @@ def join_rows(seed, n=60):
 def test_join_equals_plain(spark, monkeypatch, seed, shingles_, nodes):
     monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles_)
     monkeypatch.setattr(ngram_join, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(ngram_join, "PARTED", 1 if nodes < 10 else 8)
     rows = join_rows(seed)
     found = ngram_join.join_classes(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found.collect()) == plain_join(rows)
@@ -70,7 +71,7 @@ def test_join_equals_plain(spark, monkeypatch, seed, shingles_, nodes):
 def test_texts_of_one_template_part_before_they_are_verified(spark, monkeypatch):
     """700 texts with a similarity of a third hang together through subtrees; the component
     dissolves by their paths but for planted pairs, so no task gets more sets than those."""
-    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 150)
+    monkeypatch.setattr(ngram_join, "PARTED", 0)
     rng = random.Random(9)
     template = [f"t{k}" for k in range(100)]
     rows = [(i, " ".join([*template, *(f"u{rng.randint(0, 10**6)}" for _ in range(96))]), "s", None, 0) for i in range(700)]
