@@ -242,3 +242,23 @@ def test_register_priority(spark):
     assert hybrid.find_register(registers, "R", "").first().chunk_id == "3"
     assert hybrid.find_register(registers, "none").count() == 0
     assert {(r.peripheral, r.chunk_id) for r in hybrid.best_register(registers).filter(F.col("name") == "R").collect()} == {("P", "2"), ("Q", "3")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_made_within_rows(chunks):
+    """Nothing is exchanged for postings, and only counts for the terms."""
+    assert "Exchange" not in plan_of(keyword.postings(chunks, keep=["doc_id"]))
+    plan = plan_of(keyword.term_table(chunks))
+    assert plan.count("Exchange") == 1 and "collect_list" not in plan
+
+
+def test_terms_of_ids_with_several_rows(spark):
+    """An id counts once for a term, however many rows it has; all occurrences count."""
+    rows = spark.createDataFrame([(1, "b a a"), (1, "a c"), (2, "a"), (None, "c"), (None, "c"), (3, None), (4, "é E")], "chunk_id long, text string")
+    assert sorted(tuple(r) for r in keyword.term_table(rows).collect()) == [("a", 2, 4), ("b", 1, 1), ("c", 2, 3), ("e", 1, 2)]
+    assert not keyword.repeats(rows.filter("chunk_id > 1")) and keyword.repeats(rows)
+    held = {(r.chunk_id, r.term): (r.dl, r.positions) for r in keyword.merged(keyword.postings(rows.filter("chunk_id = 4"))).collect()}
+    assert held == {(4, "e"): (2, [0, 1])}
