@@ -262,3 +262,23 @@ def test_terms_of_ids_with_several_rows(spark):
     assert not keyword.repeats(rows.filter("chunk_id > 1")) and keyword.repeats(rows)
     held = {(r.chunk_id, r.term): (r.dl, r.positions) for r in keyword.merged(keyword.postings(rows.filter("chunk_id = 4"))).collect()}
     assert held == {(4, "e"): (2, [0, 1])}
+
+
+@pytest.mark.parametrize("rows_a_batch", [7, 10_000])
+def test_blocks_of_dealt_texts(spark, chunks, rows_a_batch):
+    """The same blocks as of postings; texts are exchanged, once, and no postings."""
+    more = [(f"n{i}", None if i % 2 else "d", t) for i, t in enumerate(["", None, "é É x", "-", "alpha " * 300])]
+    rows = chunks.unionByName(spark.createDataFrame(more, "chunk_id string, doc_id string, text string"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        made = inverted.blocks_of_chunks(rows, inverted.length_classes(keyword.lengths(rows)), 8)
+        plan = plan_of(made)
+        assert plan.count("Exchange") == 1 and "collect_list" not in plan
+        want = inverted.block_rows(keyword.postings(rows, keep=["doc_id"]), 8)
+        assert made.dtypes == want.dtypes
+        held = {(r.block, r.term): r for r in made.collect()}
+        assert len(held) == made.count() and held == {(r.block, r.term): r for r in want.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    counts = {tuple(r) for r in inverted.block_term_counts(made).collect()}
+    assert counts == {tuple(r) for r in keyword.term_table(rows).collect()}
