@@ -282,3 +282,15 @@ def test_blocks_of_dealt_texts(spark, chunks, rows_a_batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     counts = {tuple(r) for r in inverted.block_term_counts(made).collect()}
     assert counts == {tuple(r) for r in keyword.term_table(rows).collect()}
+
+
+def test_a_search_with_hits_needs_no_trigrams(spark, monkeypatch):
+    """The index of the words is built without them; they are stored when a literal wants them."""
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    assert catalog.keyword_bm25_and(spark, SF).count() > 0
+    assert {k[2] for k in catalog._STORED} == {"keyword-index"}
+    assert catalog.keyword_literal_common(spark, SF).count() > 0
+    assert {k[2] for k in catalog._STORED} == {"keyword-index", "trigrams"}
