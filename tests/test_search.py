@@ -284,6 +284,14 @@ def test_blocks_of_dealt_texts(spark, chunks, rows_a_batch):
     assert counts == {tuple(r) for r in keyword.term_table(rows).collect()}
 
 
+def test_stored_index_of_ids_with_several_rows(spark, tmp_path):
+    from docquarry.plans import catalog
+
+    rows = [(1, "than thanks than", "s"), (1, "than", "s"), (2, "thank", "s"), (3, None, "s"), (4, "than a", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in catalog.term_prefix_range(spark, str(tmp_path)).collect()) == [("than", 2, 4), ("thank", 1, 1), ("thanks", 1, 1)]
+
+
 def test_a_search_with_hits_needs_no_trigrams(spark, monkeypatch):
     """The index of the words is built without them; they are stored when a literal wants them."""
     from conftest import SF
