@@ -35,6 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 GONE = "gone"
+#: Up to so many keys go to the rows that they are joined with, some 100 MB in a process; more
+#: keys and their rows are exchanged.
+FEW = 2_000_000
+
+
+def to_rows(keys: DataFrame, n: int) -> DataFrame:
+    """n keys, for a join that leaves the other side's rows where they are if n is small."""
+    return F.broadcast(keys) if n <= FEW else keys
 
 
 class Conflict(RuntimeError):
@@ -151,18 +159,28 @@ class LogTables:
         schema = f"{self.tables[name].schema}, segment string"
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{self._folder(name, s.name)}" for s in held])
 
-    def _live(self, rows: DataFrame, snapshot: Snapshot) -> DataFrame:
-        """Without the rows that a later tombstone hides; `segment` stays."""
+    def _live(self, rows: DataFrame, snapshot: Snapshot, segments: tuple[Segment, ...] | None = None) -> DataFrame:
+        """Without the rows that a later tombstone hides; `segment` stays. segments: those that
+        the rows are of, where not all."""
         gone = self._stored(GONE, snapshot)
         if gone is None:
             return rows
-        last = gone.groupBy(self.key).agg(F.max("dead").alias("dead"))
+        later = gone.filter(F.col("dead") > min(s.seq for s in segments or snapshot.segments))
+        n = later.count()
+        if not n:
+            return rows
+        last = to_rows(later.groupBy(self.key).agg(F.max("dead").alias("dead")), n)
         seq = F.create_map(*[F.lit(x) for s in snapshot.segments for x in (s.name, s.seq)])[F.col("segment")]
         return rows.withColumn("seq", seq).join(last, self.key, "left").filter(F.col("dead").isNull() | (F.col("seq") >= F.col("dead"))).drop("seq", "dead")
 
-    def table(self, name: str, snapshot: Snapshot | None = None, raw: bool = False) -> DataFrame:
+    def held(self, name: str, keys: DataFrame, snapshot: Snapshot | None = None) -> DataFrame:
+        """Of some keys, each once, those that a table has live rows of; reads keys alone."""
+        return self.table(name, snapshot).select(self.key).distinct().join(keys, self.key, "left_semi")
+
+    def table(self, name: str, snapshot: Snapshot | None = None, raw: bool = False, keys: DataFrame | None = None) -> DataFrame:
         """The live rows; of a summed table the signed counts, several rows a key. raw: with
-        the column `segment` and hidden rows."""
+        the column `segment` and hidden rows. keys: only rows of these, of a table that is
+        stored as it is; they are picked before hidden rows are told."""
         now, spec = snapshot or self.snapshot(), self.tables[name]
         rows = self._stored(name, now)
         if rows is None:
@@ -171,6 +189,8 @@ class LogTables:
             return rows
         if spec.summed or name == GONE:
             return rows.select(*spec.columns)
+        if keys is not None:
+            rows = rows.join(to_rows(keys, keys.count()), self.key, "left_semi")
         if spec.unpack:
             return self._live(spec.unpack(rows), now).drop("segment")
         return self._live(rows, now).select(*spec.columns)
@@ -251,7 +271,7 @@ class LogTables:
                     rows = rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in spec.summed])
                     rows = rows.filter(" OR ".join(f"{c} <> 0" for c in spec.summed))
                 else:
-                    rows = self._live(spec.unpack(rows) if spec.unpack else rows, start).drop("segment")
+                    rows = self._live(spec.unpack(rows) if spec.unpack else rows, start, merged).drop("segment")
                     rows = spec.pack(rows) if spec.pack else rows
                 new[table] = rows
             made = Segment(name, max(s.seq for s in merged), self._write_all(new, name), tuple(new))

@@ -226,3 +226,47 @@ def test_upsert_keeps_repeated_new_keys(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1)], "doc_id string, value int")
     new = spark.createDataFrame([("a", 2), ("a", 3)], "doc_id string, value int")
     assert sorted(tuple(r) for r in catalog_ops.upsert(old, new, "doc_id").collect()) == [("a", 2), ("a", 3), ("b", 1)]
+
+
+def small_log(spark, path):
+    """Ten documents, every third one again, one removed that is there and one that is not."""
+    log = LogTables(spark, str(path), {"chunks": Table("doc_id long, version int, text string", ("doc_id",))})
+    rows = spark.range(10).select(F.col("id").alias("doc_id"), F.lit(1).alias("version"), F.lit("text").alias("text"))
+    log.commit({"chunks": rows}, rows.select("doc_id"))
+    return log, rows
+
+
+def test_rows_that_nothing_hides_are_not_joined(spark, tmp_path):
+    """A first commit's tombstones hide nothing; later ones go to the rows, texts stay put."""
+    log, rows = small_log(spark, tmp_path / "log")
+    assert "Join" not in log.table("chunks")._jdf.queryExecution().executedPlan().toString()
+    log.commit({"chunks": rows.filter("doc_id % 3 = 0").withColumn("version", F.lit(2))}, rows.filter("doc_id % 3 = 0").select("doc_id"))
+    plan = log.table("chunks")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.doc_id, r.version) for r in log.table("chunks").collect()) == [(i, 1 if i % 3 else 2) for i in range(10)]
+
+
+@pytest.mark.parametrize("few", [0, 2_000_000])
+def test_keys_are_picked_before_rows_are_told(spark, tmp_path, monkeypatch, few):
+    """The same whether keys go to the rows or both are exchanged."""
+    monkeypatch.setattr("docquarry.log.FEW", few)
+    log, rows = small_log(spark, tmp_path / "log")
+    gone = spark.createDataFrame([(3,), (3,), (4,), (77,), (None,)], "doc_id long")
+    held = log.held("chunks", gone)
+    assert sorted(r.doc_id for r in held.collect()) == [3, 4]
+    log.commit({"chunks": rows.filter("doc_id = 3").withColumn("version", F.lit(2))}, held)
+    assert log.table("gone").filter("dead = 2").count() == 2
+    assert sorted(r.doc_id for r in log.held("chunks", gone).collect()) == [3]
+    assert [(r.doc_id, r.version) for r in log.table("chunks", keys=gone).collect()] == [(3, 2)]
+    log.compact(log.snapshot().segments)
+    assert sorted((r.doc_id, r.version) for r in log.table("chunks").collect()) == [(i, 2 if i == 3 else 1) for i in range(10) if i != 4]
+
+
+def test_live_store_keeps_tombstones_of_held_documents_alone(spark, monkeypatch):
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    docs, toxic = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").select("doc_id")
+    again = docs.select("doc_id").filter("doc_id % 3 = 0 OR doc_id % 5 = 0").union(toxic.join(docs, "doc_id", "left_semi").select("doc_id")).distinct()
+    assert catalog.live_store(spark, SF).table("gone").select("doc_id").distinct().count() <= again.count()
