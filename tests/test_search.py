@@ -302,3 +302,16 @@ def test_a_search_with_hits_needs_no_trigrams(spark, monkeypatch):
     assert {k[2] for k in catalog._STORED} == {"keyword-index"}
     assert catalog.keyword_literal_common(spark, SF).count() > 0
     assert {k[2] for k in catalog._STORED} == {"keyword-index", "trigrams"}
+
+
+def test_hybrid_fusion_stores_blocks_and_words_alone(spark, monkeypatch):
+    """Neither postings nor trigrams are written for it."""
+    import os
+
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    assert catalog.hybrid_fusion(spark, SF).count() > 0
+    file = catalog.stored_index(spark, SF).blocks.inputFiles()[0].removeprefix("file://")
+    assert sorted(os.listdir(os.path.dirname(os.path.dirname(file)))) == ["blocks", "terms"]
