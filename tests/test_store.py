@@ -270,3 +270,23 @@ def test_live_store_keeps_tombstones_of_held_documents_alone(spark, monkeypatch)
     docs, toxic = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").select("doc_id")
     again = docs.select("doc_id").filter("doc_id % 3 = 0 OR doc_id % 5 = 0").union(toxic.join(docs, "doc_id", "left_semi").select("doc_id")).distinct()
     assert catalog.live_store(spark, SF).table("gone").select("doc_id").distinct().count() <= again.count()
+
+
+def live_plan(spark, query):
+    """The plan of a query of the live store where no table is small enough for Spark's own
+    broadcasts."""
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    catalog.live_store(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return getattr(catalog, query)(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_live_sources_move_no_texts(spark):
+    plan = live_plan(spark, "store_live_sources")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert not any("Exchange" in line and "text" in line for line in plan.splitlines())
