@@ -290,3 +290,10 @@ def test_live_sources_move_no_texts(spark):
     plan = live_plan(spark, "store_live_sources")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert not any("Exchange" in line and "text" in line for line in plan.splitlines())
+
+
+def test_live_point_read_moves_no_texts(spark):
+    """The ids reach the scan, and its rows stay where they are read."""
+    plan = live_plan(spark, "store_point_read")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "In(chunk_id, [15,21,22,23])" in plan
