@@ -315,3 +315,17 @@ def test_hybrid_fusion_stores_blocks_and_words_alone(spark, monkeypatch):
     assert catalog.hybrid_fusion(spark, SF).count() > 0
     file = catalog.stored_index(spark, SF).blocks.inputFiles()[0].removeprefix("file://")
     assert sorted(os.listdir(os.path.dirname(os.path.dirname(file)))) == ["blocks", "terms"]
+
+
+def test_blocks_are_stored_in_pages_of_many_rows(spark, monkeypatch):
+    """A page's head and compressor cost more than a short row of blocks."""
+    import pyarrow.parquet as pq
+
+    from conftest import SF
+    from docquarry.plans import catalog
+
+    monkeypatch.setattr(catalog, "_STORED", {})
+    footers = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in catalog.stored_index(spark, SF).blocks.inputFiles()]
+    columns = [m.row_group(g).column(c) for m in footers for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    numbers = [c for c in columns if c.path_in_schema == "n"]
+    assert sum(c.total_compressed_size for c in numbers) < 0.5 * sum(c.num_values for c in numbers)
