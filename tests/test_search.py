@@ -329,3 +329,16 @@ def test_blocks_are_stored_in_pages_of_many_rows(spark, monkeypatch):
     columns = [m.row_group(g).column(c) for m in footers for g in range(m.num_row_groups) for c in range(m.num_columns)]
     numbers = [c for c in columns if c.path_in_schema == "n"]
     assert sum(c.total_compressed_size for c in numbers) < 0.5 * sum(c.num_values for c in numbers)
+
+
+def test_texts_are_split_once_to_deal_them(chunks):
+    """Below the exchange no filter splits the texts beside the block's number."""
+    plan = plan_of(inverted.blocks_of_chunks(chunks, inverted.length_classes(keyword.lengths(chunks)), 8))
+    assert not any("Filter" in line and "split(" in line for line in plan.splitlines())
+
+
+def test_texts_without_a_word_give_no_blocks(spark):
+    rows = spark.createDataFrame([(1, "d", ""), (2, "d", None), (3, "d", " - ")], "chunk_id long, doc_id string, text string")
+    assert inverted.blocks_of_chunks(rows, inverted.length_classes(keyword.lengths(rows))).count() == 0
+    more = rows.union(spark.createDataFrame([(4, "d", "x")], rows.schema))
+    assert [(r.term, r.ids) for r in inverted.blocks_of_chunks(more, inverted.length_classes(keyword.lengths(more))).collect()] == [("x", [4])]
